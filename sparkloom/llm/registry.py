@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, token_store
 
 QUERIES = {
     "op3_virtual_slot_shards": sharding.op3_virtual_slot_shards,
     "op4_weighted_mix": mixing.op4_weighted_mix,
+    "op5_linear_grouping_pack": packing.op5_linear_grouping_pack,
+    "op7_bit_plane_tokens": token_store.op7_bit_plane_tokens,
 }
 ORACLES = {
     "op4_weighted_mix": mixing.OP4_SQL,
