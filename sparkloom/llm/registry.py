@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, token_store
+from . import language_id, mixing, packing, sharding, token_store, url_rules
 
 QUERIES = {
+    "op2_language_families": language_id.op2_language_families,
     "op3_virtual_slot_shards": sharding.op3_virtual_slot_shards,
     "op4_weighted_mix": mixing.op4_weighted_mix,
     "op5_linear_grouping_pack": packing.op5_linear_grouping_pack,
+    "op6_url_association_rules": url_rules.op6_url_association_rules,
     "op7_bit_plane_tokens": token_store.op7_bit_plane_tokens,
 }
 ORACLES = {
