@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, sharding, token_store, url_rules
+from . import exact_dedup, language_id, mixing, packing, pivot_topk, sharding, token_store, url_rules
 
 QUERIES = {
+    "op1_golomb_exact_dedup": exact_dedup.op1_golomb_exact_dedup,
     "op2_language_families": language_id.op2_language_families,
     "op3_virtual_slot_shards": sharding.op3_virtual_slot_shards,
     "op4_weighted_mix": mixing.op4_weighted_mix,
     "op5_linear_grouping_pack": packing.op5_linear_grouping_pack,
     "op6_url_association_rules": url_rules.op6_url_association_rules,
     "op7_bit_plane_tokens": token_store.op7_bit_plane_tokens,
+    "op10_pivot_topk": pivot_topk.op10_pivot_topk,
 }
 ORACLES = {
+    "op1_golomb_exact_dedup": exact_dedup.OP1_SQL,
     "op4_weighted_mix": mixing.OP4_SQL,
+    "op10_pivot_topk": pivot_topk.OP10_SQL,
 }
