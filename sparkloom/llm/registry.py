@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, pivot_topk, sharding, token_store, url_rules
+from . import exact_dedup, language_id, mixing, ngram_join, packing, pivot_topk, sharding, substring_dedup, token_store, url_rules
 
 QUERIES = {
     "op1_golomb_exact_dedup": exact_dedup.op1_golomb_exact_dedup,
@@ -12,10 +12,14 @@ QUERIES = {
     "op5_linear_grouping_pack": packing.op5_linear_grouping_pack,
     "op6_url_association_rules": url_rules.op6_url_association_rules,
     "op7_bit_plane_tokens": token_store.op7_bit_plane_tokens,
+    "op8_grouped_prefix_join": ngram_join.op8_grouped_prefix_join,
+    "op9_sharded_suffix_arrays": substring_dedup.op9_sharded_suffix_arrays,
     "op10_pivot_topk": pivot_topk.op10_pivot_topk,
 }
 ORACLES = {
     "op1_golomb_exact_dedup": exact_dedup.OP1_SQL,
     "op4_weighted_mix": mixing.OP4_SQL,
+    "op8_grouped_prefix_join": ngram_join.op8_grouped_prefix_join,
+    "op8_grouped_prefix_join": ngram_join.OP8_SQL,
     "op10_pivot_topk": pivot_topk.OP10_SQL,
 }
