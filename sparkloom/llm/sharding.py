@@ -54,35 +54,42 @@ def lightest_first(weights: list[tuple[int, tuple]], n_shards: int) -> dict[tupl
 
 
 def split_counts(sums: list, n_shards: int) -> dict[int, int]:
-    """Into how many sub-slots each slot goes: over 1 only beyond a fair share."""
+    """Into how many sub-slots each slot goes: over 1 beyond a fair share of bytes or 4 times the mean rows."""
     fair = max(1.0, sum(r["bytes"] for r in sums) / n_shards)
-    return {r["vslot"]: (1 if r["bytes"] <= fair else 8 * math.ceil(r["bytes"] * n_shards / fair)) for r in sums}
+    mean = max(1.0, sum(r["rows"] for r in sums) / max(1, len(sums)))
+    return {
+        r["vslot"]: max(1, 8 * math.ceil(r["bytes"] / fair) if r["bytes"] > fair else 1, math.ceil(r["rows"] / mean) if r["rows"] > 4 * mean else 1)
+        for r in sums
+    }
 
 
 def build_map(records: DataFrame, n_shards: int, version: int = 1) -> list[tuple]:
-    """Rows of a slot map for ``slotted`` records."""
+    """Rows of a slot map for ``slotted`` records.
+
+    A slot over a fair share of the bytes is spread sub-slot by sub-slot; one
+    that is only long is split for sorting and stays in one shard.
+    """
     sums = records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     n_sub = split_counts(sums, n_shards)
+    fair = sum(r["bytes"] for r in sums) / n_shards
     weights = {(r["vslot"], 0): (r["bytes"], r["rows"]) for r in sums if n_sub[r["vslot"]] == 1}
-    hot = {slot: n for slot, n in n_sub.items() if n > 1}
-    if hot:
-        # At most n_shards slots can be over a fair share.
-        subs = with_sub(records.filter(F.col("vslot").isin(list(hot))), hot)
-        for r in subs.groupBy("vslot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect():
-            weights[(r["vslot"], r["sub"])] = (r["bytes"], r["rows"])
-    placed = lightest_first([(w[0], key) for key, w in weights.items()], n_shards)
+    units = [(r["bytes"], (r["vslot"], -1)) for r in sums if r["bytes"] <= fair]
+    if any(n > 1 for n in n_sub.values()):
+        subs = with_sub(records, n_sub).filter("n_sub > 1").groupBy("vslot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+        weights |= {(r["vslot"], r["sub"]): (r["bytes"], r["rows"]) for r in subs.collect()}
+    whole = {slot for _, (slot, _) in units}
+    units += [(w[0], key) for key, w in weights.items() if key[0] not in whole]
+    placed = lightest_first(units, n_shards)
     return [
-        (version, key[0], key[1], n_sub[key[0]], shard, int(weights[key][0]), int(weights[key][1]))
-        for key, shard in sorted(placed.items())
+        (version, slot, sub, n_sub[slot], placed[(slot, -1) if slot in whole else (slot, sub)], int(weights[slot, sub][0]), int(weights[slot, sub][1]))
+        for slot, sub in sorted(weights)
     ]
 
 
-def with_sub(records: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """Adds the sub-slot: 0 except in the few slots that are split."""
-    sub = F.lit(0)
-    for slot, n in sorted(hot.items()):
-        sub = F.when(F.col("vslot") == slot, F.pmod(F.col("spread"), F.lit(n)).cast("int")).otherwise(sub)
-    return records.withColumn("sub", sub)
+def with_sub(records: DataFrame, n_sub: dict[int, int]) -> DataFrame:
+    """Adds n_sub and the sub-slot, which is 0 in slots that aren't split."""
+    table = records.sparkSession.createDataFrame(sorted(n_sub.items()), "vslot int, n_sub int")
+    return records.join(F.broadcast(table), "vslot").withColumn("sub", F.pmod("spread", "n_sub").cast("int"))  # at most N_SLOTS rows
 
 
 def rebalanced(current: list[tuple], n_shards: int, tolerance: float = 0.02) -> list[tuple]:
@@ -123,21 +130,19 @@ def assign(records: DataFrame, slot_map: list[tuple]) -> DataFrame:
     """Puts each record in its shard with a gapless place there.
 
     The place is the rows of the shard's earlier slots plus the record's rank
-    in its own slot, so no task ever sorts a whole shard. Slots are sorted in
-    as many tasks as the shuffle has; a split slot in one for each sub-slot.
+    in its own sub-slot, so no task ever sorts a whole shard or a hot slot.
     """
     spark = records.sparkSession
     first, rows = {}, []
     for _, vslot, sub, _, shard, _, count in slot_map:
         rows.append((vslot, sub, shard, first.get(shard, 0)))
         first[shard] = first.get(shard, 0) + count
-    hot = {r[1]: r[3] for r in slot_map if r[3] > 1}
     table = spark.createDataFrame(rows, "vslot int, sub int, shard int, base long")
     place = Window.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size")
     return (
-        with_sub(records, hot)
+        with_sub(records, {r[1]: r[3] for r in slot_map})
         .withColumn("place", F.row_number().over(place))
-        .join(F.broadcast(table), ["vslot", "sub"])  # N_SLOTS rows and the splits of at most n_shards slots
+        .join(F.broadcast(table), ["vslot", "sub"])  # a few times N_SLOTS rows
         .select(
             "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("place") - 1).alias("slot"),
             F.col("vslot").alias("virtual_slot"),
