@@ -10,7 +10,7 @@ from sparkloom.llm.common import materialize, read_table
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in proportion to their weights; documents as often as they are taken."""
-    return mixing.mix_documents(docs, read_table(spark, sf_dir, "labels"))
+    return mixing.mix_documents(docs)
 
 
 STAGES = [("mixing sources to target weights", mix_sources)]

@@ -36,13 +36,15 @@ def draw(seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def weighed(docs: DataFrame, weight: Column, seed: str = SEED) -> DataFrame:
-    """Adds size (words), sampling key and bucket to every row."""
-    key = -F.log(draw(seed)) / F.coalesce(weight, F.lit(1.0))
-    return (
-        docs.withColumn("mix_size", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long"))
-        .withColumn("mix_key", key)
-        .withColumn("mix_bucket", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * N_BUCKETS), F.lit(N_BUCKETS - 1)).cast("int"))
+def words() -> Column:
+    """The number of words of the text; 0 for null."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def keyed(rows: DataFrame, weight: Column, seed: str = SEED) -> DataFrame:
+    """Adds the sampling key and its bucket to rows with mix_size."""
+    return rows.withColumn("mix_key", -F.log(draw(seed)) / F.coalesce(weight, F.lit(1.0))).withColumn(
+        "mix_bucket", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * N_BUCKETS), F.lit(N_BUCKETS - 1)).cast("int")
     )
 
 
@@ -144,42 +146,48 @@ def quality_weight(labels: DataFrame) -> DataFrame:
     )
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.join(quality_weight(labels), F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
+def text_quality() -> Column:
+    """A weight from the text alone, for rows that carry their text: prose of some length up, scraps down.
+
+    Prose has 3 to 9 characters a word on average. It needs no join, so the
+    texts are not shuffled for it.
+    """
+    mean = F.length("text") / F.greatest(F.col("mix_size"), F.lit(1))
+    return F.when(F.col("mix_size") < 10, 0.5).when((F.col("mix_size") >= 50) & mean.between(3, 10), 2.0).otherwise(1.0)
 
 
 def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
-    narrow = materialize(
-        weighed(docs.select("doc_id", "source", "text").transform(with_quality, labels), F.col("quality_weight"), seed)
-        .select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"),
-        "mix-rows",
-    )
+    """doc_id, size, source_size, target, taken for every document; weights from labels."""
+    sized = docs.select("doc_id", "source", words().alias("mix_size"))
+    joined = sized.join(quality_weight(labels), F.col("doc_id") == F.col("label_id"), "left")
+    narrow = materialize(keyed(joined, F.col("quality_weight"), seed).select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix-rows")
     return take(narrow, plan(narrow)).select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target",
         (F.col("whole") * F.col("mix_size") + F.col("part")).alias("taken"),
     )
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken.
+def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken; weights from the texts.
 
-    The one document at a source's line keeps its first ``part`` words.
+    The one document at a source's line keeps its first ``part`` words. Texts
+    are never shuffled: the plan's rows are one a source.
     """
     names = docs.columns
-    ready = weighed(docs.drop(*[c for c in ("quality_weight", "label_id") if c in names]).transform(with_quality, labels), F.col("quality_weight"), seed)
-    plans = plan(ready.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"))
+    clash = [c for c in names if c.startswith("mix_") or c in ("plan_source", "source_size", "target", "epochs", "line_key", "line_id", "line_size", "line_words", "whole", "part")]
+    aside = docs.select(*[F.col(f"`{c}`").alias(f"kept_{c}" if c in clash else c) for c in names])
+    ready = keyed(aside.withColumn("mix_size", words()), text_quality(), seed)
+    plans = plan(materialize(ready.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix-rows"))
     taken = take(ready, plans)
-    head = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit("(" + WORD + ")"), F.lit(1)), F.lit(1), F.greatest(F.col("part").cast("int"), F.lit(0))), " "
-    )
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(" + WORD + ")"), F.lit(1)), F.lit(1), F.greatest(F.col("part").cast("int"), F.lit(0))), " ")
     copies = F.concat(
         F.array_repeat(F.lit(False), F.col("whole").cast("int")),
         F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
     # A row that is not taken has no copies and goes here.
     spread = taken.withColumn("mix_cut", F.explode(copies))
-    return spread.select(*[F.when(F.col("mix_cut"), head).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in names])
+    back = {c: F.col(f"kept_{c}") if c in clash else F.col(f"`{c}`") for c in names}
+    return spread.select(*[(F.when(F.col("mix_cut"), head).otherwise(back[c]) if c == "text" else back[c]).alias(c) for c in names])
 
 
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
