@@ -1,19 +1,57 @@
-"""A corpus pipeline from the operators of ``sparkloom.llm``."""
+"""A corpus pipeline: five operators of ``sparkloom.llm``, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's documents. All stages
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing
+from sparkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from sparkloom.llm.common import materialize, read_table
 
+#: Below this score neither the family nor the language is really decided.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language stay, with the predicted one as ``lang``; ``und`` and undecided ones go."""
+    names = docs.columns
+    model = language_id.fit(docs)
+    judged = language_id.predict(docs, model)
+    kept = judged.filter(f"lang_pred <> '{language_id.UNKNOWN}' AND score >= {LEAST_SCORE}")
+    return kept.withColumn("lang", kept["lang_pred"]).select(names)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for blanks, the smallest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at Jaccard 0.8 or more, the smallest doc_id stays."""
+    return ngram_join.drop_near(docs)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their weights; documents as often as they are taken."""
+    """Sources in proportion to their weights; a document appears as often as it is taken."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Tokenizing, language models and packing are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
