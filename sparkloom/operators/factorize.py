@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.linalg import cross, gram, squared_norm, times_factor, times_small, transposed
+from sparkloom.operators.linalg import cross, gram, squared_norm, times_factor, transposed
 from sparkloom.session import cut_lineage
 
 EPSILON = 1e-5
@@ -73,28 +73,33 @@ def _parts(m):
     return (np.abs(m) + m) / 2, (np.abs(m) - m) / 2
 
 
-def _updated(factor: DataFrame, up: list[DataFrame], down: list[DataFrame], plus, minus, k: int) -> DataFrame:
-    """Multiplicative update: F * sqrt((sum up + F minus + e) / (sum down + F plus + e)) + e."""
-    zero = F.array(*[F.lit(0.0)] * k)
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    work = factor.select("gene", "vec").withColumn("num", zero).withColumn("den", zero)
-    for name, tables in (("num", up), ("den", down)):
-        for t in tables:
-            work = work.join(t.select("gene", F.col("vec").alias("_t")), "gene", "left").withColumn(name, add(F.col(name), F.coalesce("_t", zero))).drop("_t")
+def _updated(factor: DataFrame, products: list[tuple[DataFrame, object]], plus, minus, k: int) -> DataFrame:
+    """Multiplicative update of the rows: F * sqrt((P+ + F minus + e) / (P- + F plus + e)) + e.
 
-    def inner(weights):
-        columns = [F.array(*[F.lit(float(x)) for x in weights[:, c]]) for c in range(k)]
-        return F.array(*[F.aggregate(F.zip_with("vec", w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for w in columns])
+    P is the sum of the products (tall factor, small matrix) and P+, P- the
+    positive and negative parts of each. Rows meet their products by joins;
+    the arithmetic runs on Arrow batches.
+    """
+    work = factor.select("gene", "vec")
+    for at, (table, _) in enumerate(products):
+        work = work.join(table.select("gene", F.col("vec").alias(f"t{at}")), "gene", "left")
+    smalls = [small for _, small in products]
 
-    num, den = add(F.col("num"), inner(minus)), add(F.col("den"), inner(plus))
-    ratio = F.zip_with(num, den, lambda a, b: F.sqrt((a + EPSILON) / (b + EPSILON)))
-    return cut_lineage(work.select("gene", F.zip_with("vec", ratio, lambda x, r: x * r + EPSILON).alias("vec")))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, k)
+            num, den = x @ minus, x @ plus
+            for at, small in enumerate(smalls):
+                zero = [0.0] * small.shape[0]
+                p = np.array([r if r is not None else zero for r in batch.column(2 + at).to_pylist()], dtype=float).reshape(-1, small.shape[0]) @ small
+                num, den = num + np.maximum(p, 0), den + np.maximum(-p, 0)
+            new = x * np.sqrt((num + EPSILON) / (den + EPSILON)) + EPSILON
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(new), pa.list_(pa.float64()))], ["gene", "vec"])
 
-def _signed(product: DataFrame) -> tuple[DataFrame, DataFrame]:
-    plus = product.select("gene", F.transform("vec", lambda x: F.greatest(x, F.lit(0.0))).alias("vec"))
-    minus = product.select("gene", F.transform("vec", lambda x: F.greatest(-x, F.lit(0.0))).alias("vec"))
-    return plus, minus
+    return cut_lineage(work.mapInArrow(run, f"gene {factor.schema['gene'].dataType.simpleString()}, vec array<double>"))
 
 
 def factorize(networks: list[DataFrame], expression: DataFrame | None, k1: int, k2: int, g1: DataFrame, g2: DataFrame | None = None,
@@ -108,6 +113,8 @@ def factorize(networks: list[DataFrame], expression: DataFrame | None, k1: int,
     ``stale_projection`` keeps the expression model's first projection of G1;
     ``fixed`` updates G2 only (a partial factorisation with G1 given).
     """
+    import numpy as np
+
     networks = [cut_lineage(a.select("i", "j", "v")) for a in networks]
     expression = cut_lineage(expression.select("i", "j", "v")) if expression is not None else None
     turned = cut_lineage(transposed(expression)) if expression is not None else None
@@ -137,25 +144,20 @@ def factorize(networks: list[DataFrame], expression: DataFrame | None, k1: int,
                 break
             last = objective
         if not fixed:
-            up, down, plus, minus = [], [], 0.0, 0.0
-            for s, m in zip(out.s_networks, a_g, strict=True):
-                p, q = _signed(times_small(m, s.T))
-                up.append(p)
-                down.append(q)
-                sp, sm = _parts(s @ gram1 @ s.T)
-                plus, minus = plus + sp, minus + sm
+            products, plus, minus = [], np.zeros((k1, k1)), np.zeros((k1, k1))
+            for m, middle in zip(a_g, out.s_networks, strict=True):
+                products.append((m, middle.T))
+                p, q = _parts(middle @ gram1 @ middle.T)
+                plus, minus = plus + p, minus + q
             if expression is not None:
-                p, q = _signed(times_small(e_g, out.s_expression.T))
-                up.append(p)
-                down.append(q)
-                sp, sm = _parts(out.s_expression @ gram2 @ out.s_expression.T)
-                plus, minus = plus + sp, minus + sm
-            out.g1 = _updated(out.g1, up, down, plus, minus, k1)
+                products.append((e_g, out.s_expression.T))
+                p, q = _parts(out.s_expression @ gram2 @ out.s_expression.T)
+                plus, minus = plus + p, minus + q
+            out.g1 = _updated(out.g1, products, plus, minus, k1)
         if expression is not None:
             back = times_factor(turned, out.g1, k1)
-            p, q = _signed(times_small(back, out.s_expression))
-            sp, sm = _parts(out.s_expression.T @ gram(out.g1, k1) @ out.s_expression)
-            out.g2 = _updated(out.g2, [p], [q], sp, sm, k2)
+            plus, minus = _parts(out.s_expression.T @ gram(out.g1, k1) @ out.s_expression)
+            out.g2 = _updated(out.g2, [(back, out.s_expression)], plus, minus, k2)
     return out
 
 
