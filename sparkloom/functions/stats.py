@@ -130,7 +130,7 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: list[str] | None = No
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u = u1 if alternative == "greater" else n1 * n2 - u1
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
     z = F.try_divide(u - n1 * n2 / 2 - 0.5, sd)
     return sums.select(*keys, "n1", "n2", u1.alias("u1"), z.alias("z"), normal_sf(z).alias("p"))
 

@@ -23,12 +23,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """1 - cosine; null for a zero vector."""
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def angular_distance(a: Column, b: Column) -> Column:
-    """Angle over pi; NaN (a zero vector) becomes 0."""
-    return F.nanvl(F.acos(F.least(F.greatest(1 - cosine_distance(a, b), F.lit(-1.0)), F.lit(1.0))) / F.pi(), F.lit(0.0))
+    """Angle over pi; 0 for a zero vector."""
+    cosine = 1 - cosine_distance(a, b)
+    return F.when(cosine.isNull(), 0.0).otherwise(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) / F.pi())
 
 
 def half_chord(a: Column, b: Column) -> Column:
@@ -43,7 +45,7 @@ def hard_cluster(v: Column) -> Column:
 
 def shares(v: Column) -> Column:
     total = _total(v)
-    return F.transform(v, lambda x: x.cast("double") / total)
+    return F.transform(v, lambda x: F.try_divide(x.cast("double"), total))
 
 
 def softmax(v: Column) -> Column:

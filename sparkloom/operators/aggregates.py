@@ -87,7 +87,7 @@ def dispersion(assigned: DataFrame) -> DataFrame:
     met = comembership(assigned).groupBy("runs").agg(F.count("*").alias("pairs"))
     c = F.col("runs") / F.col("r")
     return met.crossJoin(F.broadcast(sizes)).agg(  # one row
-        ((F.max("g") * F.max("g") + 2 * F.sum(F.col("pairs") * (4 * (c - 0.5) * (c - 0.5) - 1))) / (F.max("g") * F.max("g"))).alias("rho")
+        F.try_divide(F.max("g") * F.max("g") + 2 * F.sum(F.col("pairs") * (4 * (c - 0.5) * (c - 0.5) - 1)), F.max("g") * F.max("g")).alias("rho")
     )
 
 
@@ -98,7 +98,7 @@ def rand_index(a: DataFrame, b: DataFrame) -> DataFrame:
     squares = lambda df, name: df.agg(F.sum(F.col("n") * F.col("n")).alias(name), *([F.sum("n").alias("all")] if name == "cc" else []))
     one = squares(cells, "cc").crossJoin(squares(rows, "rr")).crossJoin(squares(columns, "kk"))  # one row each
     pairs = F.col("all") * (F.col("all") - 1) / 2
-    return one.select(((pairs + F.col("cc") - (F.col("rr") + F.col("kk")) / 2) / pairs).alias("rand"))
+    return one.select(F.try_divide(pairs + F.col("cc") - (F.col("rr") + F.col("kk")) / 2, pairs).alias("rand"))
 
 
 def run_pairs_rand(assigned: DataFrame) -> DataFrame:
@@ -114,4 +114,4 @@ def run_pairs_rand(assigned: DataFrame) -> DataFrame:
     rr = cells.groupBy("a", "b", "x").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(square.alias("rr"))
     kk = cells.groupBy("a", "b", "y").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(square.alias("kk"))
     pairs = F.col("all") * (F.col("all") - 1) / 2
-    return cc.join(rr, ["a", "b"]).join(kk, ["a", "b"]).select("a", "b", ((pairs + F.col("cc") - (F.col("rr") + F.col("kk")) / 2) / pairs).alias("rand"))
+    return cc.join(rr, ["a", "b"]).join(kk, ["a", "b"]).select("a", "b", F.try_divide(pairs + F.col("cc") - (F.col("rr") + F.col("kk")) / 2, pairs).alias("rand"))

@@ -45,7 +45,7 @@ def cluster_enrichment(clusters: DataFrame, genes: DataFrame, alpha: float = 0.0
 def enrichment_summary(tested: DataFrame) -> DataFrame:
     """One row: share of clusters enriched, share of marked genes in them, mean fold (null for none)."""
     return tested.agg(
-        (F.count_if("enriched") / F.count("*")).alias("share_clusters"),
+        F.try_divide(F.count_if("enriched").cast("double"), F.count("*")).alias("share_clusters"),
         F.try_divide(F.sum(F.when(F.col("enriched"), F.col("X")).otherwise(0)).cast("double"), F.max("K")).alias("share_genes"),
         F.avg(F.when(F.col("enriched"), F.col("fold"))).alias("mean_fold"),
     )

@@ -25,4 +25,4 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def stream_tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The streaming form: state is dropped once the watermark has passed a window."""
-    return tumbling(events.withWatermark("ts", late), width)
+    return tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
