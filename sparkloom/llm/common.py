@@ -10,6 +10,7 @@ from sparkloom.session import cut_lineage, materialize, scratch_path, shared_dir
 __all__ = [
     "BLANKS",
     "WORD",
+    "bounded_batches",
     "cut_lineage",
     "materialize",
     "partitions_for",
@@ -38,6 +39,17 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Smaller Arrow batches, unless the session sets a size itself.
+
+    Spark's default of 64 MB a batch is held several times over in each task
+    (in the JVM, in the Python worker, and as Python objects).
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key) and spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def sized_semi_join(df: DataFrame, keys: DataFrame, key: str, limit_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys`` (distinct, written before).
 

@@ -13,7 +13,10 @@ candidates there are.
    size, place) in packed blocks. An owner drops hashes that one group alone
    has and returns the others as rows.
 3. In each posting list, groups are joined under the length and the positional
-   filter, then expanded to classes, and each pair is verified on whole sets.
+   filter, then expanded to classes. Prefixes are long enough that two similar
+   sets must share many of their elements, not one: a pair stays only if what
+   its prefixes share and what lies behind them can reach the similarity.
+4. Each pair that is left is verified on whole sets.
 
 A list of a few groups emits all its pairs. A longer list (near copies in
 thousands) first links all its members to one of them, which makes as many
@@ -36,7 +39,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, materialize, partitions_for, read_table, sized_semi_join
+from .common import bounded_batches, cut_lineage, materialize, partitions_for, read_table, sized_semi_join
 from .tokens import sliced
 
 N = 5
@@ -46,65 +49,134 @@ SKETCH_BITS = 20
 #: Lists of up to this many groups emit all pairs at once.
 SHORT_LIST = 6
 MAX_ROUNDS = 8
-MEMO_WORDS = 1_000_000
-_words: dict[bytes, int] = {}
+#: Bytes of text whose words are hashed at once.
+PIECE_BYTES = 1 << 20
+_powers: list = []
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def mixed(x):
+    """A bijective scrambling of 64-bit integers (splitmix64's finish)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]):
-    """64-bit hashes of words, remembered by the Python worker."""
+def byte_tables():
+    """For each byte its value in the word hash (A-Z as a-z), and whether it is an ASCII blank."""
     import numpy as np
 
-    new = set(words).difference(_words)
-    if len(_words) + len(new) <= MEMO_WORDS:
-        _words.update((w, word_hash(w)) for w in new)
-        return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    extra = {w: word_hash(w) for w in new}
-    return np.fromiter((extra[w] if w in extra else _words[w] for w in words), dtype=np.uint64, count=len(words))
+    codes = np.arange(256, dtype=np.uint64)
+    codes[65:91] += np.uint64(32)
+    blank = np.zeros(256, dtype=bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    return mixed((codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), blank
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """A-Z lower-cased, cut at runs of ASCII blanks (both are what bytes do)."""
-    return text.lower().split()
+def powers(n: int):
+    """B ** i and its inverse in 64 bits, kept by the worker."""
+    import numpy as np
 
+    if not _powers or len(_powers[0]) < n:
+        base = 0xD1342543DE82EF95
+        both = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(n, 2 * PIECE_BYTES), factor, dtype=np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _powers[:] = both
+    return _powers[0][:n], _powers[1]
 
-def mixed(x):
-    """A bijective scrambling of 64-bit integers (splitmix64's finish)."""
+
+def hashed_words(data: bytes):
+    """The 64-bit hash and the start of every word of some text.
+
+    A word's hash is a polynomial in its bytes' random values, taken from one
+    running sum over the text, and scrambled; no word becomes an object.
+    """
     import numpy as np
 
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    values, blank = byte_tables()
+    octets = np.frombuffer(data, dtype=np.uint8)
+    inside = np.empty(len(octets) + 2, dtype=np.int8)
+    inside[0] = inside[-1] = 0
+    inside[1:-1] = ~blank[octets]
+    change = np.diff(inside)
+    start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    up, down = powers(len(octets) + 1)
+    total = np.zeros(len(octets) + 1, dtype=np.uint64)
+    np.cumsum(values[octets] * up[:-1], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def pieces_of(text: bytes, size: int = PIECE_BYTES):
+    """Cuts a long text between words."""
+    import re
+
+    at = 0
+    while len(text) - at > size:
+        cut = re.compile(rb"[\x20\x09-\x0D]").search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 def shingle_sets(texts: list[bytes | None], n: int = N) -> list:
     """The sorted distinct shingle hashes of each text in UTF-8."""
     import numpy as np
 
-    listed = [words_of(t) if t else [] for t in texts]
-    counts = [len(w) for w in listed]
-    hashes = word_hashes([w for words in listed for w in words])
-    out, at = [], 0
+    out: list = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush():
+        nonlocal held, size
+        if held:
+            hashes, start = hashed_words(b" ".join(held))
+            edges = np.cumsum([0] + [len(t) + 1 for t in held])
+            cuts = np.searchsorted(start, edges)
+            out.extend(of_words(hashes, cuts, n))
+        held, size = [], 0
+
+    for text in texts:
+        text = text or b""
+        if len(text) > PIECE_BYTES:
+            flush()
+            hashes = np.concatenate([hashed_words(p)[0] for p in pieces_of(text)])
+            out.extend(of_words(hashes, np.array([0, len(hashes)]), n))
+            continue
+        if size + len(text) > PIECE_BYTES:
+            flush()
+        held.append(text)
+        size += len(text) + 1
+    flush()
+    return out
+
+
+def of_words(hashes, cuts, n: int):
+    """The shingle sets of the documents whose words lie between the cuts."""
+    import numpy as np
+
     factor = np.uint64(0x9E3779B97F4A7C15)
     rolled = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
     for k in range(n):
         rolled = rolled * factor + hashes[k : k + len(rolled)]
     rolled = mixed(rolled)
-    for count in counts:
+    for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        count = end - at
         if count >= n:
-            out.append(np.unique(rolled[at : at + count - n + 1]))
+            shingles = np.sort(rolled[at : end - n + 1])
+            yield shingles[np.append(True, shingles[1:] != shingles[:-1])]
         elif count:
             value = np.array([count], dtype=np.uint64)
-            for k in range(at, at + count):
+            for k in range(at, end):
                 value = (value * factor) ^ hashes[k : k + 1]
-            out.append(mixed(value))
+            yield mixed(value)
         else:
-            out.append(rolled[:0])
-        at += count
-    return out
+            yield rolled[:0]
 
 
 def sketch(docs: DataFrame, n: int) -> bytes:
@@ -159,7 +231,7 @@ def scanned(docs: DataFrame, counts: bytes, n: int, num: int, den: int, n_owners
         sketched = np.frombuffer(shared.value, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("grp", pa.int64()), ("owner", pa.int32()), ("postings", pa.binary())])
         seen: set[int] = set()
-        for batch in (x for whole in batches for x in sliced(whole, "text", 1 << 23)):
+        for batch in (x for whole in batches for x in sliced(whole, "text", 1 << 22)):
             ids, sizes, sigs, groups, sent = batch.column(0), [], [], [], []
             for x in shingle_sets(batch.column(1).to_pylist(), n):
                 sizes.append(len(x))
@@ -249,7 +321,7 @@ def may_link(a: str, b: str, num: int, den: int):
     return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & (most * (num + den) >= num * (sa + sb))
 
 
-def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the graph with edges (a, b).
 
     Large-star and small-star steps by turns; lineage is cut at each turn.
@@ -273,6 +345,17 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         edges = new
 
 
+def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after new links: components of components, which are few, then one join."""
+    at = lambda end: links.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left")
+    ends = at("a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("b_c")), "b", "left")
+    ends = ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).distinct()
+    joined = components(ends)
+    every = labels.unionAll(joined.select("node", F.col("node").alias("component")).join(labels.select("node"), "node", "left_anti"))
+    new = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return materialize(every.join(new, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of node ids whose whole sets reach the similarity."""
 
@@ -283,15 +366,17 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         for batch in batches:
             a, b, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
             for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y)
-                common = both - len(np.union1d(x, y))
-                keep.append(den * common >= num * (both - common))
+                merged = np.sort(np.frombuffer(x + y, "<u8"))  # each set is distinct
+                common = int((merged[1:] == merged[:-1]).sum())
+                keep.append(den * common >= num * (len(merged) - common))
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
+    both_ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sized_semi_join(sets, both_ends, "node")
+    # Sets are the bulk, so both joins shuffle at every size.
+    left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
+    both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
     return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -315,6 +400,7 @@ def similar_groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     A node is a class of documents with equal sets, named by its smallest id.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n_owners = max(8, partitions_for(spark))
     whole = materialize(scanned(docs, sketch(docs, n), n, num, den, n_owners), "shingled")
     rows = whole.filter("owner is null").select("doc_id", "n_shingles", "sig", "grp")
@@ -322,68 +408,102 @@ def similar_groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
         rows.filter("n_shingles > 0").groupBy("sig", "grp").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")).filter("node is not null"), "classes"
     )
     lists = materialize(shared_postings(whole.filter("owner is not null")), "postings")
-    # Groups of several classes are a list of their own: their members must be verified as well.
+    # Groups of several classes have equal prefixes: each prefix element is a list of theirs as well.
     inside = members.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
-    own = members.join(inside, "grp").select(F.col("grp").alias("hash"), "node", F.col("size").cast("int").alias("size"), F.lit(0).alias("at"))
-    expanded = lists.join(members.select("grp", "node"), "grp").select("hash", "node", "size", "at").unionAll(own)
+    own = members.join(inside, "grp").select(F.col("grp").alias("hash"), "node", F.col("size").cast("int").alias("size"), F.lit(0).alias("at"), F.lit(True).alias("same"))
+    expanded = lists.join(members.select("grp", "node"), "grp").select("hash", "node", "size", "at", F.lit(False).alias("same")).unionAll(own)
     counted = expanded.groupBy("hash").agg(F.count("*").alias("k"))
     listed = materialize(expanded.join(counted, "hash"), "lists")
     short, long = listed.filter(F.col("k") <= SHORT_LIST), listed.filter(F.col("k") > SHORT_LIST)
-    pairs = list_pairs(short, num, den)
+    in_short = materialize(list_pairs(short, num, den), "short-pairs")
+    in_long = materialize(long.groupBy("node").agg(F.count("*").alias("n_long")), "long-lists")
     hubs = hub_pairs(long.withColumn("component", F.col("node")), 0, num, den)
-    asked = materialize(pairs.unionAll(hubs).distinct(), "pairs")
-    nodes = materialize(asked.select(F.col("a").alias("node")).unionAll(asked.select(F.col("b").alias("node"))).unionAll(long.select("node")).distinct(), "nodes")
+    asked = materialize(reachable(in_short.filter("passes").select("a", "b", "a_size", "b_size", "same").unionAll(hubs), in_short, in_long, num, den), "pairs")
+    nodes = materialize(asked.select(F.col("a").alias("node")).unionAll(asked.select(F.col("b").alias("node"))).unionAll(in_long.select("node")).distinct(), "nodes")
     sets = materialize(node_sets(docs, nodes, n), "sets")
     links = materialize(verified(asked, sets, num, den), "links")
-    labels = components(links, spark)
-    long = long.select("hash", "node", "size", "at")
+    labels = components(links)
+    long = long.select("hash", "node", "size", "at", "same")
+    stalled = False
     for turn in range(1, MAX_ROUNDS + 1):
         open_lists = materialize(unsettled(long, labels), "open-lists")
         size = open_lists.count()
         if not size:
             break
-        cross = cross_pairs_bound(open_lists)
-        last = cross <= 4 * size or turn == MAX_ROUNDS
-        new = (cross_pairs(open_lists, num, den) if last else hub_pairs(open_lists, turn, num, den)).distinct()
-        new = materialize(new.join(asked, ["a", "b"], "left_anti"), "pairs")
+        last = stalled or turn == MAX_ROUNDS or cross_pairs_bound(open_lists) <= 8 * size
+        tried = cross_pairs(open_lists, num, den) if last else hub_pairs(open_lists, turn, num, den)
+        new = materialize(reachable(tried.join(asked, ["a", "b"], "left_anti"), in_short, in_long, num, den), "pairs")
         found = materialize(verified(new, sets, num, den), "links")
-        links, asked = links.unionAll(found), asked.unionAll(new)
-        if found.limit(1).count():
-            labels = components(links, spark)
+        stalled = not found.limit(1).count()
+        if not stalled:
+            labels = merged_components(labels, found)
         if last:
             break
-        long = open_lists.select("hash", "node", "size", "at")
+        asked = asked.unionAll(new)
+        long = open_lists.select("hash", "node", "size", "at", "same")
     nodes_by_sig = members.groupBy("sig").agg(F.min("node").alias("node"))
     return rows.select("doc_id", "n_shingles", "sig").join(nodes_by_sig, "sig", "left"), labels
 
 
+def reachable(pairs: DataFrame, in_short: DataFrame, in_long: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose overlap can reach the similarity, by what their prefixes share.
+
+    Shared prefix elements are known for short lists and at most the smaller
+    number of long lists of the two. Of the set whose prefix ends first in
+    the global order, only the elements behind its prefix can add to them.
+    """
+    def behind(size):
+        return F.floor(F.lit(num) * size / den + F.lit(1 - 1e-9)) - 1  # size - prefix_length(size)
+
+    counts = in_short.select("a", "b", "shared")
+    pairs = pairs.groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"), F.max("same").alias("same"))
+    a_long = in_long.select(F.col("node").alias("a"), F.col("n_long").alias("a_long"))
+    b_long = in_long.select(F.col("node").alias("b"), F.col("n_long").alias("b_long"))
+    met = pairs.join(counts, ["a", "b"], "left").join(a_long, "a", "left").join(b_long, "b", "left")
+    shared = F.coalesce("shared", F.lit(0)) + F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
+    most = shared + F.greatest(behind(F.col("a_size")), behind(F.col("b_size")))
+    return met.filter(F.col("same") | (most * (num + den) >= num * (F.col("a_size") + F.col("b_size")))).select("a", "b")
+
+
 def list_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of the (short) lists that pass the filters."""
-    a = lists.select("hash", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
+    """a, b, sizes, shared, same, passes: the pairs of the short lists, in how many they meet, and whether one lets them pass."""
+    a = lists.select("hash", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), "same")
     b = lists.select("hash", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
-    return a.join(b, "hash").filter((F.col("a") < F.col("b")) & may_link("a", "b", num, den)).select("a", "b").distinct()
+    return a.join(b, "hash").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(
+        F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"), F.count("*").alias("shared"), F.max("same").alias("same"), F.max(may_link("a", "b", num, den)).alias("passes")
+    )
 
 
 def hub_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Every member of a list with one hub that has another component.
+    """Every member of a list with its hubs, where these have another component.
 
-    The hub comes from the middle of the sizes around a place that changes by
-    turn and is drawn from the list's largest component when there are some.
+    Up to six hubs are drawn anew each turn: three members of the component
+    that has most members in the list, and three of all members.
     """
     draw = F.xxhash64(F.col("node"), F.lit(turn))
-    sizes = lists.groupBy("hash", "component").agg(F.count("*").alias("m"), F.min_by(F.struct("node", "size", "at"), draw).alias("hub"))
-    hubs = sizes.groupBy("hash").agg(F.max_by(F.struct("component", "hub"), F.struct("m", "component")).alias("top"))
-    hubs = hubs.select("hash", F.col("top.component").alias("hub_component"), F.col("top.hub.node").alias("b"), F.col("top.hub.size").alias("b_size"), F.col("top.hub.at").alias("b_at"))
-    met = lists.select("hash", "component", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at")).join(hubs, "hash")
+    entry = F.struct(draw.alias("d"), F.col("node"), F.col("size"), F.col("at"), F.col("component"))
+    sizes = lists.groupBy("hash", "component").agg(
+        F.count("*").alias("m"), F.min(entry).alias("h0"), F.min_by(entry, F.xxhash64("node", F.lit(turn + 100))).alias("h1"), F.min_by(entry, F.xxhash64("node", F.lit(turn + 200))).alias("h2")
+    )
+    hubs = sizes.groupBy("hash").agg(
+        F.max_by(F.array("h0", "h1", "h2"), F.struct("m", "component")).alias("top"),
+        F.array(F.min("h0"), F.min_by("h1", F.xxhash64(F.col("h1.node"), F.lit(turn + 100))), F.min_by("h2", F.xxhash64(F.col("h2.node"), F.lit(turn + 200)))).alias("any"),
+    ).select("hash", F.explode(F.array_distinct(F.concat("top", "any"))).alias("hub"))
+    hubs = hubs.select("hash", F.col("hub.component").alias("hub_component"), F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at"))
+    met = lists.select("hash", "component", "same", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at")).join(hubs, "hash")
     met = met.filter((F.col("component") != F.col("hub_component")) & (F.col("a") != F.col("b")) & may_link("a", "b", num, den))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    swap = F.col("a") > F.col("b")
+    return met.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(swap, F.col("b_size")).otherwise(F.col("a_size")).alias("a_size"), F.when(swap, F.col("a_size")).otherwise(F.col("b_size")).alias("b_size"), "same",
+    )
 
 
 def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that still hold several components, with each member's component."""
     labelled = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
-    return labelled.join(several, "hash", "left_semi").select("hash", "node", "size", "at", "component")
+    return labelled.join(several, "hash", "left_semi").select("hash", "node", "size", "at", "same", "component")
 
 
 def cross_pairs_bound(lists: DataFrame) -> int:
@@ -396,8 +516,8 @@ def cross_pairs_bound(lists: DataFrame) -> int:
 def cross_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs between different components of a list that pass the filters."""
     a = lists.select("hash", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
-    b = lists.select("hash", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
-    return a.join(b, "hash").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b", num, den)).select("a", "b").distinct()
+    b = lists.select("hash", "same", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
+    return a.join(b, "hash").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b", num, den)).select("a", "b", "a_size", "b_size", "same")
 
 
 def similarity_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
