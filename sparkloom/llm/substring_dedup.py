@@ -12,12 +12,13 @@ document with a smaller id. Each start position (window) is judged by itself:
    its windows are matched. If a name has several different runs, these must
    be compared byte by byte, and only their smallest documents' bytes are sent.
 3. Owners of names build suffix arrays over these bytes, one for each shard of
-   about ``SHARD_BYTES``: Larsson-Sadakane refinement (ranks of 8, 16, 32 and
-   then exactly ``LENGTH`` bytes, only groups that are still tied are sorted
-   again) and Kasai's common prefixes of neighbours. Neighbours that share
-   ``LENGTH`` bytes form a group; a window is matched if its group holds a
-   smaller document. Shards of one owner are merged by binary search of one
-   shard's groups among the other's.
+   about ``SHARD_BYTES``: Larsson-Sadakane refinement (ranks of 5, 10, 20, 40
+   and then exactly ``LENGTH`` bytes, only groups that are still tied are
+   sorted again) and Kasai's common prefixes of neighbours. Neighbours that
+   share ``LENGTH`` bytes form a group; a window is matched if its group holds
+   a smaller document. Runs of one name share a shard; if they are too many
+   for one, their shards are merged by binary search of one shard's groups
+   among the other's.
 4. Blocks mark what the answers match, in their own positions.
 
 Hashes have 128 bits in all (name and run), and bytes decide wherever a name
@@ -37,12 +38,12 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, read_table
+from .common import bounded_batches, materialize, partitions_for, read_table
 
 LENGTH = 50
 GRAM = 12
-BLOCK_BYTES = 1 << 21
-SHARD_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 19
+SHARD_BYTES = 1 << 19
 NO_ID = (1 << 63) - 1
 #: Answers are broadcast to the blocks up to this many bytes; beyond it Spark shuffles blocks and answers.
 BROADCAST_BYTES = 64 << 20
@@ -106,6 +107,12 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInArrow(run, "block long, ids binary, nulls binary, ends binary, data binary")
 
 
+def rows_of(batch):
+    """The rows of an Arrow batch as dicts, one at a time."""
+    for k in range(batch.num_rows):
+        yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 class Block:
     """The runs of one block and its distinct entries (name, run), in order."""
 
@@ -178,7 +185,7 @@ def announced(blocks: DataFrame, n_owners: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = Block(row["ids"], row["ends"], row["data"])
                 cuts = owner_cuts(b.names, n_owners)
                 some = [o for o in range(n_owners) if cuts[o + 1] > cuts[o]]
@@ -245,14 +252,14 @@ def joined(blocks: DataFrame, answers: DataFrame, how: str) -> DataFrame:
 
 
 def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
-    """owner, block, entries, docs, ends, data: the bytes of contested runs."""
+    """owner, block, entries, names, docs, ends, data: the bytes of contested runs."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = Block(row["ids"], row["ends"], row["data"])
                 wanted = np.flatnonzero(flags(b, row["answers"], "contested"))
                 if not len(wanted):
@@ -266,14 +273,14 @@ def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
                     if cuts[o + 1] > cuts[o]:
                         parts = [data[x:y] for x, y in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True)]
                         ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-                        out.append((o, row["block"], wanted[mine].astype("<i8").tobytes(), b.least[wanted[mine]].astype("<i8").tobytes(), ends.tobytes(), b"".join(parts)))
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                names = ("owner", "block", "entries", "docs", "ends", "data")
+                        out.append((o, row["block"], wanted[mine].astype("<i8").tobytes(), b.names[wanted[mine]].tobytes(), b.least[wanted[mine]].astype("<i8").tobytes(), ends.tobytes(), b"".join(parts)))
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                names = ("owner", "block", "entries", "names", "docs", "ends", "data")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], list(names))
 
     some = answers.filter(F.exists("answers", lambda a: a["any_contested"]))
     return joined(blocks, some, "inner").select("block", "ids", "ends", "data", "answers").mapInArrow(
-        run, "owner int, block long, entries binary, docs binary, ends binary, data binary"
+        run, "owner int, block long, entries binary, names binary, docs binary, ends binary, data binary"
     )
 
 
@@ -289,36 +296,49 @@ def suffix_order(data: bytes, starts, length: int = LENGTH):
     """The starts in the order of their first ``length`` bytes, by refinement of ranks.
 
     Ranks cover every position; only positions in groups that are still tied
-    are sorted at the next depth, as Larsson and Sadakane do.
+    are sorted at the next depth, as Larsson and Sadakane do. A rank, the rank
+    of the suffix further on and the position go into one 64-bit number while
+    they fit, since sorting plain numbers is several times faster.
     """
     import numpy as np
 
     n = len(data)
-    order = np.argsort(big_words(data), kind="stable")
-    words = big_words(data)[order]
+    bits = np.uint64(n.bit_length())
+    small = 3 * int(bits) <= 64 and int(bits) <= 24
+    mask = (np.uint64(1) << bits) - np.uint64(1)
     head = np.ones(n, dtype=bool)
-    head[1:] = words[1:] != words[:-1]
-    rank = np.empty(n, dtype=np.int64)
+    if small:
+        key = ((big_words(data) >> np.uint64(24)) << bits) | np.arange(n, dtype=np.uint64)
+        key.sort()
+        order, key = (key & mask).astype(np.int32), key >> bits
+    else:
+        order = np.argsort(big_words(data) >> np.uint64(24), kind="stable")
+        key = (big_words(data) >> np.uint64(24))[order]
+    head[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, dtype=np.int32 if small else np.int64)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    depth = 8
+    depth = 5
     while depth < length:
         step = min(depth, length - depth)
-        alone = head & np.append(head[1:], True)
-        tied = np.flatnonzero(~alone)
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(tied):
             break
         at = order[tied]
-        group = rank[at]
-        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)], -1)
-        inner = np.lexsort((after, group))
-        at, group, after = at[inner], group[inner], after[inner]
-        order[tied] = at  # groups keep their places, members change theirs
+        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
         fresh = np.ones(len(at), dtype=bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        if small:
+            key = (((rank[at].astype(np.uint64) << bits) | after.astype(np.uint64)) << bits) | at.astype(np.uint64)
+            key.sort()
+            at, key = (key & mask).astype(np.int32), key >> bits
+            fresh[1:] = key[1:] != key[:-1]
+        else:
+            group = rank[at]
+            inner = np.lexsort((after, group))
+            at, group, after = at[inner], group[inner], after[inner]
+            fresh[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        order[tied] = at  # groups keep their places, members change theirs
         head[tied] = fresh
-        new = tied[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        rank = rank.copy()
-        rank[at] = new
+        rank[at] = tied[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         depth += step
     wanted = np.zeros(n, dtype=bool)
     wanted[starts] = True
@@ -328,7 +348,7 @@ def suffix_order(data: bytes, starts, length: int = LENGTH):
 def common_prefixes(data: bytes, order, length: int = LENGTH):
     """Kasai's array up to ``length``: bytes each suffix shares with the one before it.
 
-    Pairs are compared in text order, eight bytes at a time.
+    All pairs are compared at once, eight bytes at a time; pairs that differ drop out.
     """
     import numpy as np
 
@@ -337,18 +357,14 @@ def common_prefixes(data: bytes, order, length: int = LENGTH):
     if len(order) < 2:
         return out
     left, right = order[:-1], order[1:]
-    by_text = np.argsort(right, kind="stable")
-    left, right = left[by_text], right[by_text]
-    shared, live = np.zeros(len(right), dtype=np.int64), np.arange(len(right))
+    live = np.arange(len(right))
     for at in range(0, length, 8):
-        differs = words[left[live] + at] ^ words[right[live] + at]
+        differs = words[left + at] ^ words[right + at]
         same = differs == 0
-        rest = live[~same]
         # The highest differing bit tells how many whole bytes agree.
-        shared[rest] = at + (64 - bit_length(differs[~same])) // 8
-        live = live[same]
-    shared[live] = length
-    out[1:][by_text] = np.minimum(shared, length)
+        out[1:][live[~same]] = np.minimum(at + (64 - bit_length(differs[~same])) // 8, length)
+        left, right, live = left[same], right[same], live[same]
+    out[1:][live] = length
     return out
 
 
@@ -377,7 +393,7 @@ class Shard:
         head = common_prefixes(data, self.order, length) < length
         head[:1] = True
         self.group = np.cumsum(head) - 1
-        owner = np.asarray(docs)[np.searchsorted(ends, self.order, side="right")]
+        owner = np.repeat(np.asarray(docs), ends - begins)[self.order]
         self.doc = owner
         self.first = np.flatnonzero(head)
         self.least = np.minimum.reduceat(owner, self.first) if len(owner) else owner
@@ -452,50 +468,68 @@ def settled(messages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        shards, pieces, size = [], [], 0
-        places: list[list[tuple[int, object, object]]] = []
-
-        def close():
-            nonlocal pieces, size
-            if pieces:
-                data, ends, docs, where = b"".join(p[0] for p in pieces), [], [], []
-                base = 0
-                for part, part_ends, part_docs, block, entries in pieces:
-                    ends.append(part_ends + base)
-                    docs.append(part_docs)
-                    where.append((block, entries, part_ends + base, base))
-                    base += len(part)
-                shards.append(Shard(data, np.concatenate(ends), np.concatenate(docs)))
-                places.append(where)
-            pieces, size = [], 0
-
-        for k in range(table.num_rows):
-            get = lambda name, k=k: table.column(name)[k].as_py()
-            part = get("data")
-            if pieces and size + len(part) > shard_bytes:
-                close()
-            pieces.append((part, np.frombuffer(get("ends"), "<i8"), np.frombuffer(get("docs"), "<i8"), get("block"), np.frombuffer(get("entries"), "<i8")))
-            size += len(part)
-        close()
-        merge(shards)
+        column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        entries, ends = column("entries", "<i8"), column("ends", "<i8")
+        names, docs = np.concatenate(column("names", "<u8")), np.concatenate(column("docs", "<i8"))
+        data = np.concatenate(column("data", np.uint8))
+        sizes = np.concatenate([np.diff(e, prepend=0) for e in ends])
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(names, kind="stable")
+        hit = np.zeros(len(data), dtype=bool)
+        for same_name, groups in shard_cuts(names[order], sizes[order], shard_bytes):
+            shards, places = [], []
+            for a, b in groups:
+                mine = order[a:b]
+                stops = np.cumsum(sizes[mine])
+                place = np.repeat(begins[mine] - (stops - sizes[mine]), sizes[mine]) + np.arange(stops[-1])
+                shards.append(Shard(data[place].tobytes(), stops, docs[mine]))
+                places.append(place)
+            if same_name:
+                merge(shards)
+            for shard, place in zip(shards, places, strict=True):
+                hit[place] = shard.matched()
         out = {"block": [], "entries": [], "sizes": [], "bits": []}
-        for shard, where in zip(shards, places, strict=True):
-            hit = shard.matched()
-            for block, entries, ends, base in where:
-                begins = np.concatenate([[base], ends[:-1]])
-                any_hit = np.add.reduceat(hit, begins) > 0
-                some = np.flatnonzero(any_hit)
-                if len(some):
-                    windows = ends[some] - begins[some] - LENGTH + 1
-                    bits = np.concatenate([hit[a : a + n] for a, n in zip(begins[some].tolist(), windows.tolist(), strict=True)])
-                    for key, value in zip(out, (block, entries[some].tobytes(), windows.astype("<i8").tobytes(), np.packbits(bits).tobytes()), strict=True):
-                        out[key].append(value)
+        at, any_hit = 0, np.logical_or.reduceat(hit, begins) if len(begins) else hit
+        for block, ids in zip(table.column("block").to_pylist(), entries, strict=True):
+            first, size, some = begins[at : at + len(ids)], sizes[at : at + len(ids)], np.flatnonzero(any_hit[at : at + len(ids)])
+            at += len(ids)
+            if len(some):
+                windows = size[some] - LENGTH + 1
+                bits = np.concatenate([hit[a : a + n] for a, n in zip(first[some].tolist(), windows.tolist(), strict=True)])
+                for key, value in zip(out, (block, ids[some].tobytes(), windows.astype("<i8").tobytes(), np.packbits(bits).tobytes()), strict=True):
+                    out[key].append(value)
         types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return messages.groupBy("owner").applyInArrow(run, "block long, entries binary, sizes binary, bits binary")
 
 
+def shard_cuts(names, sizes, shard_bytes: int):
+    """(whether all have one name, [(from, to)]) over runs in the order of their names.
+
+    Names are kept together; one that is too large for a shard gets several of its own.
+    """
+    import numpy as np
+
+    edges = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names)).tolist()
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    start = 0
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if total[b] - total[start] <= shard_bytes:
+            continue
+        if a > start:
+            yield False, [(start, a)]
+        start = a
+        if total[b] - total[a] > shard_bytes:
+            cuts = [a]
+            while cuts[-1] < b:
+                cuts.append(max(cuts[-1] + 1, min(b, int(np.searchsorted(total, total[cuts[-1]] + shard_bytes, side="right")) - 1)))
+            yield True, list(zip(cuts[:-1], cuts[1:], strict=True))
+            start = b
+    if start < len(names):
+        yield False, [(start, len(names))]
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -507,7 +541,7 @@ def marked(blocks: DataFrame, with_parts: bool) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 yield from judge(row, with_parts, np, pa)
 
     parts = ", spans array<struct<start: long, end: long>>, kept binary" if with_parts else ""
@@ -565,7 +599,8 @@ def judge(row: dict, with_parts: bool, np, pa):
 def remove_repeats(docs: DataFrame, with_parts: bool = False, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and spans, kept)."""
     spark = docs.sparkSession
-    n_owners = max(8, partitions_for(spark))
+    bounded_batches(spark)
+    n_owners = max(32, 4 * partitions_for(spark))  # a group is what a Python worker holds
     blocks = materialize(packed(docs, block_bytes), "blocks")
     raw = materialize(answered(announced(blocks, n_owners)), "answers")
     one = F.struct(
