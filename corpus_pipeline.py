@@ -12,16 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from sparkloom.llm.common import materialize, read_table
 
-#: Below this score neither the family nor the language is really decided.
-LEAST_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language stay, with the predicted one as ``lang``; ``und`` and undecided ones go."""
+    """Documents in some language stay, with the predicted one as ``lang``; those without any (``und``) go."""
     names = docs.columns
     model = language_id.fit(docs)
     judged = language_id.predict(docs, model)
-    kept = judged.filter(f"lang_pred <> '{language_id.UNKNOWN}' AND score >= {LEAST_SCORE}")
+    kept = judged.filter(judged["lang_pred"] != language_id.UNKNOWN)
     return kept.withColumn("lang", kept["lang_pred"]).select(names)
 
 
