@@ -97,7 +97,7 @@ def test_url_edge_cases(spark):
 def test_pivot_topk_matches_brute_force(spark):
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(500)]
-    rows += [(600, None), (700, []), (800, [0.1, None, 0.2, 0, 0, 0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (1100, [0.5] * 6), (1101, [0.5] * 6), (1101, [0.5] * 6), (1200, [1.0, 2.0]), (1201, [3.0, 1.0]), (None, [1.0] * 6)]
+    rows += [(600, None), (700, []), (800, [0.1, None, 0.2, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (1100, [0.5] * 6), (1101, [0.5] * 6), (1101, [0.5] * 6), (1200, [1.0, 2.0]), (1201, [3.0, 1.0]), (None, [1.0] * 6)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     import struct
 
