@@ -412,11 +412,14 @@ def similar_groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     inside = members.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
     own = members.join(inside, "grp").select(F.col("grp").alias("hash"), "node", F.col("size").cast("int").alias("size"), F.lit(0).alias("at"), F.lit(True).alias("same"))
     expanded = lists.join(members.select("grp", "node"), "grp").select("hash", "node", "size", "at", F.lit(False).alias("same")).unionAll(own)
-    counted = expanded.groupBy("hash").agg(F.count("*").alias("k"))
+    counted = expanded.groupBy("hash").agg(F.count("*").alias("k"), F.min("size").alias("least"))
     listed = materialize(expanded.join(counted, "hash"), "lists")
     short, long = listed.filter(F.col("k") <= SHORT_LIST), listed.filter(F.col("k") > SHORT_LIST)
     in_short = materialize(list_pairs(short, num, den), "short-pairs")
     in_long = materialize(long.groupBy("node").agg(F.count("*").alias("n_long")), "long-lists")
+    # From here on, a member counts only where even the smallest set of the list could make it link.
+    behind, least = (F.col("size") - F.col("at")).cast("long"), F.col("least").cast("long")
+    long = long.filter(behind * (num + den) >= num * (F.col("size") + least))
     hubs = hub_pairs(long.withColumn("component", F.col("node")), 0, num, den)
     asked = materialize(reachable(in_short.filter("passes").select("a", "b", "a_size", "b_size", "same").unionAll(hubs), in_short, in_long, num, den), "pairs")
     nodes = materialize(asked.select(F.col("a").alias("node")).unionAll(asked.select(F.col("b").alias("node"))).unionAll(in_long.select("node")).distinct(), "nodes")
