@@ -7,6 +7,9 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
@@ -33,8 +36,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their weights; a document appears as often as it is taken."""
-    return mixing.mix_documents(docs)
+    """Sources in proportion to their weights; a document appears as often as it is taken.
+
+    Quality weights are from ``labels``; a folder without that table has no
+    labelled documents, and says so.
+    """
+    try:
+        labels = read_table(spark, sf_dir, "labels")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no labels in {sf_dir}: all documents are mixed with weight 1", stacklevel=2)
+        labels = None
+    return mixing.mix_documents(docs, labels)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,16 +146,6 @@ def quality_weight(labels: DataFrame) -> DataFrame:
     )
 
 
-def text_quality() -> Column:
-    """A weight from the text alone, for rows that carry their text: prose of some length up, scraps down.
-
-    Prose has 3 to 9 characters a word on average. It needs no join, so the
-    texts are not shuffled for it.
-    """
-    mean = F.length("text") / F.greatest(F.col("mix_size"), F.lit(1))
-    return F.when(F.col("mix_size") < 10, 0.5).when((F.col("mix_size") >= 50) & mean.between(3, 10), 2.0).otherwise(1.0)
-
-
 def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; weights from labels."""
     sized = docs.select("doc_id", "source", words().alias("mix_size"))
@@ -167,16 +157,24 @@ def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
-def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken; weights from the texts.
+def mix_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken; weights from labels, as in ``mix``.
 
-    The one document at a source's line keeps its first ``part`` words. Texts
-    are never shuffled: the plan's rows are one a source.
+    The one document at a source's line keeps its first ``part`` words. The
+    plan is made on narrow rows. Weights are written before they meet the
+    texts: small ones are broadcast by their size, others cost one shuffle of
+    the texts. Without labels all weights are 1.
     """
     names = docs.columns
-    clash = [c for c in names if c.startswith("mix_") or c in ("plan_source", "source_size", "target", "epochs", "line_key", "line_id", "line_size", "line_words", "whole", "part")]
+    clash = [c for c in names if c.startswith("mix_") or c in ("label_id", "quality_weight", "plan_source", "source_size", "target", "epochs", "line_key", "line_id", "line_size", "line_words", "whole", "part")]
     aside = docs.select(*[F.col(f"`{c}`").alias(f"kept_{c}" if c in clash else c) for c in names])
-    ready = keyed(aside.withColumn("mix_size", words()), text_quality(), seed)
+    sized = aside.withColumn("mix_size", words())
+    if labels is None:
+        sized = sized.withColumn("quality_weight", F.lit(1.0))
+    else:
+        weights = materialize(quality_weight(labels), "mix-weights")
+        sized = sized.join(weights, F.col("doc_id") == F.col("label_id"), "left")
+    ready = keyed(sized, F.col("quality_weight"), seed)
     plans = plan(materialize(ready.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix-rows"))
     taken = take(ready, plans)
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(" + WORD + ")"), F.lit(1)), F.lit(1), F.greatest(F.col("part").cast("int"), F.lit(0))), " ")

@@ -95,3 +95,27 @@ def test_mixed_documents_have_the_words(odd, odd_rows, clashing, empty):
             taken[r["source"]] += size(r["text"])
         assert all(abs(taken[s] - a) <= 2 for s, a in brute_targets(sizes).items())
     assert mixing.mix_documents(empty).count() == 0
+
+
+def test_mixed_documents_follow_labels(spark, odd, clashing):
+    rows = [(i, f"word{i} " * (60 if i % 2 else 5), "en", "ab"[i // 100], 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 5 == 0)) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    for some, marks in ((docs, labels), (odd, labels), (clashing, labels)):
+        planned, mixed = Counter(), Counter()
+        for r in mixing.mix(some, marks).collect():
+            planned[r["doc_id"]] += r["taken"]
+        for r in mixing.mix_documents(some, marks).select("doc_id", "text").collect():
+            mixed[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        assert +planned == +mixed
+
+
+def test_pipeline_stage_reads_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"word{i} " * 60, "en", "ab"[i // 100], 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    of_b = Counter(r["doc_id"] % 2 for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).filter("source = 'b'").select("doc_id").collect())
+    assert of_b[1] > 3 * of_b[0]
