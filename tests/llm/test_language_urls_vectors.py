@@ -111,3 +111,18 @@ def test_pivot_topk_matches_brute_force(spark):
     found = pivot_topk.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
     assert rows_of(found, "query_id", "rank", "vec_id", "score") == sorted(expected, key=str)
     assert pivot_topk.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_rules_of_more_than_three_tokens(spark):
+    rows = []
+    for i in range(320):
+        has = [t for k, t in enumerate("abcde") if i >> k & 1]
+        rows.append((f"u{i}", has, "block" if set("abcd") <= set(has) else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, tokens array<string>, rule_verdict string")
+    mined = url_rules.mined(labelled, min_support=0.01)
+    every = [(frozenset(r["needs"]), r["verdict"], r["confidence"]) for r in mined.collect()]
+    got = {(frozenset(r["needs"]), r["verdict"]) for r in url_rules.pruned(mined).collect()}
+    assert got == {(n, v) for n, v, c in every if not any(m < n and v == w and d >= c for m, w, d in every)}
+    assert (frozenset("abcd"), "block") in got
+    urls = spark.createDataFrame([("x", list("abcd")), ("y", list("abc"))], "url string, tokens array<string>")
+    assert {r["m_url"]: r["mined_verdict"] for r in url_rules.by_rules(urls, url_rules.pruned(mined)).collect()}["x"] == "block"
