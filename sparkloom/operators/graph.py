@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +29,17 @@ def neighbours(edges: DataFrame, node) -> DataFrame:
     return both_ways(canonical_edges(edges, keep_loops=False)).filter(F.col("src") == node).select(F.col("dst").alias("gene")).distinct()
 
 
-def path_lengths(edges: DataFrame, source, max_depth: int = 64) -> DataFrame:
+def path_lengths(edges: DataFrame, source, max_depth: int | None = None) -> DataFrame:
     """gene, d: fewest edges from the source; the source and what cannot be reached are left out.
 
-    One join a level: the frontier's neighbours without what has been seen.
+    Runs until no new node is found, or to ``max_depth`` if the caller wants a horizon. One join a level: the frontier's neighbours without what has been seen.
     Both are written in the shared folder at each level.
     """
     links = cut_lineage(both_ways(canonical_edges(edges, keep_loops=False)))
     kind = links.schema["src"].dataType
     seen = links.sparkSession.range(1).select(F.lit(source).cast(kind).alias("gene"), F.lit(0).alias("d"))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = links.join(frontier.select(F.col("gene").alias("src")), "src").select(F.col("dst").alias("gene")).distinct()
         frontier = cut_lineage(reached.join(seen, "gene", "left_anti").withColumn("d", F.lit(depth)))
         if not frontier.limit(1).count():

@@ -166,3 +166,8 @@ def test_clusters_and_folds(spark):
     p = resample.permutation_test([10, 10], [5, 5], 10, 3, 2000, 1, spark).first()["p"]
     exact = sum(math.comb(5, k) * math.comb(5, 5 - k) for k in range(3, 6)) / math.comb(10, 5)
     assert p == pytest.approx(exact, abs=0.04)
+
+
+def test_paths_longer_than_64(spark):
+    chain = edges_of(spark, [(str(i), str(i + 1)) for i in range(66)]).coalesce(1)
+    assert {r["gene"]: r["d"] for r in graph.path_lengths(chain, "0").collect()} == {str(i): i for i in range(1, 67)}
