@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,26 +44,28 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
     return every.join(sizes, ["run", "cluster"], "left").select("run", "cluster", F.coalesce("size", F.lit(0)).alias("size"))
 
 
-def k_medoids(points: DataFrame, k: int, seed: int = 1, max_iter: int = 20) -> DataFrame:
+def k_medoids(points: DataFrame, k: int, seed: int = 1, max_iter: int | None = None) -> DataFrame:
     """gene, medoid: alternating assignment and choice of the best medoid.
 
     Medoids (k rows) are broadcast. A cluster's new medoid is the member
     nearest to the cluster's mean vector, found by aggregation, so no pairs
-    inside a cluster are formed.
+    inside a cluster are formed. It ends when the medoids have been seen before
+    (they stay, or would go round); ``max_iter`` is a bound on request.
     """
     from sparkloom.functions.vectors import euclidean
     from sparkloom.session import cut_lineage
 
     x = points.select("gene", F.col("vec").cast("array<double>").alias("vec"))
     medoids = x.orderBy(F.xxhash64("gene", F.lit(seed)), "gene").limit(k).collect()  # k rows
-    names: set = set()
-    for _ in range(max_iter):
+    seen: set = set()
+    for _ in count() if max_iter is None else range(max_iter):
         choices = F.array(*[F.struct(F.lit(m["gene"]).alias("medoid"), F.array(*[F.lit(float(v)) for v in m["vec"]]).alias("v")) for m in medoids])
         nearest = F.array_min(F.transform(choices, lambda c: F.struct(euclidean(F.col("vec"), c["v"]).alias("d"), c["medoid"].alias("medoid"))))
         assigned = cut_lineage(x.select("gene", "vec", nearest["medoid"].alias("medoid")))
-        if {m["gene"] for m in medoids} == names:
+        names = frozenset(m["gene"] for m in medoids)
+        if names in seen:
             break
-        names = {m["gene"] for m in medoids}
+        seen.add(names)
         means = assigned.select("medoid", F.posexplode("vec").alias("at", "v")).groupBy("medoid", "at").agg(F.avg("v").alias("v")).groupBy("medoid").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("mean")
         )

@@ -148,8 +148,8 @@ def correct_clusters(clusters: DataFrame, annotations: DataFrame, test: DataFram
     return pairs.select("gene", "cluster").distinct().agg(F.count("*").alias("n"))
 
 
-def nmtf_trace(t: Tables, joint: bool, k1: int = 4, k2: int = 3, turns: int = 10) -> DataFrame:
-    """iteration, error of a short factorisation of the driver tables."""
+def nmtf_trace(t: Tables, joint: bool, k1: int = 4, k2: int = 3, turns: int = 1000) -> DataFrame:
+    """iteration, error of a factorisation of the driver tables, to its stop rule."""
     expression = t.read("lineitem").groupBy(F.col("l_suppkey").alias("i"), F.year("l_shipdate").cast("long").alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
     items = t.read("lineitem").select("l_orderkey", "l_suppkey").distinct()
     pairs = items.select("l_orderkey", F.col("l_suppkey").alias("src")).join(items.select("l_orderkey", F.col("l_suppkey").alias("dst")), "l_orderkey").filter("src < dst")
@@ -264,7 +264,7 @@ def p19_robustness(t: Tables) -> DataFrame:
     """Median and spread of Rand indices over clusterings of several sizes."""
     assigned = None
     for run, k in enumerate((8, 10, 12)):
-        one = cluster.k_means(t.vectors(), k, n_init=1, seed=run)[0].withColumn("run", F.lit(run))
+        one = cluster.k_means(t.vectors(), k, n_init=10, seed=100 * run)[0].withColumn("run", F.lit(run))
         assigned = one if assigned is None else assigned.unionByName(one)
     pairs = aggregates.run_pairs_rand(assigned.select("run", "cluster", "gene"))
     return aggregates.centre_and_spread(pairs.withColumn("_all", F.lit("all")).withColumnRenamed("_all", "which"), "rand", ["which"])

@@ -530,8 +530,9 @@ def leave_one_out(t):
 def permutation_p(t):
     pools = {r["name"]: r["count"] for r in t.stages().groupBy("name").count().collect()}  # one row a stage
     shared = sets.in_all(t.stages()).count()
-    names = sorted(pools)[:4]
-    return resample.permutation_test([pools[n] for n in names], [max(1, pools[n] // 3) for n in names], min(shared, min(pools[n] for n in names)), max(1, shared // 80), 2000, 7, t.spark)
+    names = sorted(pools)
+    # Each stage draws a third of its pool; compared with the count that chance gives.
+    return resample.permutation_test([pools[n] for n in names], [max(1, pools[n] // 3) for n in names], shared, max(1, shared // 3 ** len(names)), 10_000, 7, t.spark)
 
 
 # -- evidence ----------------------------------------------------------------------------------------------------
@@ -574,13 +575,13 @@ def window_session(t):
 
 @query()
 def kmeans(t):
-    assigned, _ = cluster.k_means(t.vectors(), 10, n_init=3)
+    assigned, _ = cluster.k_means(t.vectors(), 10, n_init=10)
     return assigned.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 @query()
 def kmedoids(t):
-    return cluster.k_medoids(t.vectors(), 10, max_iter=5).groupBy("medoid").agg(F.count("*").alias("size"))
+    return cluster.k_medoids(t.vectors(), 10).groupBy("medoid").agg(F.count("*").alias("size"))
 
 
 @query()

@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 from collections import defaultdict, deque
@@ -171,3 +172,32 @@ def test_clusters_and_folds(spark):
 def test_paths_longer_than_64(spark):
     chain = edges_of(spark, [(str(i), str(i + 1)) for i in range(66)]).coalesce(1)
     assert {r["gene"]: r["d"] for r in graph.path_lengths(chain, "0").collect()} == {str(i): i for i in range(1, 67)}
+
+
+def test_registered_jobs_are_whole(spark, monkeypatch):
+    from sparkloom.plans import registry
+
+    class Stop(Exception):
+        pass
+
+    def caught(module, name, run):
+        real, seen = getattr(module, name), {}
+
+        def spy(*args, **kwargs):
+            bound = inspect.signature(real).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            raise Stop
+
+        monkeypatch.setattr(module, name, spy)
+        with pytest.raises(Stop):
+            run(spark, "/root/testdata/sf0.001")
+        monkeypatch.setattr(module, name, real)
+        return seen
+
+    got = caught(resample, "permutation_test", registry.QUERIES["permutation_p"])
+    assert len(got["pools"]) == 7 and got["reps"] == 10_000 and got["shared"] <= min(got["pools"])
+    assert caught(cluster, "k_means", registry.QUERIES["kmeans"])["n_init"] == 10
+    assert caught(cluster, "k_means", registry.QUERIES["p19_robustness"])["n_init"] == 10
+    assert caught(cluster, "k_medoids", registry.QUERIES["kmedoids"])["max_iter"] is None
+    assert caught(factorize, "factorize", registry.QUERIES["nmtf_expr"])["max_iter"] == 1000
