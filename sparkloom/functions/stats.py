@@ -1,7 +1,9 @@
-"""Statistical functions as column expressions: no UDF, whole-stage codegen or higher-order functions."""
+"""Statistical functions as column expressions (whole-stage codegen or higher-order functions); one UDF, on a row a group, for the exact tail of U."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,9 +116,8 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: list[str] | None = No
     """n1, n2, u1, z, p for the boolean ``side`` (true: first sample) against the rest.
 
     Tie-corrected normal approximation with continuity correction of a half;
-    only counts by distinct value are sorted. If there are no ties and the
-    smaller sample has at most 8 members the exact distribution applies (see
-    ``mann_whitney_exact``).
+    only counts by distinct value are sorted. In a group without ties whose
+    smaller sample has 1 to 8 members p is from the exact distribution.
     """
     keys = list(by or [])
     counts = df.groupBy(*keys, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
@@ -132,11 +133,13 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: list[str] | None = No
     u = u1 if alternative == "greater" else n1 * n2 - u1
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
     z = F.try_divide(u - n1 * n2 / 2 - 0.5, sd)
-    return sums.select(*keys, "n1", "n2", u1.alias("u1"), z.alias("z"), normal_sf(z).alias("p"))
+    exact = F.udf(_small_u_tail, "double")("n1", "n2", u, "ties")  # on one row a group
+    return sums.select(*keys, "n1", "n2", u1.alias("u1"), z.alias("z"), F.coalesce(exact, normal_sf(z)).alias("p"))
 
 
-def exact_u_tail(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) without ties, by counting arrangements (small samples only)."""
+@lru_cache(maxsize=16)
+def _arrangements(n1: int, n2: int) -> list[int]:
+    """The number of arrangements without ties by U."""
     ways = [1] + [0] * (n1 * n2)
     for i in range(1, n1 + 1):
         # Gaussian binomial: multiply by (1 - q^(n2+i)) / (1 - q^i).
@@ -144,9 +147,20 @@ def exact_u_tail(n1: int, n2: int, u: float) -> float:
             ways[s] -= ways[s - n2 - i]
         for s in range(i, n1 * n2 + 1):
             ways[s] += ways[s - i]
+    return ways
+
+
+def exact_u_tail(n1: int, n2: int, u: float) -> float:
+    """P(U >= u) without ties, by counting arrangements (small samples only)."""
+    ways = _arrangements(min(n1, n2), max(n1, n2))  # the same for both orders
     return sum(w for s, w in enumerate(ways) if s >= u) / sum(ways)
 
 
+def _small_u_tail(n1: int, n2: int, u: float, ties: float) -> float | None:
+    """The exact tail where the rule asks for it, else None."""
+    return exact_u_tail(n1, n2, u) if ties == 0 and 1 <= min(n1, n2) <= 8 else None
+
+
 def mann_whitney_exact(df: DataFrame, value: str, side: str, alternative: str = "greater", small: int = 8) -> float:
     """The p-value by the rule "exact if the smaller sample has at most 8 members and no ties"."""
     row = mann_whitney(df, value, side, alternative=alternative).first()

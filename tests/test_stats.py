@@ -85,3 +85,15 @@ def test_vectors(spark):
     ).first()
     assert r[0] == pytest.approx(math.sqrt(1 + 4 + 9)) and r[1] == 6 and r[2] == pytest.approx(1 - 6 / (3 * math.sqrt(17))) and r[3] == 1
     assert r[4] == pytest.approx([math.exp(v) / sum(map(math.exp, a)) for v in a]) and r[5] == 0
+
+
+def test_exact_u_by_group(spark):
+    rows = [("small", x, True) for x in (1.5, 4.0, 9.0)] + [("small", x, False) for x in (0.5, 2.0, 3.0, 7.0)]
+    rows += [("tied", 1.0, True), ("tied", 1.0, False), ("tied", 2.0, True)] + [("large", float(i), i % 2 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, v double, side boolean")
+    every = [sum(x > y for x in c for y in set(range(7)) - set(c)) for c in combinations(range(7), 3)]
+    for alternative, u in (("greater", 8), ("less", 4)):
+        got = {r["g"]: r for r in stats.mann_whitney(df, "v", "side", ["g"], alternative).collect()}
+        assert got["small"]["p"] == pytest.approx(sum(x >= u for x in every) / len(every))
+        for g in ("tied", "large"):
+            assert got[g]["p"] == pytest.approx(math.erfc(got[g]["z"] / math.sqrt(2)) / 2)
