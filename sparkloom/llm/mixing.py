@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read_table
+from .common import BLANKS, WORD, materialize, read_table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -160,8 +160,8 @@ def mix(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
 def mix_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken; weights from labels, as in ``mix``.
 
-    The one document at a source's line keeps its first ``part`` words. The
-    plan is made on narrow rows. Weights are written before they meet the
+    The one document at a source's line keeps its first ``part`` words,
+    with the blanks and line breaks between them. The plan is made on narrow rows. Weights are written before they meet the
     texts: small ones are broadcast by their size, others cost one shuffle of
     the texts. Without labels all weights are 1.
     """
@@ -177,7 +177,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str =
     ready = keyed(sized, F.col("quality_weight"), seed)
     plans = plan(materialize(ready.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix-rows"))
     taken = take(ready, plans)
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(" + WORD + ")"), F.lit(1)), F.lit(1), F.greatest(F.col("part").cast("int"), F.lit(0))), " ")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"((?:{BLANKS})?{WORD})"), F.lit(1)), F.lit(1), F.greatest(F.col("part").cast("int"), F.lit(0))), "")
     copies = F.concat(
         F.array_repeat(F.lit(False), F.col("whole").cast("int")),
         F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),

@@ -119,3 +119,10 @@ def test_pipeline_stage_reads_labels(spark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     of_b = Counter(r["doc_id"] % 2 for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).filter("source = 'b'").select("doc_id").collect())
     assert of_b[1] > 3 * of_b[0]
+
+
+def test_cut_document_keeps_its_line_breaks(spark):
+    text = "\n\n".join(f"word{i}\tnext  line" for i in range(50))
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, text, "en", "b", 1)], DOC_SCHEMA)
+    got = [r["text"] for r in mixing.mix_documents(docs).collect()]
+    assert any(t != text for t in got) and all(text.startswith(t) for t in got)
