@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from sparkloom.session import cut_lineage, materialize, scratch_path, shared_dir
 __all__ = [
     "BLANKS",
     "WORD",
-    "bounded_batches",
+    "small_batches",
     "cut_lineage",
     "materialize",
     "partitions_for",
@@ -39,15 +42,21 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Smaller Arrow batches, unless the session sets a size itself.
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Smaller Arrow batches for what is planned inside, unless the session sets a size itself.
 
     Spark's default of 64 MB a batch is held several times over in each task
     (in the JVM, in the Python worker, and as Python objects).
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.sparkContext.getConf().contains(key) and spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+    before = spark.conf.get(key)
+    if not spark.sparkContext.getConf().contains(key) and before in ("67108864b", "64m", "64MB"):
         spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def sized_semi_join(df: DataFrame, keys: DataFrame, key: str, limit_rows: int = 1_000_000) -> DataFrame:

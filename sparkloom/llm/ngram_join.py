@@ -12,18 +12,20 @@ candidates there are.
 2. Partitions send owners of hash ranges their prefix postings (hash, group,
    size, place) in packed blocks. An owner drops hashes that one group alone
    has and returns the others as rows.
-3. In each posting list, groups are joined under the length and the positional
-   filter, then expanded to classes. Prefixes are long enough that two similar
-   sets must share many of their elements, not one: a pair stays only if what
-   its prefixes share and what lies behind them can reach the similarity.
-4. Each pair that is left is verified on whole sets.
+3. In each posting list, pairs of groups pass the length and the positional
+   filter. Prefixes are long enough that two similar sets must share many of
+   their elements, not one: a pair of groups stays only if what the prefixes
+   share and what lies behind them can reach the similarity.
+4. Pairs of groups that are left, and groups of several classes, are expanded
+   to their classes, and these are verified on whole sets.
 
 A list of a few groups emits all its pairs. A longer list (near copies in
-thousands) first links all its members to one of them, which makes as many
-pairs as members. What is left is the pairs between different components of
-one list; hubs change by rounds until these pairs are few, and then all of
-them are verified. Pairs inside a component change nothing, so the components
-are exact: no link between different components is left out.
+thousands) first links all its groups to a few of them, which makes as many
+pairs as groups; so do two groups with many classes. What is left is the pairs
+between different components of one list; hubs change by rounds while that
+links much, and then all of these pairs are filtered and verified, the list
+being dealt into parts. Pairs inside a component change nothing, so the
+components are exact: no link between different components is left out.
 
 Defined results: null text, or text without words, has the empty set and is
 linked with nothing; fewer words than n make one shingle; rows with the same
@@ -36,10 +38,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage, materialize, partitions_for, read_table, sized_semi_join
+from .common import materialize, partitions_for, read_table, sized_semi_join, small_batches
 from .tokens import sliced
 
 N = 5
@@ -49,6 +51,16 @@ SKETCH_BITS = 20
 #: Lists of up to this many groups emit all pairs at once.
 SHORT_LIST = 6
 MAX_ROUNDS = 8
+#: Hubs go on by rounds while a list has more open pairs an entry than this, and links are this share of a round's pairs.
+FEW_PAIRS, LEAST_SHARE = 8, 0.1
+#: Two groups with more pairs of classes than this are compared through their first classes first.
+CROWD = 64
+#: Entries of a long list that meet in one part of a join, about.
+PART_ROWS = 256
+#: Tables of a few numbers a row are broadcast up to this many rows (about 10 MB).
+SMALL_ROWS = 250_000
+#: Components of up to this many edges (16 MB) are found in one task.
+LOCAL_EDGES = 1_000_000
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 20
 _powers: list = []
@@ -287,8 +299,16 @@ def rowwise(data: bytes):
     return out
 
 
-def shared_postings(messages: DataFrame) -> DataFrame:
-    """hash, grp, size, at of the prefix elements that two groups have."""
+MET = "hash long, grp long, size int, at int, other long, other_size int, shared int, passes boolean"
+
+
+def met_in_lists(messages: DataFrame, num: int, den: int) -> DataFrame:
+    """What owners find in their posting lists.
+
+    A list of up to ``SHORT_LIST`` groups gives its pairs of groups (``grp`` <
+    ``other``), each once an owner: in how many lists they meet and whether
+    one lets them pass. A longer list gives its postings (``other`` is null).
+    """
 
     def run(table):
         import numpy as np
@@ -302,14 +322,54 @@ def shared_postings(messages: DataFrame) -> DataFrame:
         at = np.searchsorted(twice, hashes)
         at[at == len(twice)] = 0
         kept = np.flatnonzero(twice[at] == hashes) if len(twice) else np.zeros(0, dtype=np.int64)
-        rows = np.concatenate(parts)[kept]
-        rows = np.unique(rows)  # a group comes from several partitions
+        rows = np.unique(np.concatenate(parts)[kept])  # a group comes from several partitions
         first = np.flatnonzero(np.diff(rows["hash"], prepend=rows["hash"][:1] + np.uint64(1)))
-        size = np.diff(np.append(first, len(rows)))
-        rows = rows[np.repeat(size > 1, size)]
-        return pa.table({"hash": pa.array(rows["hash"].astype(np.int64), pa.int64()), "grp": pa.array(rows["grp"], pa.int64()), "size": pa.array(rows["size"], pa.int32()), "at": pa.array(rows["at"], pa.int32())})
+        count = np.diff(np.append(first, len(rows)))
+        a, b = pair_places(first, count)
+        fits = den * np.minimum(rows["size"][a], rows["size"][b]).astype(np.int64) >= num * np.maximum(rows["size"][a], rows["size"][b]).astype(np.int64)
+        a, b = a[fits], b[fits]
+        swap = rows["grp"][a] > rows["grp"][b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        sa, sb = rows["size"][a].astype(np.int64), rows["size"][b].astype(np.int64)
+        most = np.minimum(sa - rows["at"][a], sb - rows["at"][b])
+        passes = most * (num + den) >= num * (sa + sb)
+        order = np.lexsort((rows["grp"][b], rows["grp"][a]))
+        a, b, passes = a[order], b[order], passes[order]
+        head = np.ones(len(a), dtype=bool)
+        head[1:] = (rows["grp"][a][1:] != rows["grp"][a][:-1]) | (rows["grp"][b][1:] != rows["grp"][b][:-1])
+        head = np.flatnonzero(head)
+        times = np.diff(np.append(head, len(a)))
+        passes = np.logical_or.reduceat(passes, head) if len(head) else passes
+        long = rows[np.repeat(count > SHORT_LIST, count)]
+        none, n_long, n_pairs = pa.nulls, len(long), len(head)
+
+        def column(kind, of_long, of_pairs):
+            one = none(n_long, kind) if of_long is None else pa.array(of_long, kind)
+            two = none(n_pairs, kind) if of_pairs is None else pa.array(of_pairs, kind)
+            return pa.concat_arrays([one, two])
+
+        a, b = a[head], b[head]
+        return pa.table({
+            "hash": column(pa.int64(), long["hash"].astype(np.int64), None), "grp": column(pa.int64(), long["grp"], rows["grp"][a]),
+            "size": column(pa.int32(), long["size"], rows["size"][a]), "at": column(pa.int32(), long["at"], None),
+            "other": column(pa.int64(), None, rows["grp"][b]), "other_size": column(pa.int32(), None, rows["size"][b]),
+            "shared": column(pa.int32(), None, times), "passes": column(pa.bool_(), None, passes),
+        })
+
+    return messages.select("owner", "postings").groupBy("owner").applyInArrow(run, MET)
+
+
+def pair_places(first, count):
+    """The places of the two ends of every pair in the short lists that begin at ``first``."""
+    import numpy as np
 
-    return messages.select("owner", "postings").groupBy("owner").applyInArrow(run, "hash long, grp long, size int, at int")
+    left, right = [], []
+    for size in range(2, SHORT_LIST + 1):
+        begins = first[count == size]
+        x, y = np.triu_indices(size, 1)
+        left.append((begins[:, None] + x).ravel())
+        right.append((begins[:, None] + y).ravel())
+    return np.concatenate(left), np.concatenate(right)
 
 
 def may_link(a: str, b: str, num: int, den: int):
@@ -321,12 +381,137 @@ def may_link(a: str, b: str, num: int, den: int):
     return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & (most * (num + den) >= num * (sa + sb))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the graph with edges (a, b).
+def sized(df: DataFrame, limit_rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= limit_rows else df
+
+
+def reachable(pairs: DataFrame, in_short: DataFrame, in_long: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of groups (a, b) whose overlap can reach the similarity, by what their prefixes share.
+
+    Shared prefix elements are known for short lists and at most the smaller
+    number of long lists of the two. Of the set whose prefix ends first in
+    the global order, only the elements behind its prefix can add to them.
+    """
+    def behind(size):
+        return F.floor(F.lit(num) * size / den + F.lit(1 - 1e-9)) - 1  # size - prefix_length(size)
+
+    pairs = pairs.groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))
+    counts = in_short.select(F.col("grp").alias("a"), F.col("other").alias("b"), "shared")
+    lists = sized(in_long)
+    met = (
+        pairs.join(counts, ["a", "b"], "left")
+        .join(lists.select(F.col("grp").alias("a"), F.col("n_long").alias("a_long")), "a", "left")
+        .join(lists.select(F.col("grp").alias("b"), F.col("n_long").alias("b_long")), "b", "left")
+    )
+    shared = F.coalesce("shared", F.lit(0)) + F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
+    most = shared + F.greatest(behind(F.col("a_size")), behind(F.col("b_size")))
+    return met.filter(most * (num + den) >= num * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+
+
+def hub_pairs(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Every group of a list with its hubs, where these have another component.
+
+    Up to six hubs are drawn anew each turn: three groups of the component
+    that has most groups in the list, and three of all.
+    """
+    entry = F.struct("grp", "size", "at", "component")
+    drawn = [F.xxhash64(F.col("grp"), F.lit(turn + 100 * k)) for k in range(3)]
+    parts = entries.groupBy("hash", "component").agg(F.count("*").alias("m"), *[F.min(F.struct(d.alias("d"), entry.alias("e"))).alias(f"h{k}") for k, d in enumerate(drawn)])
+    hubs = parts.groupBy("hash").agg(
+        F.max(F.struct("m", "component", F.array("h0.e", "h1.e", "h2.e").alias("hubs"))).alias("top"), F.array(*[F.min(f"h{k}") for k in range(3)]).alias("any")
+    ).select("hash", F.explode(F.array_distinct(F.concat("top.hubs", F.transform("any", lambda x: x["e"])))).alias("hub"))
+    hubs = materialize(hubs.select("hash", F.col("hub.component").alias("hub_component"), F.col("hub.grp").alias("b"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at")), "hubs")
+    met = entries.select("hash", "component", F.col("grp").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at")).join(sized(hubs), "hash")
+    return in_order(met.filter((F.col("component") != F.col("hub_component")) & (F.col("a") != F.col("b")) & may_link("a", "b", num, den)))
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """a, b and their sizes with a < b."""
+    swap = F.col("a") > F.col("b")
+    return pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(swap, F.col("b_size")).otherwise(F.col("a_size")).alias("a_size"), F.when(swap, F.col("a_size")).otherwise(F.col("b_size")).alias("b_size"),
+    )
+
+
+def unsettled(long: DataFrame, in_lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of the long lists that still hold several components: one for each component of a group."""
+    here = in_lists.join(sized(labels), "node", "left").select("grp", F.coalesce("component", "node").alias("component")).distinct()
+    entries = long.join(sized(materialize(here, "group-labels")), "grp")
+    entries = materialize(entries, "labelled-lists")
+    several = materialize(
+        entries.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter("x <> y").select("hash", "k"), "open"
+    )
+    return entries.join(sized(several), "hash").select("hash", "grp", "size", "at", "component", "k")
+
+
+def cross_pairs_bound(entries: DataFrame) -> int:
+    """How many pairs of a list lie in different components, at most."""
+    parts = entries.groupBy("hash", "component").agg(F.count("*").alias("m"))
+    sums = parts.groupBy("hash").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    return int(sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("n")).first()["n"])
+
+
+def cross_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of groups between different components of a list that pass the filters.
+
+    A list is dealt into parts of about ``PART_ROWS`` entries, and pairs of
+    parts are joined, so a list that many groups have is the work of many tasks.
+    """
+    parts = F.ceil(F.col("k") / F.lit(PART_ROWS)).cast("int")
+    dealt = entries.withColumn("n_parts", parts).withColumn("mine", F.pmod(F.xxhash64("grp", "component"), F.col("n_parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("n_parts") - 1)
+
+    def side(name, mine, other):
+        return dealt.select(
+            "hash", F.col("mine").alias(mine), F.explode(every).alias(other), F.col("component").alias(f"c{name}"),
+            F.col("grp").alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"),
+        )
+
+    met = side("a", "x", "y").join(side("b", "y", "x"), ["hash", "x", "y"])
+    return met.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b", num, den)).select("a", "b", "a_size", "b_size")
+
+
+def expanded(pairs: DataFrame, members: DataFrame, crowds: DataFrame, crowded: bool, labels: DataFrame | None = None) -> DataFrame:
+    """a, b: the pairs of classes behind pairs of groups (a group with itself, too).
+
+    Two groups with more than ``CROWD`` pairs between them give the first class
+    of each with all of the other; with ``labels`` they give all pairs of
+    classes in different components.
+    """
+    named = members.select("grp", "node") if labels is None else members.join(sized(labels), "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component"))
+    some = sized(crowds)
+    counted = (
+        pairs.join(some.select(F.col("grp").alias("a"), F.col("k").alias("ka"), F.col("first").alias("fa")), "a", "left")
+        .join(some.select(F.col("grp").alias("b"), F.col("k").alias("kb"), F.col("first").alias("fb")), "b", "left")
+        .withColumn("crowded", F.coalesce("ka", F.lit(1)) * F.coalesce("kb", F.lit(1)) > CROWD)
+    )
+
+    def ends(part, keep_a, keep_b):
+        left = part.join(named.select(F.col("grp").alias("a"), F.col("node").alias("na"), *([F.col("component").alias("ca")] if labels is not None else [])), "a").filter(keep_a)
+        right = named.select(F.col("grp").alias("b"), F.col("node").alias("nb"), *([F.col("component").alias("cb")] if labels is not None else []))
+        differ = (F.col("na") != F.col("nb")) if labels is None else (F.col("ca") != F.col("cb"))
+        return left.join(right, "b").filter(keep_b & differ).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+
+    every = F.lit(True)
+    if labels is not None or not crowded:
+        return ends(counted, every, every).distinct()
+    few, many = counted.filter(~F.col("crowded")), counted.filter("crowded")
+    # A group of one class has no first class written down: its only one is the first.
+    a_first, b_first = F.col("na") == F.coalesce("fa", "na"), F.col("nb") == F.coalesce("fb", "nb")
+    return ends(few, every, every).unionAll(ends(many, a_first, every)).unionAll(ends(many, every, b_first)).distinct()
+
 
-    Large-star and small-star steps by turns; lineage is cut at each turn.
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """node, component (its smallest node) of the graph with edges (a, b), written.
+
+    Up to ``local_edges`` edges (16 bytes each) are one task's work; more are
+    joined by large-star and small-star steps by turns.
     """
-    edges = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    if edges.count() <= local_edges:
+        return materialize(edges.coalesce(1).mapInArrow(settled_in_one_task, "node long, component long"), "components")
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -336,24 +521,35 @@ def components(edges: DataFrame) -> DataFrame:
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
             .filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         )
-        new = cut_lineage(small)
-        # Done when nobody is both somebody's root and below another root.
-        roots = new.select(F.col("v").alias("u")).distinct()
-        if not new.join(roots, "u", "left_semi").limit(1).count() and not new.groupBy("u").count().filter("count > 1").limit(1).count():
-            nodes = new.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return cut_lineage(nodes.unionAll(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
-        edges = new
-
-
-def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after new links: components of components, which are few, then one join."""
-    at = lambda end: links.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left")
-    ends = at("a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("b_c")), "b", "left")
-    ends = ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).distinct()
-    joined = components(ends)
-    every = labels.unionAll(joined.select("node", F.col("node").alias("component")).join(labels.select("node"), "node", "left_anti"))
-    new = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
-    return materialize(every.join(new, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+        edges = materialize(small, "edges")
+        # Done when nobody is below two others, and nobody is both above and below.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("root")))
+        open_ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("root").alias("root")).filter((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("root") > 0)))
+        if not open_ends.limit(1).count():
+            nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return materialize(nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+
+
+def settled_in_one_task(batches):
+    """Components of all the edges (u, v) of one task: roots are hooked to smaller ones, then paths cut short."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    nodes, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = places[: len(u)], places[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        rx, ry = root[x], root[y]
+        low = np.minimum(rx, ry)
+        np.minimum.at(root, rx, low)
+        np.minimum.at(root, ry, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], ["node", "component"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -372,12 +568,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    both_ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sized_semi_join(sets, both_ends, "node")
     # Sets are the bulk, so both joins shuffle at every size.
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
     both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
-    return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -394,133 +588,68 @@ def node_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return wanted.mapInArrow(run, "node long, set binary")
 
 
-def similar_groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, sig, node) by row, and (node, component) of linked nodes.
+def similar_groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR, max_rounds: int = MAX_ROUNDS, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) by row, and (node, component) of linked nodes.
 
     A node is a class of documents with equal sets, named by its smallest id.
     """
+    with small_batches(docs.sparkSession):
+        return linked(docs, n, num, den, max_rounds, local_edges)
+
+
+def linked(docs: DataFrame, n: int, num: int, den: int, max_rounds: int, local_edges: int) -> tuple[DataFrame, DataFrame]:
+    """What ``similar_groups`` returns; every stage in Python is written here."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    n_owners = max(8, partitions_for(spark))
+    n_owners = max(32, 4 * partitions_for(spark))  # an owner's postings are what a Python worker holds
     whole = materialize(scanned(docs, sketch(docs, n), n, num, den, n_owners), "shingled")
     rows = whole.filter("owner is null").select("doc_id", "n_shingles", "sig", "grp")
     members = materialize(
-        rows.filter("n_shingles > 0").groupBy("sig", "grp").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")).filter("node is not null"), "classes"
+        rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.max("grp").alias("grp"), F.max("n_shingles").cast("int").alias("size")).filter("node is not null"), "classes"
     )
-    lists = materialize(shared_postings(whole.filter("owner is not null")), "postings")
-    # Groups of several classes have equal prefixes: each prefix element is a list of theirs as well.
-    inside = members.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
-    own = members.join(inside, "grp").select(F.col("grp").alias("hash"), "node", F.col("size").cast("int").alias("size"), F.lit(0).alias("at"), F.lit(True).alias("same"))
-    expanded = lists.join(members.select("grp", "node"), "grp").select("hash", "node", "size", "at", F.lit(False).alias("same")).unionAll(own)
-    counted = expanded.groupBy("hash").agg(F.count("*").alias("k"), F.min("size").alias("least"))
-    listed = materialize(expanded.join(counted, "hash"), "lists")
-    short, long = listed.filter(F.col("k") <= SHORT_LIST), listed.filter(F.col("k") > SHORT_LIST)
-    in_short = materialize(list_pairs(short, num, den), "short-pairs")
-    in_long = materialize(long.groupBy("node").agg(F.count("*").alias("n_long")), "long-lists")
-    # From here on, a member counts only where even the smallest set of the list could make it link.
-    behind, least = (F.col("size") - F.col("at")).cast("long"), F.col("least").cast("long")
-    long = long.filter(behind * (num + den) >= num * (F.col("size") + least))
-    hubs = hub_pairs(long.withColumn("component", F.col("node")), 0, num, den)
-    asked = materialize(reachable(in_short.filter("passes").select("a", "b", "a_size", "b_size", "same").unionAll(hubs), in_short, in_long, num, den), "pairs")
-    nodes = materialize(asked.select(F.col("a").alias("node")).unionAll(asked.select(F.col("b").alias("node"))).unionAll(in_long.select("node")).distinct(), "nodes")
+    crowds = members.groupBy("grp").agg(F.count("*").alias("k"), F.min("node").alias("first")).filter("k > 1")
+    crowds = materialize(crowds, "crowds")
+    crowded = crowds.filter(F.col("k") * F.col("k") > CROWD).limit(1).count() > 0  # else no two groups have more pairs
+    met = materialize(met_in_lists(whole.filter("owner is not null"), num, den), "lists")
+    in_short = materialize(
+        met.filter("other is not null").groupBy("grp", "other").agg(F.max("size").alias("size"), F.max("other_size").alias("other_size"), F.sum("shared").alias("shared"), F.max("passes").alias("passes")), "short-pairs"
+    )
+    long = met.filter("other is null").select("hash", "grp", "size", "at")
+    in_long = materialize(long.groupBy("grp").agg(F.count("*").alias("n_long")), "long-lists")
+    in_lists = materialize(sized_semi_join(members.select("grp", "node"), in_long.select("grp"), "grp"), "listed-classes")
+    # From here on, a group counts only where even the smallest set of the list could make it link.
+    least = sized(materialize(long.groupBy("hash").agg(F.min("size").alias("least")), "least-sizes"))
+    behind = (F.col("size") - F.col("at")).cast("long")
+    long = materialize(long.join(least, "hash").filter(behind * (num + den) >= num * (F.col("size") + F.col("least")).cast("long")).drop("least"), "long")
+    hubs = hub_pairs(long.withColumn("component", F.col("grp")), 0, num, den)
+    short = in_short.filter("passes").select(F.col("grp").alias("a"), F.col("other").alias("b"), F.col("size").alias("a_size"), F.col("other_size").alias("b_size"))
+    asked = materialize(reachable(short.unionAll(hubs), in_short, in_long, num, den), "group-pairs")
+    inside = crowds.select(F.col("grp").alias("a"), F.col("grp").alias("b"))  # equal prefixes and sizes always pass
+    pairs = materialize(expanded(asked.unionAll(inside), members, crowds, crowded), "pairs")
+    nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(in_lists.select("node")).distinct(), "nodes")
     sets = materialize(node_sets(docs, nodes, n), "sets")
-    links = materialize(verified(asked, sets, num, den), "links")
-    labels = components(links)
-    long = long.select("hash", "node", "size", "at", "same")
-    stalled = False
-    for turn in range(1, MAX_ROUNDS + 1):
-        open_lists = materialize(unsettled(long, labels), "open-lists")
-        size = open_lists.count()
-        if not size:
+    labels = components(verified(pairs, sets, num, den), local_edges)
+    last = False
+    for turn in range(1, max_rounds + 1):
+        entries = materialize(unsettled(long, in_lists, labels), "open-lists")
+        size = entries.count()
+        if not size and not crowded:
             break
-        last = stalled or turn == MAX_ROUNDS or cross_pairs_bound(open_lists) <= 8 * size
-        tried = cross_pairs(open_lists, num, den) if last else hub_pairs(open_lists, turn, num, den)
-        new = materialize(reachable(tried.join(asked, ["a", "b"], "left_anti"), in_short, in_long, num, den), "pairs")
-        found = materialize(verified(new, sets, num, den), "links")
-        stalled = not found.limit(1).count()
-        if not stalled:
-            labels = merged_components(labels, found)
+        last = last or turn == max_rounds or cross_pairs_bound(entries) <= FEW_PAIRS * size
+        tried = cross_pairs(entries, num, den) if last else hub_pairs(entries, turn, num, den)
+        new = materialize(reachable(tried.join(asked, ["a", "b"], "left_anti"), in_short, in_long, num, den), "group-pairs")
+        asked = asked.unionAll(new)
+        # Crowded groups gave their first classes only: in the end all of their classes meet.
+        final = asked.unionAll(inside) if crowded else new
+        pairs = materialize(expanded(final if last else new, members, crowds, crowded, labels if last else None), "pairs")
+        links = materialize(verified(pairs, sets, num, den), "links")
+        found = links.count()
+        if found:
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links), local_edges)
         if last:
             break
-        asked = asked.unionAll(new)
-        long = open_lists.select("hash", "node", "size", "at", "same")
-    nodes_by_sig = members.groupBy("sig").agg(F.min("node").alias("node"))
-    return rows.select("doc_id", "n_shingles", "sig").join(nodes_by_sig, "sig", "left"), labels
-
-
-def reachable(pairs: DataFrame, in_short: DataFrame, in_long: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose overlap can reach the similarity, by what their prefixes share.
-
-    Shared prefix elements are known for short lists and at most the smaller
-    number of long lists of the two. Of the set whose prefix ends first in
-    the global order, only the elements behind its prefix can add to them.
-    """
-    def behind(size):
-        return F.floor(F.lit(num) * size / den + F.lit(1 - 1e-9)) - 1  # size - prefix_length(size)
-
-    counts = in_short.select("a", "b", "shared")
-    pairs = pairs.groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"), F.max("same").alias("same"))
-    a_long = in_long.select(F.col("node").alias("a"), F.col("n_long").alias("a_long"))
-    b_long = in_long.select(F.col("node").alias("b"), F.col("n_long").alias("b_long"))
-    met = pairs.join(counts, ["a", "b"], "left").join(a_long, "a", "left").join(b_long, "b", "left")
-    shared = F.coalesce("shared", F.lit(0)) + F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
-    most = shared + F.greatest(behind(F.col("a_size")), behind(F.col("b_size")))
-    return met.filter(F.col("same") | (most * (num + den) >= num * (F.col("a_size") + F.col("b_size")))).select("a", "b")
-
-
-def list_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, sizes, shared, same, passes: the pairs of the short lists, in how many they meet, and whether one lets them pass."""
-    a = lists.select("hash", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), "same")
-    b = lists.select("hash", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
-    return a.join(b, "hash").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(
-        F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"), F.count("*").alias("shared"), F.max("same").alias("same"), F.max(may_link("a", "b", num, den)).alias("passes")
-    )
-
-
-def hub_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Every member of a list with its hubs, where these have another component.
-
-    Up to six hubs are drawn anew each turn: three members of the component
-    that has most members in the list, and three of all members.
-    """
-    draw = F.xxhash64(F.col("node"), F.lit(turn))
-    entry = F.struct(draw.alias("d"), F.col("node"), F.col("size"), F.col("at"), F.col("component"))
-    sizes = lists.groupBy("hash", "component").agg(
-        F.count("*").alias("m"), F.min(entry).alias("h0"), F.min_by(entry, F.xxhash64("node", F.lit(turn + 100))).alias("h1"), F.min_by(entry, F.xxhash64("node", F.lit(turn + 200))).alias("h2")
-    )
-    hubs = sizes.groupBy("hash").agg(
-        F.max_by(F.array("h0", "h1", "h2"), F.struct("m", "component")).alias("top"),
-        F.array(F.min("h0"), F.min_by("h1", F.xxhash64(F.col("h1.node"), F.lit(turn + 100))), F.min_by("h2", F.xxhash64(F.col("h2.node"), F.lit(turn + 200)))).alias("any"),
-    ).select("hash", F.explode(F.array_distinct(F.concat("top", "any"))).alias("hub"))
-    hubs = hubs.select("hash", F.col("hub.component").alias("hub_component"), F.col("hub.node").alias("b"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at"))
-    met = lists.select("hash", "component", "same", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at")).join(hubs, "hash")
-    met = met.filter((F.col("component") != F.col("hub_component")) & (F.col("a") != F.col("b")) & may_link("a", "b", num, den))
-    swap = F.col("a") > F.col("b")
-    return met.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(swap, F.col("b_size")).otherwise(F.col("a_size")).alias("a_size"), F.when(swap, F.col("a_size")).otherwise(F.col("b_size")).alias("b_size"), "same",
-    )
-
-
-def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that still hold several components, with each member's component."""
-    labelled = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = labelled.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
-    return labelled.join(several, "hash", "left_semi").select("hash", "node", "size", "at", "same", "component")
-
-
-def cross_pairs_bound(lists: DataFrame) -> int:
-    """How many pairs of a list lie in different components, at most."""
-    parts = lists.groupBy("hash", "component").agg(F.count("*").alias("m"))
-    sums = parts.groupBy("hash").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    return int(sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("n")).first()["n"])
-
-
-def cross_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs between different components of a list that pass the filters."""
-    a = lists.select("hash", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
-    b = lists.select("hash", "same", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
-    return a.join(b, "hash").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b", num, den)).select("a", "b", "a_size", "b_size", "same")
+        # Hubs that link few of their list any more have done their work.
+        last = found < LEAST_SHARE * pairs.count()
+    return rows.select("doc_id", "n_shingles", "sig").join(members.select("sig", "node"), "sig", "left"), labels
 
 
 def similarity_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:

@@ -38,7 +38,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions_for, read_table
+from .common import materialize, partitions_for, read_table, small_batches
 
 LENGTH = 50
 GRAM = 12
@@ -598,8 +598,12 @@ def judge(row: dict, with_parts: bool, np, pa):
 
 def remove_repeats(docs: DataFrame, with_parts: bool = False, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and spans, kept)."""
+    with small_batches(docs.sparkSession):
+        return materialize(judged(docs, with_parts, block_bytes, shard_bytes), "repeats")
+
+
+def judged(docs: DataFrame, with_parts: bool, block_bytes: int, shard_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    bounded_batches(spark)
     n_owners = max(32, 4 * partitions_for(spark))  # a group is what a Python worker holds
     blocks = materialize(packed(docs, block_bytes), "blocks")
     raw = materialize(answered(announced(blocks, n_owners)), "answers")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, ngram_join
 from tests.llm.conftest import DOC_SCHEMA, rows_of
@@ -116,3 +117,43 @@ def test_shingles_do_not_depend_on_batches():
     for text, found in zip(texts, together, strict=True):
         assert (ngram_join.shingle_sets([text])[0] == found).all()
     assert len(together[4]) == 2 and len(together[5]) == 2
+
+
+def crowd_rows():
+    """Families whose documents have one prefix and one size but many different sets."""
+    rng = random.Random(9)
+    line = lambda name, n: [f"{name}{i}" for i in range(n)]
+    blocks = [line(f"block{k}x", 8) + line("sep", 4) for k in range(12)]
+    texts = []
+    for family in ("rare", "odd"):
+        for _ in range(30):
+            chosen = sorted(rng.sample(range(12), 5))
+            texts.append(line(family, 64) + line("sep", 4) + sum((blocks[k] for k in chosen), []))
+    texts += [line(f"other{i}x", 3) + line("sep", 4) + sum(rng.sample(blocks, 12), []) for i in range(80)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+
+
+def test_crowded_groups_and_the_last_round(spark, monkeypatch):
+    rows = crowd_rows()
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    scanned = ngram_join.scanned(docs, ngram_join.sketch(docs, 5), 5, 80, 100, 8).filter("owner is null")
+    assert scanned.groupBy("grp").agg(F.countDistinct("sig").alias("k")).agg(F.max("k")).first()[0] > 8
+    expected = brute_near(rows)
+    assert rows_of(ngram_join.similarity_classes(docs), "doc_id", "n_shingles", "component_id") == expected
+    # Only the round that verifies all that is open, in small parts, and the distributed components.
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    for given, brute in ((docs, expected), (spark.createDataFrame(near_rows(5, 150, 6, 3), DOC_SCHEMA), brute_near(near_rows(5, 150, 6, 3)))):
+        rows, labels = ngram_join.similar_groups(given, max_rounds=1, local_edges=0)
+        found = rows.join(labels, "node", "left").selectExpr("doc_id", "n_shingles", "coalesce(component, node, doc_id) AS component_id")
+        assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute
+
+
+def test_rounds_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "LEAST_SHARE", 0)
+    rows = near_rows(6, 120, 4, 4)
+    found = ngram_join.similarity_classes(spark.createDataFrame(rows, DOC_SCHEMA).repartition(3))
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute_near(rows)
