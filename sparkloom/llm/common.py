@@ -15,6 +15,7 @@ __all__ = [
     "WORD",
     "small_batches",
     "cut_lineage",
+    "fresh",
     "materialize",
     "partitions_for",
     "read_table",
@@ -37,6 +38,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a longer one if a column has it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(spark: SparkSession) -> int:
     """The session's own number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

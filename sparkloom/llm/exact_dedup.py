@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, partitions_for, read_table, sized_semi_join, text_or_empty
+from .common import BLANKS, fresh, materialize, partitions_for, read_table, sized_semi_join, text_or_empty
 
 FP_BITS = 56
 
@@ -146,7 +146,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     mask = (1 << FP_BITS) - 1
     hashed = docs.select("doc_id", text.alias("norm")).select(
         "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.xxhash64("norm").bitwiseAND(F.lit(mask)).alias("fp"),
-        F.spark_partition_id().alias("sender"),
+        F.spark_partition_id().alias("sender"), F.monotonically_increasing_id().alias("row"),
     )
     rows = materialize(hashed, "fingerprints")
     shared = materialize(suspects(rows, max(8, partitions_for(spark))), "suspects")
@@ -160,17 +160,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     clash = groups.groupBy("sha").count().filter("count > 1").limit(1).count()
     if clash:
         raise ValueError("two different texts have the same SHA-256")
-    joined = rows.join(groups, rows["text_sha256"] == groups["sha"], "left").select(
-        "doc_id", "text_sha256", F.when(F.col("sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("sha").isNotNull().alias("copied"),
+    # Of rows that repeat the smallest id one stays: the first as they were written.
+    stays = sized_semi_join(rows, shared, "fp").groupBy("text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    groups = materialize(groups.join(stays, F.col("sha") == F.col("text_sha256")).select("sha", "keep_id", "group_size", F.col("first.row").alias("keep_row")), "copies")
+    if groups.count() <= 100_000:  # about 100 bytes each
+        groups = F.broadcast(groups)
+    return rows.join(groups, rows["text_sha256"] == groups["sha"], "left").select(
+        "doc_id", F.when(F.col("sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("sha").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256",
     )
-    # Rows that repeat the smallest id: one of them stays. Only rows with that id are numbered.
-    first = joined.filter(F.col("copied") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    others = joined.filter(~(F.col("copied") & F.col("doc_id").eqNullSafe(F.col("keep_id")))).withColumn("kept", ~F.col("copied"))
-    order = Window.partitionBy("text_sha256").orderBy(F.lit(0))
-    numbered = first.withColumn("kept", F.row_number().over(order) == 1)
-    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return others.select(names).unionByName(numbered.select(names))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -182,20 +180,22 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     # A row goes if its (id, text) was dropped and it is not the one that stays.
     plain = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
     tied = gone.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("_sha", F.sha2(normalised(), 256))
+    sha = fresh(docs.columns, "text_sha256")
+    number = fresh([*docs.columns, sha], "copy_number")
+    keyed = docs.withColumn(sha, F.sha2(normalised(), 256))
 
     def match(d, k):
-        return d["doc_id"].eqNullSafe(k["doc_id"]) & (d["_sha"] == k["text_sha256"])
+        return d["doc_id"].eqNullSafe(k["doc_id"]) & (d[sha] == k["text_sha256"])
 
     plain, tied = materialize(plain, "dropped-plain"), materialize(tied, "dropped-tied")
     few, few_tied = plain.count() <= 200_000, tied.count()
     kept = keyed.join(F.broadcast(plain) if few else plain, match(keyed, plain), "left_anti")
     if not few_tied:
-        return kept.drop("_sha")
+        return kept.drop(sha)
     alone = kept.join(tied, match(kept, tied), "left_anti")
     same = kept.join(tied, match(kept, tied), "left_semi")
-    one = same.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0)))).filter("_n = 1").drop("_n")
-    return alone.unionByName(one).drop("_sha")
+    one = same.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(0)))).filter(F.col(number) == 1).drop(number)
+    return alone.unionByName(one).drop(sha)
 
 
 def op1_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """Language identification: family first, then pairwise machines inside it.
 
-Features are the character 1- to 4-grams of each word (letters and marks,
-lower-cased, with a mark at both ends), hashed to ``N_FEATURES`` and averaged
-over the words of a text. All decisions are linear, so the value of a text is
-the mean of the values of its words, and a Python worker computes a word's
-values once and remembers them (at most ``MEMO_WORDS`` words).
+Features are the 1- to 4-grams of the letters of each word (letters and marks,
+lower-cased, with one mark of a word's end at both ends), hashed to
+``N_FEATURES``; a text's vector holds the square roots of its counts, scaled to
+length 1. Grams are hashed as arrays of code points, in pieces of
+``PIECE_CHARS``, so no word becomes an object and a text without blanks is a
+text like others.
 
 Families are found from the training texts: the languages' mean feature
 vectors are joined, closest pair first (average cosine), until about the
 square root of their number is left. One-versus-one linear support vector
 machines separate the families, and others separate the languages within each
 family. The model is fitted by dual coordinate descent on a bounded sample:
-at most about ``PER_LANGUAGE`` whole texts of each language, drawn by a hash
-of the text; the matrix has one row a sampled text.
+the ``PER_LANGUAGE`` distinct whole texts of each language whose hashes are
+smallest (fewer if there are so many languages that ``MAX_SAMPLE`` texts would
+be exceeded, but one at least), so copies count once and no language is lost.
 
 The score is the product, over the two levels, of the logistic value of the
 winner's smallest margin over a rival; it lies in (0, 1].
@@ -20,27 +22,29 @@ winner's smallest margin over a rival; it lies in (0, 1].
 Defined results: ``und`` with score 0 for null, for texts without a letter,
 and for every text if there is nothing to learn from; one training language
 is predicted throughout with score 1; ties go to the smaller name; repeated
-rows get equal rows; other columns are ignored by ``identify``.
+rows get equal rows; other columns are ignored by ``identify`` and kept as they
+are by ``predict``, which takes names for its own two.
 """
 
 from __future__ import annotations
 
-import zlib
+import unicodedata
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import read_table
 
-N_FEATURES = 1 << 12
-PER_LANGUAGE = 300
-MAX_LANGUAGES = 1000
-MEMO_WORDS = 1_000_000
+N_FEATURES = 1 << 13
+PER_LANGUAGE = 400
+#: Texts that come to the driver as vectors (of 4 * N_FEATURES bytes), unless there are more languages than that.
+MAX_SAMPLE = 4000
+PIECE_CHARS = 1 << 18
 UNKNOWN = "und"
-#: What is stripped from both ends of a word.
-PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
-_memos: dict[str, dict] = {}
+#: For each code point 2 (letter), 1 (mark) or 0; filled by a worker when it first needs it (1 MB).
+_kinds: list = []
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -48,21 +52,59 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def word_features(word: str) -> dict[int, float]:
-    """Hashed 1- to 4-grams of a word; weights add up to 1."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    out: dict[int, float] = {}
-    for gram in grams:
-        k = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % N_FEATURES
-        out[k] = out.get(k, 0.0) + 1 / len(grams)
-    return out
+def kinds():
+    import numpy as np
+
+    if not _kinds:
+        _kinds.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], dtype=np.uint8))
+    return _kinds[0]
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words without what surrounds them."""
-    return [w for w in (x.strip(PUNCTUATION) for x in text.lower().split()) if w]
+def gram_pieces(text: str) -> Iterator:
+    """The hashed 1- to 4-grams of a text, piece by piece; nothing for a text without a letter."""
+    import numpy as np
+
+    codes_of = lambda part: np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    table = kinds()
+    if not any((table[codes_of(text[at : at + PIECE_CHARS])] == 2).any() for at in range(0, len(text), PIECE_CHARS)):
+        return
+    text = text.lower() + " "
+    carry, inside = np.zeros(1, dtype=np.uint64), False
+    for at in range(0, len(text), PIECE_CHARS):
+        codes = codes_of(text[at : at + PIECE_CHARS])
+        letter = table[codes] > 0
+        # Of a run of other characters only the first stays, as 0: a word's end.
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        kept[0] |= inside
+        inside = bool(letter[-1])
+        line = np.concatenate([carry, np.where(letter, codes, 0)[kept].astype(np.uint64)])
+        found = []
+        rolled = np.zeros(len(line), dtype=np.uint64)
+        for n in range(1, 5):
+            rolled = rolled[: len(line) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + line[n - 1 :] + np.uint64(1)
+            first = max(0, len(carry) - n + 1)  # what lies in the carry alone has been counted
+            good = np.ones(len(rolled), dtype=bool) if n > 1 else line > 0
+            for inner in range(1, n - 1):
+                good &= line[inner : inner + len(rolled)] > 0
+            grams = rolled[first:][good[first:]]
+            found.append(((grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n) >> np.uint64(64 - N_FEATURES.bit_length() + 1)).astype(np.int64))
+        carry = line[-3:]
+        yield np.concatenate(found)
+
+
+def vector_of(text: str | None):
+    """The feature vector (float32), or None for a text without a letter."""
+    import numpy as np
 
+    counts = None
+    for grams in gram_pieces(text or ""):
+        new = np.bincount(grams, minlength=N_FEATURES)
+        counts = new if counts is None else counts + new
+    if counts is None:
+        return None
+    vector = np.sqrt(counts, dtype=np.float32)
+    return vector / np.sqrt(vector @ vector)
 
 
 class Model:
@@ -70,32 +112,9 @@ class Model:
 
     def __init__(self, families: list[list[str]], weights, bias, between: list[tuple[int, int]], within: list[tuple[str, str]]):
         self.families, self.weights, self.bias, self.between, self.within = families, weights, bias, between, within
-        self.key = f"{zlib.crc32(weights.tobytes())}-{families}"
-
-    def values(self, words: list[str], memo: dict):
-        """The machines' values of a text: the mean over its words."""
-        import numpy as np
-
-        new = set(words).difference(memo)
-        known = {w: self._value(w) for w in new}
-        if len(memo) + len(new) <= MEMO_WORDS:
-            memo.update(known)
-            known = memo
-        else:
-            known = {w: known.get(w) if w in known else memo[w] for w in set(words)}
-        rows = np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.float32).reshape(len(words), -1)
-        return rows.mean(axis=0, dtype=np.float64)
-
-    def _value(self, word: str) -> bytes:
-        import numpy as np
-
-        features = word_features(word)
-        at = np.fromiter(features, dtype=np.int64)
-        return (np.fromiter(features.values(), dtype=np.float32) @ self.weights[at, :]).astype(np.float32).tobytes()
 
     def decide(self, values) -> tuple[str, float]:
-        """The winning language of the winning family, and the score."""
-        values = values + self.bias
+        """The winning language of the winning family, and the score, from the machines' values."""
         family, p = winner(range(len(self.families)), self.between, values[: len(self.between)])
         names = self.families[family]
         pairs = [(k, pair) for k, pair in enumerate(self.within) if pair[0] in names]
@@ -118,42 +137,40 @@ def winner(names, pairs, margins):
 
 
 def featurized(rows: DataFrame) -> DataFrame:
-    """lang and the averaged feature vector (float32 bytes) of each whole text."""
+    """lang and the feature vector (float32 bytes) of each whole text."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             langs, vectors = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                if not words:
-                    continue
-                vector = np.zeros(N_FEATURES)
-                counts: dict[str, int] = {}
-                for word in words:
-                    counts[word] = counts.get(word, 0) + 1
-                for word, n in counts.items():
-                    features = word_features(word)
-                    vector[np.fromiter(features, dtype=np.int64)] += n * np.fromiter(features.values(), dtype=np.float64)
-                langs.append(lang)
-                vectors.append((vector / len(words)).astype(np.float32).tobytes())
+            for k in range(batch.num_rows):
+                vector = vector_of(batch.column(1)[k].as_py())
+                if vector is not None:
+                    langs.append(batch.column(0)[k].as_py())
+                    vectors.append(vector.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], ["lang", "vector"])
 
     return rows.select("lang", "text").mapInArrow(run, "lang string, vector binary")
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` whole texts of each language, none held out."""
-    usable = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def hash_limit(wanted: int, distinct: int) -> int:
+    """The largest 64-bit hash that is drawn so that some more than ``wanted`` of ``distinct`` values are expected."""
+    enough = 4 * wanted + 64
+    return (1 << 63) - 1 if distinct <= enough else (enough << 64) // distinct - (1 << 63)
+
+
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """lang, text: the distinct texts of each language with the smallest hashes, none held out."""
+    usable = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not counts:
-        return usable.limit(0)
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, per_language / r["count"]) * 1_000_000)).otherwise(share)
-    return usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+        return usable.select("lang", "text").limit(0)
+    wanted = max(1, min(per_language, max_sample // len(counts)))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], hash_limit(wanted, r["n"])) for r in counts], "drawn string, h_limit long")
+    few = usable.join(F.broadcast(limits), F.col("lang") == F.col("drawn")).filter("h <= h_limit").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    return few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= wanted).select("lang", "text")
 
 
 def fit_svm(x, y, cost: float = 20.0, epochs: int = 30):
@@ -195,8 +212,8 @@ def find_families(means: dict[str, object]) -> list[list[str]]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """The model, or None if no labelled text can be learned from.
 
-    The sample's vectors come to the driver: languages x ``per_language`` x 16 KB,
-    bounded whatever the corpus.
+    The sample's vectors come to the driver: at most ``MAX_SAMPLE`` x 32 KB,
+    whatever the corpus.
     """
     import numpy as np
 
@@ -207,8 +224,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     langs = np.array([r["lang"] for r in rows])
     x = np.vstack([np.frombuffer(r["vector"], dtype=np.float32) for r in rows])
     del rows
-    scale = np.float32(30.0)  # word means are small; this sets the margin's unit
-    x *= scale
     families = find_families({lang: x[langs == lang].mean(axis=0) for lang in sorted(set(langs.tolist()))})
     family_of = {lang: k for k, names in enumerate(families) for lang in names}
     member = np.array([family_of[lang] for lang in langs])
@@ -219,42 +234,40 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         for a, b in pairs:
             mine = (key == a) | (key == b)
             w, b0 = fit_svm(x[mine], np.where(key[mine] == a, 1.0, -1.0))
-            columns.append(w * scale)
+            columns.append(w)
             bias.append(b0)
     weights = np.array(columns).T if columns else np.zeros((N_FEATURES, 0))
     return Model(families, np.ascontiguousarray(weights, dtype=np.float32), np.array(bias), between, within)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds lang_pred and score to every row; all other columns stay."""
-    plain = docs.drop("lang_pred", "score")
-    flagged = plain.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+def predict(docs: DataFrame, model: Model | None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Adds the predicted language and its score to every row; all other columns stay.
+
+    The two names must be new ones.
+    """
+    taken = {c.lower() for c in docs.columns}
+    if {lang_name.lower(), score_name.lower()} & taken:
+        raise ValueError(f"{lang_name} or {score_name} is a column already; choose other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
-        memo = _memos.setdefault(model.key, {}) if model else {}
         for batch in batches:
-            at, letters = batch.schema.get_field_index("text"), batch.schema.get_field_index("_letters")
+            at = batch.schema.get_field_index("text")
             langs, scores = [], []
             for k in range(batch.num_rows):
                 lang, score = UNKNOWN, 0.0
-                if model and batch.column(letters)[k].as_py():
-                    words = words_of(batch.column(at)[k].as_py())
-                    if words and len(model.weights[0]):
-                        lang, score = model.decide(model.values(words, memo))
-                    else:
-                        lang, score = model.families[0][0], 1.0 if not len(model.weights[0]) else 0.0
+                vector = vector_of(batch.column(at)[k].as_py()) if model else None
+                if vector is not None:
+                    lang, score = model.decide(vector @ model.weights + model.bias)
                 langs.append(lang)
                 scores.append(score)
-            kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_letters"]
-            names = [n for n in batch.schema.names if n != "_letters"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_name, score_name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", lang_pred string, score double"
-    return flagged.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_name}` string, `{score_name}` double"
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -19,7 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_golomb_exact_dedup": exact_dedup.OP1_SQL,
     "op4_weighted_mix": mixing.OP4_SQL,
-    "op8_grouped_prefix_join": ngram_join.op8_grouped_prefix_join,
     "op8_grouped_prefix_join": ngram_join.OP8_SQL,
     "op10_pivot_topk": pivot_topk.OP10_SQL,
 }

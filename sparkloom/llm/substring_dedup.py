@@ -6,24 +6,23 @@ document with a smaller id. Each start position (window) is judged by itself:
 1. Documents are packed into blocks of about ``BLOCK_BYTES``, written once to
    the shared folder. A window is named by its smallest ``GRAM``-byte hash, so
    equal windows have equal names wherever they stand; neighbouring windows
-   with one name form a run (20 or so windows on average).
-2. Blocks send owners of name ranges the hashes of their distinct runs with
-   the smallest document id. If the same run stands in a smaller document, all
-   its windows are matched. If a name has several different runs, these must
-   be compared byte by byte, and only their smallest documents' bytes are sent.
-3. Owners of names build suffix arrays over these bytes, one for each shard of
-   about ``SHARD_BYTES``: Larsson-Sadakane refinement (ranks of 5, 10, 20, 40
-   and then exactly ``LENGTH`` bytes, only groups that are still tied are
-   sorted again) and Kasai's common prefixes of neighbours. Neighbours that
-   share ``LENGTH`` bytes form a group; a window is matched if its group holds
-   a smaller document. Runs of one name share a shard; if they are too many
-   for one, their shards are merged by binary search of one shard's groups
+   with one name form a run (20 or so windows on average, ``RUN_WINDOWS`` at
+   most). Runs of a block with the same bytes are one entry.
+2. Blocks send owners of name ranges the names of their entries. A name that
+   one entry alone has can match nothing; this is all that names decide. The
+   bytes of every other entry are sent to the owner.
+3. Owners build suffix arrays over these bytes, one for each shard of about
+   ``SHARD_BYTES``: Larsson-Sadakane refinement (ranks of 5, 10, 20, ... bytes,
+   where only groups that are still tied are sorted again, until none is), and
+   from the finished array Kasai's common prefixes of neighbours. Neighbours
+   that share ``LENGTH`` bytes form a group; a window is matched if its group
+   holds a smaller document. Entries of one name share a shard; if they are too
+   many for one, its shards are merged by binary search of one shard's groups
    among the other's.
 4. Blocks mark what the answers match, in their own positions.
 
-Hashes have 128 bits in all (name and run), and bytes decide wherever a name
-is contested. Memory is bounded by blocks and shards; a document longer than
-a block is a block by itself.
+So bytes decide every removal. Memory is bounded by blocks and shards; a
+document longer than a block is a block by itself.
 
 Defined results: null text is empty (nothing removed, the hash of no bytes);
 a null id counts as larger than any other; documents with equal ids do not
@@ -44,6 +43,10 @@ LENGTH = 50
 GRAM = 12
 BLOCK_BYTES = 1 << 19
 SHARD_BYTES = 1 << 19
+#: Longer runs are cut, so that no entry is much longer than others.
+RUN_WINDOWS = 1024
+#: A rank, the rank further on and a position share 64 bits.
+SHARD_LIMIT = 1 << 20
 NO_ID = (1 << 63) - 1
 #: Answers are broadcast to the blocks up to this many bytes; beyond it Spark shuffles blocks and answers.
 BROADCAST_BYTES = 64 << 20
@@ -126,9 +129,8 @@ class Block:
         starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         room = self.ends - starts >= length
         if not room.any():
-            self.lo = self.hi = self.doc = self.entry = np.zeros(0, np.int64)
-            self.names = self.hashes = np.zeros(0, np.uint64)
-            self.least = np.zeros(0, np.int64)
+            self.lo = self.hi = self.doc = self.entry = self.least = self.example = np.zeros(0, np.int64)
+            self.names = np.zeros(0, np.uint64)
             return
         padded = data + bytes(GRAM)
         a = np.ndarray((n,), "<u8", padded, 0, (1,)) * np.uint64(0x9FB21C651E98DF25)
@@ -145,7 +147,7 @@ class Block:
         np.add.at(edge, starts[room], 1)
         np.add.at(edge, self.ends[room] - length + 1, -1)
         valid = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
-        name = least[valid]
+        name = mixed(mixed(least[valid]))  # smallest hashes are small; owners have even ranges of names
         new = np.ones(len(valid), dtype=bool)
         new[1:] = (name[1:] != name[:-1]) | (valid[1:] != valid[:-1] + 1)
         # Adjacent documents of exactly one window have adjacent valid starts only across an end.
@@ -153,6 +155,8 @@ class Block:
         begins[starts] = True
         new |= begins[valid]
         first = np.flatnonzero(new)
+        inside = np.arange(len(valid)) - np.repeat(first, np.diff(np.append(first, len(valid))))
+        first = np.flatnonzero(new | (inside % RUN_WINDOWS == 0))
         self.lo = valid[first]
         self.hi = valid[np.append(first[1:], len(valid)) - 1]
         self.doc = np.searchsorted(self.ends, self.lo, side="right")
@@ -162,13 +166,37 @@ class Block:
         size = (self.hi - self.lo).astype(np.uint64)
         run = mixed((total[self.hi + span] - total[self.lo]) * down[self.lo] + size * np.uint64(0x94D049BB133111EB))
         name = name[first]
-        order = np.lexsort((self.ids[self.doc], run, name))
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (name[order][1:] != name[order][:-1]) | (run[order][1:] != run[order][:-1])
-        self.entry = np.empty(len(order), dtype=np.int64)
-        self.entry[order] = np.cumsum(fresh) - 1
-        chosen = order[fresh]
-        self.names, self.hashes, self.least, self.example = name[chosen], run[chosen], self.ids[self.doc[chosen]], chosen
+        apart = np.zeros(len(name), dtype=np.int64)
+        while True:
+            order = np.lexsort((self.ids[self.doc], apart, run, name))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (name[order][1:] != name[order][:-1]) | (run[order][1:] != run[order][:-1]) | (apart[order][1:] != apart[order][:-1])
+            self.entry = np.empty(len(order), dtype=np.int64)
+            self.entry[order] = np.cumsum(fresh) - 1
+            chosen = order[fresh]
+            differs = self.unlike(chosen[self.entry])
+            if not differs.any():
+                break
+            apart[differs] = np.flatnonzero(differs) + 1  # equal hashes, other bytes: an entry of its own
+        self.names, self.least, self.example = name[chosen], self.ids[self.doc[chosen]], chosen
+
+    def unlike(self, example):
+        """Which runs have other bytes than their examples."""
+        import numpy as np
+
+        copies = np.flatnonzero(example != np.arange(len(example)))
+        size = self.hi[copies] - self.lo[copies] + self.length
+        other = example[copies]
+        out = np.zeros(len(example), dtype=bool)
+        same_size = size == self.hi[other] - self.lo[other] + self.length
+        out[copies[~same_size]] = True
+        copies, size, other = copies[same_size], size[same_size], other[same_size]
+        if len(copies):
+            begins = np.cumsum(size) - size
+            inside = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(begins, size).astype(np.int32)
+            here, there = np.repeat(self.lo[copies].astype(np.int32), size), np.repeat(self.lo[other].astype(np.int32), size)
+            out[copies] = np.logical_or.reduceat(self.data[here + inside] != self.data[there + inside], begins)
+        return out
 
 
 def owner_cuts(names, n_owners: int):
@@ -179,7 +207,7 @@ def owner_cuts(names, n_owners: int):
 
 
 def announced(blocks: DataFrame, n_owners: int) -> DataFrame:
-    """owner, block, at, payload: the entries of a block in an owner's range."""
+    """owner, block, at, payload: the names of a block's entries in an owner's range."""
 
     def run(batches):
         import pyarrow as pa
@@ -189,7 +217,7 @@ def announced(blocks: DataFrame, n_owners: int) -> DataFrame:
                 b = Block(row["ids"], row["ends"], row["data"])
                 cuts = owner_cuts(b.names, n_owners)
                 some = [o for o in range(n_owners) if cuts[o + 1] > cuts[o]]
-                payload = [b"".join(x[cuts[o] : cuts[o + 1]].tobytes() for x in (b.names, b.hashes, b.least)) for o in some]
+                payload = [b.names[cuts[o] : cuts[o + 1]].tobytes() for o in some]
                 yield pa.RecordBatch.from_pydict(
                     {"owner": pa.array(some, pa.int32()), "block": pa.array([row["block"]] * len(some), pa.int64()),
                      "at": pa.array([int(cuts[o]) for o in some], pa.int64()), "payload": pa.array(payload, pa.binary())}
@@ -199,48 +227,37 @@ def announced(blocks: DataFrame, n_owners: int) -> DataFrame:
 
 
 def answered(messages: DataFrame) -> DataFrame:
-    """block, at, n, smaller, contested: two bitmaps over each message's entries."""
+    """block, at, n, contested: a bitmap over each message's entries of the names that other entries have."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        sizes = [len(p) // 24 for p in table.column("payload").to_pylist()]
-        parts = [np.frombuffer(p, "<u8").reshape(3, -1) for p in table.column("payload").to_pylist()]
-        name, run_hash, doc = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.uint64)
-        doc = doc.view(np.int64)
-        order = np.lexsort((doc, run_hash, name))
-        n_, r_, d_ = name[order], run_hash[order], doc[order]
-        fresh_name = np.ones(len(order), dtype=bool)
-        fresh_name[1:] = n_[1:] != n_[:-1]
-        fresh = fresh_name.copy()
-        fresh[1:] |= r_[1:] != r_[:-1]
-        least = d_[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        runs = np.add.reduceat(fresh, np.flatnonzero(fresh_name)) if len(order) else np.zeros(0, np.int64)
-        several = runs[np.cumsum(fresh_name) - 1] > 1
-        smaller, contested = np.empty(len(order), dtype=bool), np.empty(len(order), dtype=bool)
-        smaller[order] = least < d_
-        contested[order] = several & (least == d_)
-        out, at = {"block": [], "at": [], "n": [], "smaller": [], "contested": []}, 0
-        for block, first, size in zip(table.column("block").to_pylist(), table.column("at").to_pylist(), sizes, strict=True):
-            s, c = smaller[at : at + size], contested[at : at + size]
-            at += size
-            if s.any() or c.any():
-                for key, value in zip(out, (block, first, size, np.packbits(s).tobytes(), np.packbits(c).tobytes()), strict=True):
-                    out[key].append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
-
-    return messages.groupBy("owner").applyInArrow(run, "block long, at long, n long, smaller binary, contested binary")
-
-
-def flags(block: Block, answers, key: str):
+        parts = [np.frombuffer(p, "<u8") for p in table.column("payload").to_pylist()]
+        everything = np.sort(np.concatenate(parts))
+        shared = np.unique(everything[1:][everything[1:] == everything[:-1]])
+        maps, some = [], []
+        for k, names in enumerate(parts):
+            at = np.searchsorted(shared, names)
+            at[at == len(shared)] = 0
+            found = shared[at] == names if len(shared) else np.zeros(len(names), dtype=bool)
+            if found.any():
+                some.append(k)
+                maps.append(np.packbits(found).tobytes())
+        kept = table.select(["block", "at"]).take(pa.array(some, pa.int64()))
+        sizes = pa.array([len(parts[k]) for k in some], pa.int64())
+        return kept.append_column("n", sizes).append_column("contested", pa.array(maps, pa.binary()))
+
+    return messages.groupBy("owner").applyInArrow(run, "block long, at long, n long, contested binary")
+
+
+def flags(block: Block, answers):
     """The answers' bitmap over all entries of a block."""
     import numpy as np
 
     out = np.zeros(len(block.names), dtype=bool)
     for a in answers or []:
-        out[a["at"] : a["at"] + a["n"]] = np.unpackbits(np.frombuffer(a[key], np.uint8), count=a["n"])
+        out[a["at"] : a["at"] + a["n"]] = np.unpackbits(np.frombuffer(a["contested"], np.uint8), count=a["n"])
     return out
 
 
@@ -252,7 +269,7 @@ def joined(blocks: DataFrame, answers: DataFrame, how: str) -> DataFrame:
 
 
 def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
-    """owner, block, entries, names, docs, ends, data: the bytes of contested runs."""
+    """owner, block, entries, names, docs, ends, data: the bytes of entries whose names others have."""
 
     def run(batches):
         import numpy as np
@@ -261,7 +278,7 @@ def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
         for batch in batches:
             for row in rows_of(batch):
                 b = Block(row["ids"], row["ends"], row["data"])
-                wanted = np.flatnonzero(flags(b, row["answers"], "contested"))
+                wanted = np.flatnonzero(flags(b, row["answers"]))
                 if not len(wanted):
                     continue
                 lo, hi = b.lo[b.example[wanted]], b.hi[b.example[wanted]] + b.length
@@ -278,8 +295,7 @@ def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
                 names = ("owner", "block", "entries", "names", "docs", "ends", "data")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], list(names))
 
-    some = answers.filter(F.exists("answers", lambda a: a["any_contested"]))
-    return joined(blocks, some, "inner").select("block", "ids", "ends", "data", "answers").mapInArrow(
+    return joined(blocks, answers, "inner").select("block", "ids", "ends", "data", "answers").mapInArrow(
         run, "owner int, block long, entries binary, names binary, docs binary, ends binary, data binary"
     )
 
@@ -292,80 +308,87 @@ def big_words(data: bytes, width: int = 8):
     return np.ndarray((len(data),), ">u8", padded, 0, (1,)).astype(np.uint64)
 
 
-def suffix_order(data: bytes, starts, length: int = LENGTH):
-    """The starts in the order of their first ``length`` bytes, by refinement of ranks.
+def suffix_order(data: bytes, ends):
+    """The order of all suffixes of the strings that end at ``ends`` (a string's end comes before any byte).
 
     Ranks cover every position; only positions in groups that are still tied
-    are sorted at the next depth, as Larsson and Sadakane do. A rank, the rank
-    of the suffix further on and the position go into one 64-bit number while
-    they fit, since sorting plain numbers is several times faster.
+    are sorted at twice the depth, as Larsson and Sadakane do. A rank, the rank
+    of the suffix further on and the position go into one 64-bit number, since
+    sorting plain numbers is several times faster. Equal suffixes stand in the
+    order of their places.
     """
     import numpy as np
 
     n = len(data)
+    if n >= SHARD_LIMIT:
+        raise ValueError(f"a shard must be smaller than {SHARD_LIMIT} bytes")
     bits = np.uint64(n.bit_length())
-    small = 3 * int(bits) <= 64 and int(bits) <= 24
     mask = (np.uint64(1) << bits) - np.uint64(1)
+    rest = bytes_left(n, ends)
+    short = np.minimum(rest, 5)
+    keep = np.array([((1 << 40) - 1) ^ ((1 << 8 * (5 - k)) - 1) for k in range(6)], dtype=np.uint64)
+    key = (big_words(data) >> np.uint64(24) & keep[short]) << np.uint64(3) | short.astype(np.uint64)
+    key = key << bits | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order, key = (key & mask).astype(np.int32), key >> bits
     head = np.ones(n, dtype=bool)
-    if small:
-        key = ((big_words(data) >> np.uint64(24)) << bits) | np.arange(n, dtype=np.uint64)
-        key.sort()
-        order, key = (key & mask).astype(np.int32), key >> bits
-    else:
-        order = np.argsort(big_words(data) >> np.uint64(24), kind="stable")
-        key = (big_words(data) >> np.uint64(24))[order]
     head[1:] = key[1:] != key[:-1]
-    rank = np.empty(n, dtype=np.int32 if small else np.int64)
+    rank = np.empty(n, dtype=np.int32)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
     depth = 5
-    while depth < length:
-        step = min(depth, length - depth)
+    while True:
         tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(tied):
-            break
+            return order
         at = order[tied]
-        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        fresh = np.ones(len(at), dtype=bool)
-        if small:
-            key = (((rank[at].astype(np.uint64) << bits) | after.astype(np.uint64)) << bits) | at.astype(np.uint64)
-            key.sort()
-            at, key = (key & mask).astype(np.int32), key >> bits
-            fresh[1:] = key[1:] != key[:-1]
-        else:
-            group = rank[at]
-            inner = np.lexsort((after, group))
-            at, group, after = at[inner], group[inner], after[inner]
-            fresh[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        goes_on = rest[at] > depth
+        after = np.where(goes_on, rank[np.where(goes_on, at + depth, 0)] + 1, 0)
+        key = ((rank[at].astype(np.uint64) << bits) | after.astype(np.uint64)) << bits | at.astype(np.uint64)
+        key.sort()
+        at, key = (key & mask).astype(np.int32), key >> bits
+        fresh = (key & mask) == 0  # strings that end here are told apart by their places
+        fresh[1:] |= key[1:] != key[:-1]
+        fresh[:1] = True
         order[tied] = at  # groups keep their places, members change theirs
         head[tied] = fresh
         rank[at] = tied[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        depth += step
-    wanted = np.zeros(n, dtype=bool)
-    wanted[starts] = True
-    return order[wanted[order]]
+        depth *= 2
+
+
+def bytes_left(n: int, ends):
+    """How many bytes there are from each position to the end of its string."""
+    import numpy as np
 
+    return (np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)).astype(np.int32)
 
-def common_prefixes(data: bytes, order, length: int = LENGTH):
-    """Kasai's array up to ``length``: bytes each suffix shares with the one before it.
 
-    All pairs are compared at once, eight bytes at a time; pairs that differ drop out.
+def common_prefixes(data: bytes, order, ends, length: int = LENGTH, stride: int = 8):
+    """Kasai's array, counted up to ``length``: bytes each suffix shares with the one before it.
+
+    A suffix shares at most one byte less with its neighbour than the suffix
+    one place to the left of it does. Places are taken ``stride`` apart, all at
+    once, then those to the right of them, which start from that bound.
     """
     import numpy as np
 
-    words = big_words(data + bytes(length))
-    out = np.zeros(len(order), dtype=np.int64)
-    if len(order) < 2:
-        return out
-    left, right = order[:-1], order[1:]
-    live = np.arange(len(right))
-    for at in range(0, length, 8):
-        differs = words[left + at] ^ words[right + at]
-        same = differs == 0
-        # The highest differing bit tells how many whole bytes agree.
-        out[1:][live[~same]] = np.minimum(at + (64 - bit_length(differs[~same])) // 8, length)
-        left, right, live = left[same], right[same], live[same]
-    out[1:][live] = length
-    return out
+    n = len(order)
+    shared = np.zeros(n, dtype=np.int32)
+    before = np.full(n, -1, dtype=np.int32)
+    before[order[1:]] = order[:-1]
+    words, rest = big_words(data + bytes(length + 8)), bytes_left(n, ends)
+    for first in range(min(stride, n)):
+        at = np.arange(first, n, stride)
+        at = at[before[at] >= 0]
+        other = before[at]
+        most = np.minimum(np.minimum(rest[at], rest[other]), length)
+        known = np.maximum(shared[at - 1] - 1, 0) if first else np.zeros(len(at), dtype=np.int32)
+        live = np.arange(len(at))
+        while len(live):
+            differs = words[at[live] + known[live]] ^ words[other[live] + known[live]]
+            known[live] += np.where(differs == 0, 8, (64 - bit_length(differs)) // 8).astype(np.int32)
+            live = live[(differs == 0) & (known[live] < most[live])]
+        shared[at] = np.minimum(known, most)
+    return shared[order]
 
 
 def bit_length(x):
@@ -378,25 +401,21 @@ def bit_length(x):
 
 
 class Shard:
-    """A suffix array over some contested runs, its groups and their least documents."""
+    """A suffix array over some entries, its groups of equal windows and their least documents."""
 
     def __init__(self, data: bytes, ends, docs, length: int = LENGTH):
         import numpy as np
 
         self.data, self.length = data, length
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        edge = np.zeros(len(data) + 1, dtype=np.int64)
-        np.add.at(edge, begins, 1)
-        np.add.at(edge, ends - length + 1, -1)
-        self.starts = np.flatnonzero(np.cumsum(edge[:-1]))
-        self.order = suffix_order(data, self.starts, length)
-        head = common_prefixes(data, self.order, length) < length
-        head[:1] = True
-        self.group = np.cumsum(head) - 1
-        owner = np.repeat(np.asarray(docs), ends - begins)[self.order]
-        self.doc = owner
-        self.first = np.flatnonzero(head)
-        self.least = np.minimum.reduceat(owner, self.first) if len(owner) else owner
+        order = suffix_order(data, ends)
+        group = np.cumsum(common_prefixes(data, order, ends, length) < length)
+        window = bytes_left(len(data), ends)[order] >= length
+        self.order, group = order[window], group[window]
+        head = np.ones(len(group), dtype=bool)
+        head[1:] = group[1:] != group[:-1]
+        self.group, self.first = np.cumsum(head) - 1, np.flatnonzero(head)
+        self.doc = np.repeat(np.asarray(docs), np.diff(ends, prepend=0))[self.order]
+        self.least = np.minimum.reduceat(self.doc, self.first) if len(self.doc) else self.doc
 
     def keys(self):
         """The bytes of each group as big-endian words, in order; what is beyond the length is cleared."""
@@ -478,7 +497,7 @@ def settled(messages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         hit = np.zeros(len(data), dtype=bool)
         for same_name, groups in shard_cuts(names[order], sizes[order], shard_bytes):
             shards, places = [], []
-            for a, b in groups:
+            for a, b in groups:  # a shard is held only while its group of shards is settled
                 mine = order[a:b]
                 stops = np.cumsum(sizes[mine])
                 place = np.repeat(begins[mine] - (stops - sizes[mine]), sizes[mine]) + np.arange(stops[-1])
@@ -495,7 +514,7 @@ def settled(messages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             at += len(ids)
             if len(some):
                 windows = size[some] - LENGTH + 1
-                bits = np.concatenate([hit[a : a + n] for a, n in zip(first[some].tolist(), windows.tolist(), strict=True)])
+                bits = hit[np.repeat(first[some] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))]
                 for key, value in zip(out, (block, ids[some].tobytes(), windows.astype("<i8").tobytes(), np.packbits(bits).tobytes()), strict=True):
                     out[key].append(value)
         types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -534,7 +553,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def marked(blocks: DataFrame, with_parts: bool) -> DataFrame:
-    """The rows of the result from blocks with ``answers`` and ``windows``."""
+    """The rows of the result from blocks with ``windows``."""
 
     def run(batches):
         import numpy as np
@@ -545,28 +564,27 @@ def marked(blocks: DataFrame, with_parts: bool) -> DataFrame:
                 yield from judge(row, with_parts, np, pa)
 
     parts = ", spans array<struct<start: long, end: long>>, kept binary" if with_parts else ""
-    return blocks.select("block", "ids", "nulls", "ends", "data", "answers", "windows").mapInArrow(run, RESULT + parts)
+    return blocks.select("block", "ids", "nulls", "ends", "data", "windows").mapInArrow(run, RESULT + parts)
 
 
 def judge(row: dict, with_parts: bool, np, pa):
     b = Block(row["ids"], row["ends"], row["data"])
-    smaller = flags(b, row["answers"], "smaller")
     n, docs = len(b.data), b.ids
-    change = np.zeros(n + 1, dtype=np.int32)
-    whole = smaller[b.entry] | (docs[b.doc] > b.least[b.entry])
+    change = np.zeros(n + 1, dtype=np.int64)
+    whole = docs[b.doc] > b.least[b.entry]  # the same bytes stand in a smaller document of this block
     np.add.at(change, b.lo[whole], 1)
     np.add.at(change, b.hi[whole] + b.length, -1)
-    partly = {}
-    for w in row["windows"] or []:
-        sizes = np.frombuffer(w["sizes"], "<i8")
-        bits = np.unpackbits(np.frombuffer(w["bits"], np.uint8), count=int(sizes.sum()))
-        for entry, part in zip(np.frombuffer(w["entries"], "<i8").tolist(), np.split(bits, np.cumsum(sizes)[:-1]), strict=True):
-            partly[entry] = part
-    if partly:
-        for r in np.flatnonzero(~whole & np.isin(b.entry, list(partly))).tolist():
-            starts = b.lo[r] + np.flatnonzero(partly[int(b.entry[r])])
-            change[starts] += 1
-            np.add.at(change, starts + b.length, -1)
+    answers = row["windows"] or []
+    if answers:
+        entries, sizes = (np.concatenate([np.frombuffer(w[key], "<i8") for w in answers]) for key in ("entries", "sizes"))
+        bits = [np.unpackbits(np.frombuffer(w["bits"], np.uint8), count=int(np.frombuffer(w["sizes"], "<i8").sum())) for w in answers]
+        bits, place = np.concatenate(bits).astype(bool), np.full(len(b.names), -1, dtype=np.int64)
+        place[entries] = np.cumsum(sizes) - sizes
+        runs = np.flatnonzero(~whole & (place[b.entry] >= 0))
+        lo, n_windows = b.lo[runs], b.hi[runs] - b.lo[runs] + 1
+        inside = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        starts = (np.repeat(lo, n_windows) + inside)[bits[np.repeat(place[b.entry[runs]], n_windows) + inside]]
+        change += np.bincount(starts, minlength=n + 1) - np.bincount(starts + b.length, minlength=n + 1)
     gone = np.cumsum(change[:-1]) > 0
     begins = np.concatenate([[0], b.ends[:-1]]).astype(np.int64)
     count = np.concatenate([[0], np.cumsum(gone)])
@@ -607,18 +625,15 @@ def judged(docs: DataFrame, with_parts: bool, block_bytes: int, shard_bytes: int
     n_owners = max(32, 4 * partitions_for(spark))  # a group is what a Python worker holds
     blocks = materialize(packed(docs, block_bytes), "blocks")
     raw = materialize(answered(announced(blocks, n_owners)), "answers")
-    one = F.struct(
-        "at", "n", "smaller", "contested", (F.regexp_replace(F.hex("contested"), "0", "") != "").alias("any_contested")
-    )
     answers = materialize(
-        raw.groupBy("block").agg(F.collect_list(one).alias("answers"), F.sum(F.length("smaller") + F.length("contested") + 40).alias("bytes")), "answers-by-block"
+        raw.groupBy("block").agg(F.collect_list(F.struct("at", "n", "contested")).alias("answers"), F.sum(F.length("contested") + 40).alias("bytes")), "answers-by-block"
     )
     windows = materialize(
         settled(disputed(blocks, answers, n_owners), shard_bytes).groupBy("block").agg(
             F.collect_list(F.struct("entries", "sizes", "bits")).alias("windows"), F.sum(F.length("entries") + F.length("sizes") + F.length("bits") + 40).alias("bytes")
         ), "windows-by-block",
     )
-    return marked(joined(joined(blocks, answers, "left"), windows, "left"), with_parts)
+    return marked(joined(blocks, windows, "left"), with_parts)
 
 
 def op9_sharded_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A byte-pair tokenizer never merges across its pre-tokens, so the ids of a text
 are the ids of its pieces, one after the other, wherever the text is cut
 between pre-tokens. Pieces repeat, so each Python worker encodes a piece once
 with the tokenizers library and remembers its ids as little-endian unsigned
-32-bit integers. The memory is bounded: when ``MEMO_PIECES`` are known, later
-pieces are encoded each time they come.
+32-bit integers. The memory is bounded in bytes (``MEMO_BYTES``, about): pieces
+not met for long are forgotten, and a piece of over ``MEMO_CHARS`` characters
+is never kept, so texts without blanks are not.
 
 Cuts are made at a single space between two characters that are not blank in
 any sense (``str.isspace``). Around any other run of blanks the text is left
@@ -16,7 +17,10 @@ from __future__ import annotations
 
 import os
 
-MEMO_PIECES = 1_000_000
+MEMO_BYTES = 64 << 20
+MEMO_CHARS = 64
+#: What a short piece takes: two objects and its place in the table.
+PIECE_BYTES = 210
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -27,6 +31,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo:
+    """Short pieces and their ids in two generations: when the young one is full, the old one is forgotten."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, pieces: list[str]) -> list[str]:
+        """The distinct pieces in neither generation; those of the old one become young again."""
+        if len(self.young) * PIECE_BYTES > MEMO_BYTES // 4:
+            self.old, self.young = self.young, {}
+        new = []
+        for piece in set(pieces).difference(self.young):
+            ids = self.old.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.young[piece] = ids
+        return new
+
+
 class PieceEncoder:
     """``keep_space``: the tokenizer's pieces carry the space before them."""
 
@@ -37,8 +62,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
         self.prefix = " " if keep_space else ""
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if not keep_space else {}
+        self.first = Memo()
+        self.later = self.first if not keep_space else Memo()
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
@@ -46,15 +71,17 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _lookup(self, memo: dict[str, bytes], pieces: list[str], prefix: str) -> list[bytes]:
-        new = list(set(pieces).difference(memo))
+    def _lookup(self, memo: Memo, pieces: list[str], prefix: str) -> list[bytes]:
+        new = memo.unknown(pieces)
         if not new:
-            return list(map(memo.__getitem__, pieces))
-        known = dict(zip(new, self._ids([prefix + x for x in new] if prefix else new), strict=True))
-        if len(memo) + len(new) <= MEMO_PIECES:
-            memo.update(known)
-            return list(map(memo.__getitem__, pieces))
-        return [known[x] if x in known else memo[x] for x in pieces]
+            return list(map(memo.young.__getitem__, pieces))
+        found = dict(zip(new, self._ids([prefix + x for x in new] if prefix else new), strict=True))
+        short = {x: ids for x, ids in found.items() if len(x) <= MEMO_CHARS}
+        memo.young.update(short)
+        if len(short) == len(found):
+            return list(map(memo.young.__getitem__, pieces))
+        known = memo.young
+        return [known[x] if x in known else found[x] for x in pieces]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""

@@ -94,8 +94,9 @@ def mined(labelled: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SU
     the transactions are short.
     """
     n = labelled.count()
-    part = min(1.0, sample / n) if n else 1.0
-    kept = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(part * 1_000_000))
+    # A share of the 64-bit hashes, so that no count is so large that nothing is drawn.
+    limit = (1 << 63) - 1 if n <= sample else (sample << 64) // n - (1 << 63)
+    kept = labelled.filter(F.xxhash64("url") <= F.lit(limit))
     total = max(1, kept.count())
     common = (
         kept.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))

@@ -48,7 +48,10 @@ def test_drop_copies_keeps_one_of_each(odd, odd_rows, clashing, empty):
     assert kept.columns == odd.columns
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     assert sorted(norm(r["text"]) for r in kept.collect()) == sorted({norm(r[1]) for r in odd_rows})
-    assert exact_dedup.drop_copies(clashing).count() == kept.count()
+    own = exact_dedup.drop_copies(clashing.withColumn("text_sha256", F.lit("other")).withColumn("copy_number", F.lit("other")))
+    assert own.columns == [*clashing.columns, "text_sha256", "copy_number"] and own.count() == kept.count()
+    names = own.columns[5:]
+    assert own.select(*names).distinct().collect() == [("other",) * len(names)]
     assert exact_dedup.drop_copies(empty).count() == 0
 
 

@@ -1,6 +1,7 @@
 import math
 import random
-from urllib.parse import urlsplit
+
+import pytest
 
 from sparkloom.llm import language_id, pivot_topk, url_rules
 from tests.llm.conftest import DOC_SCHEMA, rows_of
@@ -111,6 +112,65 @@ def test_pivot_topk_matches_brute_force(spark):
     found = pivot_topk.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
     assert rows_of(found, "query_id", "rank", "vec_id", "score") == sorted(expected, key=str)
     assert pivot_topk.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+    # Several groups, with lines from the first ones; names that are used inside.
+    clashing = vectors.selectExpr("*", "1 AS number", "'x' AS bucket", "2 AS g", "3 AS dim", "'y' AS ids", "4 AS key", "5 AS lines")
+    found = pivot_topk.nearest(clashing, clashing.filter("vec_id % 100 = 0"), group_rows=60)
+    assert rows_of(found, "query_id", "rank", "vec_id", "score") == sorted(expected, key=str)
+
+
+def test_pivots_eliminate(spark):
+    rng = random.Random(18)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(32)]) for i in range(3000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    hits = pivot_topk.meet_all(vectors, vectors.filter("vec_id % 100 = 0"), group_rows=500)
+    evaluated = hits.agg({"evaluated": "sum"}).first()[0]
+    assert evaluated < 0.5 * 30 * 3000
+    none = pivot_topk.meet_all(vectors, vectors.filter("vec_id % 100 = 0"), n_pivots=1, group_rows=500)
+    assert none.agg({"evaluated": "sum"}).first()[0] > evaluated
+    assert rows_of(pivot_topk.ranked(hits, 10)) == rows_of(pivot_topk.ranked(none, 10))
+
+
+def test_draws_never_come_to_nothing():
+    for wanted, rows in ((300, 3 * 10**9), (2048, 10**13), (1, 10**18), (5, 3)):
+        for limit in (pivot_topk.hash_limit(wanted, rows), language_id.hash_limit(wanted, rows)):
+            assert min(rows, wanted) <= (limit + (1 << 63)) * rows / (1 << 64) + 1e-6 and -(1 << 63) <= limit < 1 << 63
+
+
+def test_a_language_of_copies_and_a_text_without_blanks(spark):
+    rng = random.Random(14)
+    text = lambda lang: " ".join(rng.choice(VOCABULARY[lang]) for _ in range(20))
+    rows = [(i, "river stone house night which that from over", "en", "a", 1) for i in range(600)]
+    rows += [(1000 + i, text("nl"), "nl", "a", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    counts = {r["lang"]: r["count"] for r in language_id.training_sample(docs, 100).groupBy("lang").count().collect()}
+    assert counts == {"en": 1, "nl": 100}
+    assert language_id.training_sample(docs, 100, max_sample=1).count() == 2
+    found = {r["lang_pred"] for r in language_id.identify(docs).filter("doc_id < 1000").select("lang_pred").distinct().collect()}
+    assert found == {"en"}
+    long = "riverstonehouse" * 60_000
+    pieces = language_id.vector_of(long)
+    old = language_id.PIECE_CHARS
+    try:
+        language_id.PIECE_CHARS = 777
+        assert (language_id.vector_of(long) == pieces).all() and abs(float(pieces @ pieces) - 1) < 1e-4
+        some = "Voilà,  l'été — 12 naïve coöperatie\n\tx " * 50
+        cut = language_id.vector_of(some)
+        language_id.PIECE_CHARS = old
+        assert (language_id.vector_of(some) == cut).all()
+    finally:
+        language_id.PIECE_CHARS = old
+    assert language_id.vector_of("12 - ...") is None and language_id.vector_of(None) is None
+
+
+def test_language_keeps_the_callers_columns(spark, odd):
+    from pyspark.sql import functions as F
+
+    own = odd.withColumn("score", F.lit("mine")).withColumn("_letters", F.lit("too"))
+    model = language_id.fit(own)
+    got = language_id.predict(own, model, "found", "sure").collect()
+    assert all(r["score"] == "mine" and r["_letters"] == "too" and 0 <= r["sure"] <= 1 for r in got)
+    with pytest.raises(ValueError, match="score"):
+        language_id.predict(own, model)
 
 
 def test_rules_of_more_than_three_tokens(spark):

@@ -53,16 +53,37 @@ def planted():
 
 
 def test_suffix_array_and_prefixes():
-    data = "".join(t or "" for _, t in planted()).encode()[:6000]
-    order = substring_dedup.suffix_order(data, np.arange(len(data) - 50))
-    keys = [data[i : i + 50] for i in order.tolist()]
-    assert keys == sorted(keys)
-    shared = substring_dedup.common_prefixes(data, order)
+    strings = [(t or "").encode() for _, t in planted()][:90]
+    strings = [x for x in strings if x]
+    data, ends = b"".join(strings), np.cumsum([len(x) for x in strings])
+    order = substring_dedup.suffix_order(data, ends)
+    stop = ends[np.searchsorted(ends, order, side="right")]
+    keys = [(data[i:e], i) for i, e in zip(order.tolist(), stop.tolist(), strict=True)]
+    assert sorted(order.tolist()) == list(range(len(data))) and keys == sorted(keys)
+    shared = substring_dedup.common_prefixes(data, order, ends)
     for k in range(1, len(keys)):
-        n = 0
-        while n < 50 and keys[k][n] == keys[k - 1][n]:
-            n += 1
-        assert shared[k] == n
+        x, y = keys[k - 1][0][:50], keys[k][0][:50]
+        assert shared[k] == next((n for n, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+
+
+def test_equal_hashes_do_not_remove(monkeypatch):
+    # Every run gets the same hash: entries are told apart by their bytes.
+    texts = [("%03d " % k) * 30 for k in range(20)] * 2
+    data, ends = "".join(texts).encode(), np.cumsum([len(t) for t in texts])
+    plain = substring_dedup.Block(np.arange(40).tobytes(), ends.tobytes(), data)
+    scrambled = substring_dedup.mixed
+    calls = []
+
+    def blunt(x):
+        calls.append(1)
+        return np.zeros_like(x) if len(calls) == 4 else scrambled(x)  # grams, twice the names, then the runs
+
+    monkeypatch.setattr(substring_dedup, "mixed", blunt)
+    forced = substring_dedup.Block(np.arange(40).tobytes(), ends.tobytes(), data)
+    pieces = lambda b: [data[x : y + 50] for x, y in zip(b.lo.tolist(), b.hi.tolist(), strict=True)]
+    assert pieces(plain) == pieces(forced)
+    for r, piece in enumerate(pieces(forced)):
+        assert pieces(forced)[forced.example[forced.entry[r]]] == piece
 
 
 def test_matches_brute_force_and_small_shards(spark):
