@@ -13,16 +13,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from sparkloom.llm.common import materialize, read_table
+from sparkloom.llm.common import fresh, materialize, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language stay, with the predicted one as ``lang``; those without any (``und``) go."""
     names = docs.columns
     model = language_id.fit(docs)
-    judged = language_id.predict(docs, model)
-    kept = judged.filter(judged["lang_pred"] != language_id.UNKNOWN)
-    return kept.withColumn("lang", kept["lang_pred"]).select(names)
+    found = fresh(names, "lang_pred")
+    judged = language_id.predict(docs, model, found, fresh(names, "lang_score"))
+    kept = judged.filter(judged[found] != language_id.UNKNOWN)
+    return kept.withColumn("lang", kept[found]).select(*[f"`{c}`" for c in names])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
