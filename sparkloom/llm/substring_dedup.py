@@ -199,6 +199,13 @@ class Block:
         return out
 
 
+def short_names(names, n_owners: int):
+    """32 bits of each name, taken below the bits that choose the owner; a clash only makes an owner see more bytes."""
+    import numpy as np
+
+    return (names >> np.uint64(max(0, 32 - n_owners.bit_length()))).astype(np.uint32)
+
+
 def owner_cuts(names, n_owners: int):
     import numpy as np
 
@@ -217,7 +224,8 @@ def announced(blocks: DataFrame, n_owners: int) -> DataFrame:
                 b = Block(row["ids"], row["ends"], row["data"])
                 cuts = owner_cuts(b.names, n_owners)
                 some = [o for o in range(n_owners) if cuts[o + 1] > cuts[o]]
-                payload = [b.names[cuts[o] : cuts[o + 1]].tobytes() for o in some]
+                brief = short_names(b.names, n_owners)
+                payload = [brief[cuts[o] : cuts[o + 1]].tobytes() for o in some]
                 yield pa.RecordBatch.from_pydict(
                     {"owner": pa.array(some, pa.int32()), "block": pa.array([row["block"]] * len(some), pa.int64()),
                      "at": pa.array([int(cuts[o]) for o in some], pa.int64()), "payload": pa.array(payload, pa.binary())}
@@ -233,7 +241,7 @@ def answered(messages: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        parts = [np.frombuffer(p, "<u8") for p in table.column("payload").to_pylist()]
+        parts = [np.frombuffer(p, "<u4") for p in table.column("payload").to_pylist()]
         everything = np.sort(np.concatenate(parts))
         shared = np.unique(everything[1:][everything[1:] == everything[:-1]])
         maps, some = [], []
@@ -269,12 +277,14 @@ def joined(blocks: DataFrame, answers: DataFrame, how: str) -> DataFrame:
 
 
 def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
-    """owner, block, entries, names, docs, ends, data: the bytes of entries whose names others have."""
+    """owner, block, entries, names, docs, sizes, data: the bytes (compressed) of entries whose names others have."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for row in rows_of(batch):
                 b = Block(row["ids"], row["ends"], row["data"])
@@ -283,20 +293,18 @@ def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
                     continue
                 lo, hi = b.lo[b.example[wanted]], b.hi[b.example[wanted]] + b.length
                 cuts = owner_cuts(b.names[wanted], n_owners)
-                data = row["data"]
-                out = []
-                for o in range(n_owners):
+                data, out = row["data"], []
+                for o in np.flatnonzero(np.diff(cuts)).tolist():
                     mine = slice(cuts[o], cuts[o + 1])
-                    if cuts[o + 1] > cuts[o]:
-                        parts = [data[x:y] for x, y in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True)]
-                        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-                        out.append((o, row["block"], wanted[mine].astype("<i8").tobytes(), b.names[wanted[mine]].tobytes(), b.least[wanted[mine]].astype("<i8").tobytes(), ends.tobytes(), b"".join(parts)))
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                names = ("owner", "block", "entries", "names", "docs", "ends", "data")
+                    parts = b"".join(data[x:y] for x, y in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True))
+                    sizes = (hi[mine] - lo[mine]).astype("<u2")  # at most RUN_WINDOWS + LENGTH
+                    out.append((o, row["block"], wanted[mine].astype("<i4").tobytes(), b.names[wanted[mine]].tobytes(), b.least[wanted[mine]].astype("<i8").tobytes(), sizes.tobytes(), pack(parts)))
+                types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                names = ("owner", "block", "entries", "names", "docs", "sizes", "data")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], list(names))
 
     return joined(blocks, answers, "inner").select("block", "ids", "ends", "data", "answers").mapInArrow(
-        run, "owner int, block long, entries binary, names binary, docs binary, ends binary, data binary"
+        run, "owner int, block long, entries binary, names binary, docs binary, sizes binary, data binary"
     )
 
 
@@ -400,13 +408,50 @@ def bit_length(x):
     return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int64)
 
 
+def equal_strings(data, begins, sizes):
+    """For each string the place of the first one with the same bytes."""
+    import numpy as np
+
+    inside = np.arange(len(data)) - np.repeat(begins, sizes)
+    up, _ = powers(int(sizes.max(initial=0)))
+    value = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+    hashes = np.add.reduceat((value ^ (value >> np.uint64(29))) * up[inside], begins)
+    order = np.lexsort((np.arange(len(sizes)), hashes, sizes))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (hashes[order][1:] != hashes[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    first = np.empty(len(order), dtype=np.int64)
+    first[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    copies = np.flatnonzero(first != np.arange(len(first)))
+    if len(copies):
+        # Bytes decide: a string that only shares the hash stands for itself.
+        size = sizes[copies]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        other = np.logical_or.reduceat(data[np.repeat(begins[copies], size) + place] != data[np.repeat(begins[first[copies]], size) + place], np.cumsum(size) - size)
+        first[copies[other]] = copies[other]
+    return first
+
+
 class Shard:
-    """A suffix array over some entries, its groups of equal windows and their least documents."""
+    """A suffix array over some entries, its groups of equal windows and their least documents.
+
+    Entries with the same bytes are one string of the array, with their least document.
+    """
 
     def __init__(self, data: bytes, ends, docs, length: int = LENGTH):
         import numpy as np
 
-        self.data, self.length = data, length
+        self.length, self.docs = length, np.asarray(docs)
+        self.sizes = np.diff(ends, prepend=0)
+        octets, begins = np.frombuffer(data, np.uint8), ends - self.sizes
+        same = equal_strings(octets, begins, self.sizes)
+        kept = np.flatnonzero(same == np.arange(len(same)))
+        self.string = np.searchsorted(kept, same)
+        least = np.full(len(kept), NO_ID, dtype=np.int64)
+        np.minimum.at(least, self.string, self.docs)
+        size = self.sizes[kept]
+        ends = np.cumsum(size)
+        self.begins = ends - size
+        self.data = data = octets[np.repeat(begins[kept] - self.begins, size) + np.arange(int(size.sum()))].tobytes()
         order = suffix_order(data, ends)
         group = np.cumsum(common_prefixes(data, order, ends, length) < length)
         window = bytes_left(len(data), ends)[order] >= length
@@ -414,8 +459,8 @@ class Shard:
         head = np.ones(len(group), dtype=bool)
         head[1:] = group[1:] != group[:-1]
         self.group, self.first = np.cumsum(head) - 1, np.flatnonzero(head)
-        self.doc = np.repeat(np.asarray(docs), np.diff(ends, prepend=0))[self.order]
-        self.least = np.minimum.reduceat(self.doc, self.first) if len(self.doc) else self.doc
+        doc = np.repeat(least, size)[self.order]
+        self.least = np.minimum.reduceat(doc, self.first) if len(doc) else doc
 
     def keys(self):
         """The bytes of each group as big-endian words, in order; what is beyond the length is cleared."""
@@ -429,12 +474,13 @@ class Shard:
         return out
 
     def matched(self):
-        """Of each start, in text order: whether a smaller document has its window."""
+        """Of each start, in the order of the entries: whether a smaller document has its window."""
         import numpy as np
 
-        out = np.zeros(len(self.data), dtype=bool)
-        out[self.order] = self.least[self.group] < self.doc
-        return out
+        least = np.full(len(self.data), NO_ID, dtype=np.int64)
+        least[self.order] = self.least[self.group]
+        inside = np.arange(int(self.sizes.sum())) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        return least[np.repeat(self.begins[self.string], self.sizes) + inside] < np.repeat(self.docs, self.sizes)
 
 
 def binary_search(keys, wanted):
@@ -486,12 +532,14 @@ def settled(messages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     def run(table):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
         column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        entries, ends = column("entries", "<i8"), column("ends", "<i8")
+        unpack = zstandard.ZstdDecompressor().decompress
+        entries = column("entries", "<i4")
         names, docs = np.concatenate(column("names", "<u8")), np.concatenate(column("docs", "<i8"))
-        data = np.concatenate(column("data", np.uint8))
-        sizes = np.concatenate([np.diff(e, prepend=0) for e in ends])
+        data = np.frombuffer(b"".join(unpack(x) for x in table.column("data").to_pylist()), np.uint8)
+        sizes = np.concatenate(column("sizes", "<u2")).astype(np.int64)
         begins = np.cumsum(sizes) - sizes
         order = np.argsort(names, kind="stable")
         hit = np.zeros(len(data), dtype=bool)
@@ -515,7 +563,7 @@ def settled(messages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             if len(some):
                 windows = size[some] - LENGTH + 1
                 bits = hit[np.repeat(first[some] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))]
-                for key, value in zip(out, (block, ids[some].tobytes(), windows.astype("<i8").tobytes(), np.packbits(bits).tobytes()), strict=True):
+                for key, value in zip(out, (block, ids[some].tobytes(), windows.astype("<u2").tobytes(), np.packbits(bits).tobytes()), strict=True):
                     out[key].append(value)
         types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
@@ -576,8 +624,8 @@ def judge(row: dict, with_parts: bool, np, pa):
     np.add.at(change, b.hi[whole] + b.length, -1)
     answers = row["windows"] or []
     if answers:
-        entries, sizes = (np.concatenate([np.frombuffer(w[key], "<i8") for w in answers]) for key in ("entries", "sizes"))
-        bits = [np.unpackbits(np.frombuffer(w["bits"], np.uint8), count=int(np.frombuffer(w["sizes"], "<i8").sum())) for w in answers]
+        entries, sizes = (np.concatenate([np.frombuffer(w[key], kind) for w in answers]).astype(np.int64) for key, kind in (("entries", "<i4"), ("sizes", "<u2")))
+        bits = [np.unpackbits(np.frombuffer(w["bits"], np.uint8), count=int(np.frombuffer(w["sizes"], "<u2").sum(dtype=np.int64))) for w in answers]
         bits, place = np.concatenate(bits).astype(bool), np.full(len(b.names), -1, dtype=np.int64)
         place[entries] = np.cumsum(sizes) - sizes
         runs = np.flatnonzero(~whole & (place[b.entry] >= 0))
@@ -622,7 +670,7 @@ def remove_repeats(docs: DataFrame, with_parts: bool = False, block_bytes: int =
 
 def judged(docs: DataFrame, with_parts: bool, block_bytes: int, shard_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    n_owners = max(32, 4 * partitions_for(spark))  # a group is what a Python worker holds
+    n_owners = max(32, 2 * partitions_for(spark))  # a group is what a Python worker holds
     blocks = materialize(packed(docs, block_bytes), "blocks")
     raw = materialize(answered(announced(blocks, n_owners)), "answers")
     answers = materialize(
