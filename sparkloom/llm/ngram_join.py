@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for, read_table, sized_semi_join, small_batches
@@ -372,13 +372,47 @@ def pair_places(first, count):
     return np.concatenate(left), np.concatenate(right)
 
 
-def may_link(a: str, b: str, num: int, den: int):
-    """The length and the positional filter for rows with {a,b}_size and {a,b}_at."""
-    sa, sb, pa, pb = (F.col(f"{x}_{y}").cast("long") for y in ("size", "at") for x in (a, b))
-    most = F.least(sa - pa, sb - pb)
-    # The first shared element of a pair satisfies it in the list of that element:
+def may_link(num: int, den: int):
+    """The filters for rows with {a,b}_size, _at, _ahead and _short: lengths, places, and what prefixes can share."""
+    sa, sb, pa, pb, la, lb = (F.col(f"{x}_{y}").cast("long") for y in ("size", "at", "ahead") for x in ("a", "b"))
+    # The first shared element of a pair satisfies both in the list of that element:
     # overlap * (num + den) >= num * (|a| + |b|).
-    return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & (most * (num + den) >= num * (sa + sb))
+    most = F.least(sa - pa, sb - pb)
+    shared = F.least(la, lb) + F.least("a_short", "b_short")
+    return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & (most * (num + den) >= num * (sa + sb)) & can_reach(shared, sa, sb, num, den)
+
+
+def can_reach(shared, sa, sb, num: int, den: int):
+    """Whether sets of these sizes can be similar if their prefixes share so much.
+
+    Of the set whose prefix ends first in the global order, only the elements
+    behind its prefix can add to that.
+    """
+    behind = lambda size: F.floor(F.lit(num) * size / den + F.lit(1 - 1e-9)) - 1  # noqa: E731  size - prefix_length(size)
+    return (shared + F.greatest(behind(sa), behind(sb))) * (num + den) >= num * (sa + sb)
+
+
+def hopeful(long: DataFrame, in_short: DataFrame, num: int, den: int) -> DataFrame:
+    """hash, grp, size, at, ahead, short: the postings of long lists that may be a pair's first shared element.
+
+    A pair that meets in a list first shares no more than the long lists
+    ``ahead`` of either, and the ``short`` lists that either has with any other
+    group. A group stays in a list only if that could make it similar to a set
+    of some size in the list; so a copy with many words of its own, which no
+    other group has, drops out before any pair is made.
+    """
+    ends = in_short.select("grp", "shared").unionAll(in_short.select(F.col("other").alias("grp"), "shared"))
+    short = materialize(ends.join(sized(materialize(long.select("grp").distinct(), "in-long")), "grp", "left_semi").groupBy("grp").agg(F.max("shared").alias("short")), "most-short")
+    sizes = sized(materialize(long.groupBy("hash").agg(F.min("size").alias("least"), F.max("size").alias("most")), "list-sizes"))
+    ahead = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("at")))  # as many rows as the prefix has
+    rows = long.withColumn("ahead", ahead).join(sized(short), "grp", "left").withColumn("short", F.coalesce("short", F.lit(0))).join(sizes, "hash")
+    size, behind = F.col("size").cast("long"), (F.col("size") - F.col("at")).cast("long")
+    hope = F.col("ahead") + F.col("short") + 1  # one more, as sizes are rounded
+    fewest = F.greatest(F.col("least").cast("long"), F.ceil(F.lit(num) * size / den))
+    widest = F.least(F.col("most").cast("long"), F.floor(F.lit(den) * size / num))
+    # In between, the similarity that can be reached is smaller than at one of the ends.
+    some = can_reach(hope, size, fewest, num, den) | can_reach(hope, size, widest, num, den)
+    return rows.filter(some & (behind * (num + den) >= num * (size + F.col("least")))).select("hash", "grp", "size", "at", "ahead", F.col("short").cast("int").alias("short"))
 
 
 def sized(df: DataFrame, limit_rows: int = SMALL_ROWS) -> DataFrame:
@@ -390,12 +424,8 @@ def reachable(pairs: DataFrame, in_short: DataFrame, in_long: DataFrame, num: in
     """The pairs of groups (a, b) whose overlap can reach the similarity, by what their prefixes share.
 
     Shared prefix elements are known for short lists and at most the smaller
-    number of long lists of the two. Of the set whose prefix ends first in
-    the global order, only the elements behind its prefix can add to them.
+    number of long lists of the two.
     """
-    def behind(size):
-        return F.floor(F.lit(num) * size / den + F.lit(1 - 1e-9)) - 1  # size - prefix_length(size)
-
     pairs = pairs.groupBy("a", "b").agg(F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))
     counts = in_short.select(F.col("grp").alias("a"), F.col("other").alias("b"), "shared")
     lists = sized(in_long)
@@ -405,25 +435,35 @@ def reachable(pairs: DataFrame, in_short: DataFrame, in_long: DataFrame, num: in
         .join(lists.select(F.col("grp").alias("b"), F.col("n_long").alias("b_long")), "b", "left")
     )
     shared = F.coalesce("shared", F.lit(0)) + F.least(F.coalesce("a_long", F.lit(0)), F.coalesce("b_long", F.lit(0)))
-    most = shared + F.greatest(behind(F.col("a_size")), behind(F.col("b_size")))
-    return met.filter(most * (num + den) >= num * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+    return met.filter(can_reach(shared, F.col("a_size").cast("long"), F.col("b_size").cast("long"), num, den)).select("a", "b")
 
 
 def hub_pairs(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Every group of a list with its hubs, where these have another component.
 
-    Up to six hubs are drawn anew each turn: three groups of the component
-    that has most groups in the list, and three of all.
+    Up to six hubs: three groups of the component that has most groups in the
+    list, and three of all. One of three is the group with most long lists,
+    which the others resemble most; two are drawn anew each turn.
     """
-    entry = F.struct("grp", "size", "at", "component")
-    drawn = [F.xxhash64(F.col("grp"), F.lit(turn + 100 * k)) for k in range(3)]
-    parts = entries.groupBy("hash", "component").agg(F.count("*").alias("m"), *[F.min(F.struct(d.alias("d"), entry.alias("e"))).alias(f"h{k}") for k, d in enumerate(drawn)])
+    entry = F.struct("grp", "size", "at", "ahead", "short", "component")
+    drawn = lambda k: F.xxhash64(F.col("grp"), F.lit(turn + 100 * k))
+    picks = [F.max(F.struct(F.col("ahead").cast("long").alias("d"), entry.alias("e"))), *[F.max(F.struct(drawn(k).alias("d"), entry.alias("e"))) for k in (1, 2)]]
+    parts = entries.groupBy("hash", "component").agg(F.count("*").alias("m"), *[p.alias(f"h{k}") for k, p in enumerate(picks)])
     hubs = parts.groupBy("hash").agg(
-        F.max(F.struct("m", "component", F.array("h0.e", "h1.e", "h2.e").alias("hubs"))).alias("top"), F.array(*[F.min(f"h{k}") for k in range(3)]).alias("any")
+        F.max(F.struct("m", "component", F.array("h0.e", "h1.e", "h2.e").alias("hubs"))).alias("top"), F.array(*[F.max(f"h{k}") for k in range(3)]).alias("any")
     ).select("hash", F.explode(F.array_distinct(F.concat("top.hubs", F.transform("any", lambda x: x["e"])))).alias("hub"))
-    hubs = materialize(hubs.select("hash", F.col("hub.component").alias("hub_component"), F.col("hub.grp").alias("b"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at")), "hubs")
-    met = entries.select("hash", "component", F.col("grp").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at")).join(sized(hubs), "hash")
-    return in_order(met.filter((F.col("component") != F.col("hub_component")) & (F.col("a") != F.col("b")) & may_link("a", "b", num, den)))
+    hubs = materialize(hubs.select("hash", F.col("hub.component").alias("cb"), *[F.col(f"hub.{c}").alias(n) for c, n in zip(("grp", "size", "at", "ahead", "short"), named("b"), strict=True)]), "hubs")
+    met = entries.select("hash", F.col("component").alias("ca"), *side_of("a")).join(sized(hubs), "hash")
+    return in_order(met.filter((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("b")) & may_link(num, den)))
+
+
+def named(side: str) -> list[str]:
+    """What a posting's columns are called in pairs: the group itself, then what is known of it."""
+    return [side, *[f"{side}_{c}" for c in ("size", "at", "ahead", "short")]]
+
+
+def side_of(side: str) -> list:
+    return [F.col(c).alias(n) for c, n in zip(("grp", "size", "at", "ahead", "short"), named(side), strict=True)]
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
@@ -443,7 +483,7 @@ def unsettled(long: DataFrame, in_lists: DataFrame, labels: DataFrame) -> DataFr
     several = materialize(
         entries.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter("x <> y").select("hash", "k"), "open"
     )
-    return entries.join(sized(several), "hash").select("hash", "grp", "size", "at", "component", "k")
+    return entries.join(sized(several), "hash").select("hash", "grp", "size", "at", "ahead", "short", "component", "k")
 
 
 def cross_pairs_bound(entries: DataFrame) -> int:
@@ -464,13 +504,10 @@ def cross_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.col("n_parts") - 1)
 
     def side(name, mine, other):
-        return dealt.select(
-            "hash", F.col("mine").alias(mine), F.explode(every).alias(other), F.col("component").alias(f"c{name}"),
-            F.col("grp").alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"),
-        )
+        return dealt.select("hash", F.col("mine").alias(mine), F.explode(every).alias(other), F.col("component").alias(f"c{name}"), *side_of(name))
 
     met = side("a", "x", "y").join(side("b", "y", "x"), ["hash", "x", "y"])
-    return met.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b", num, den)).select("a", "b", "a_size", "b_size")
+    return met.filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(num, den)).select("a", "b", "a_size", "b_size")
 
 
 def expanded(pairs: DataFrame, members: DataFrame, crowds: DataFrame, crowded: bool, labels: DataFrame | None = None) -> DataFrame:
@@ -616,10 +653,7 @@ def linked(docs: DataFrame, n: int, num: int, den: int, max_rounds: int, local_e
     long = met.filter("other is null").select("hash", "grp", "size", "at")
     in_long = materialize(long.groupBy("grp").agg(F.count("*").alias("n_long")), "long-lists")
     in_lists = materialize(sized_semi_join(members.select("grp", "node"), in_long.select("grp"), "grp"), "listed-classes")
-    # From here on, a group counts only where even the smallest set of the list could make it link.
-    least = sized(materialize(long.groupBy("hash").agg(F.min("size").alias("least")), "least-sizes"))
-    behind = (F.col("size") - F.col("at")).cast("long")
-    long = materialize(long.join(least, "hash").filter(behind * (num + den) >= num * (F.col("size") + F.col("least")).cast("long")).drop("least"), "long")
+    long = materialize(hopeful(long, in_short, num, den), "long")
     hubs = hub_pairs(long.withColumn("component", F.col("grp")), 0, num, den)
     short = in_short.filter("passes").select(F.col("grp").alias("a"), F.col("other").alias("b"), F.col("size").alias("a_size"), F.col("other_size").alias("b_size"))
     asked = materialize(reachable(short.unionAll(hubs), in_short, in_long, num, den), "group-pairs")
