@@ -7,6 +7,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import cut_lineage
+
 
 def log_factorials(largest: DataFrame | int, spark=None) -> DataFrame:
     """One row, ``lf``: ln(i!) for i = 0..n as an array.
@@ -84,19 +86,34 @@ def normal_sf(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+#: Ordered values are counted by this many buckets first, so that no task sorts all of them.
+BUCKETS = 1024
+
+
 def adjusted_bh(df: DataFrame, p: str, by: list[str] | None = None, out: str = "p_adj", ties: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg: the running minimum of p * m / rank from the largest p down, at most 1.
 
     ``by``: the families of tests; without it all rows are one family. Equal
-    p-values get equal results whatever their order.
+    p-values get equal results (that of the last of them), so only distinct
+    values are put in order, and these within buckets of p; ``ties`` is for
+    callers that name an order and changes nothing.
     """
-    family = Window.partitionBy(*(by or []))
-    up = family.orderBy(F.col(p), *(ties or []))
-    down = family.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(family))
-        .withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+    keys = list(by or [])
+    rows = cut_lineage(df)
+    place = F.when(F.col(p) <= 0, 0).otherwise(F.greatest(F.lit(0), BUCKETS - 1 + F.floor(F.log2(p) * 16))).cast("int")
+    counts = cut_lineage(rows.groupBy(*keys, p).agg(F.count("*").alias("_n")).withColumn("_b", place))
+    family = Window.partitionBy(*keys).orderBy("_b")  # at most BUCKETS rows a family
+    parts = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_nb"))
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_nb").over(family.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.withColumn("_m", F.sum("_nb").over(family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("_nb")
+    inside = Window.partitionBy(*keys, "_b").orderBy(p)
+    raw = cut_lineage(
+        counts.join(parts, [*keys, "_b"]).withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_base") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     )
+    later = raw.groupBy(*keys, "_b").agg(F.min("_raw").alias("_least")).withColumn("_later", F.min("_least").over(family.rowsBetween(1, Window.unboundedFollowing))).drop("_least")
+    best = F.least(F.lit(1.0), F.min("_raw").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.coalesce("_later", F.lit(1.0)))
+    found = raw.join(later, [*keys, "_b"]).select(*keys, p, best.alias(out))
+    return rows.join(found, [*keys, p]).select(*df.columns, out)
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, out: str = "avg_rank") -> DataFrame:

@@ -63,10 +63,16 @@ def normalised_entropy(labelled: DataFrame) -> DataFrame:
 
 
 def grid(rows: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
-    """Long to wide; a missing cell is null."""
+    """Long to wide; a missing cell is null. Columns come in the order given."""
     return rows.groupBy(row).pivot(column, columns).agg(F.first(value))
 
 
+def sorted_grid(rows: DataFrame, row: str, column: str, value: str, columns: list, descending: bool = False) -> DataFrame:
+    """The grid with its rows in order of their label and its columns in order of theirs."""
+    found = grid(rows, row, column, value, sorted(columns, reverse=descending))
+    return found.orderBy(F.desc(row) if descending else F.asc(row))
+
+
 def comembership(assigned: DataFrame) -> DataFrame:
     """i, j (i < j), runs: in how many runs two genes share a cluster.
 

@@ -17,34 +17,39 @@ def usable_annotations(annotations: DataFrame, universe: DataFrame | None = None
     return rows.join(common, "term", "left_semi").select("gene", "term")
 
 
-def contingency(clusters: DataFrame, genes: DataFrame) -> DataFrame:
-    """cluster, M, K, N, X: all genes, marked genes, the cluster's genes, its marked genes."""
-    marked = clusters.select("cluster", "gene").distinct().join(genes.select("gene").distinct().withColumn("_in", F.lit(1)), "gene", "left")
-    each = marked.groupBy("cluster").agg(F.count("*").alias("N"), F.count("_in").alias("X"))
-    whole = marked.groupBy("gene").agg(F.max("_in").alias("_in")).agg(F.count("*").alias("M"), F.count("_in").alias("K"))
-    return each.crossJoin(F.broadcast(whole)).select("cluster", "M", "K", "N", "X")  # one row
+def contingency(clusters: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """cluster, M, K, N, X: all genes, marked genes, the cluster's genes, its marked genes.
+
+    ``by``: columns of both inputs (a run, a fold) that keep their tests apart.
+    """
+    keys = list(by or [])
+    marked = clusters.select(*keys, "cluster", "gene").distinct().join(genes.select(*keys, "gene").distinct().withColumn("_in", F.lit(1)), [*keys, "gene"], "left")
+    each = marked.groupBy(*keys, "cluster").agg(F.count("*").alias("N"), F.count("_in").alias("X"))
+    whole = marked.groupBy(*keys, "gene").agg(F.max("_in").alias("_in")).groupBy(*keys).agg(F.count("*").alias("M"), F.count("_in").alias("K"))
+    met = each.join(whole, keys) if keys else each.crossJoin(F.broadcast(whole))  # one row
+    return met.select(*keys, "cluster", "M", "K", "N", "X")
 
 
-def cluster_enrichment(clusters: DataFrame, genes: DataFrame, alpha: float = 0.05, bh_over: str = "passing") -> DataFrame:
-    """cluster, M, K, N, X, fold, p, p_adj, enriched.
+def cluster_enrichment(clusters: DataFrame, genes: DataFrame, alpha: float = 0.05, bh_over: str = "passing", by: list[str] | None = None) -> DataFrame:
+    """cluster, M, K, N, X, fold, p, p_adj, enriched (after the columns ``by``, which keep tests apart).
 
     By default only clusters with fold >= 1 and p <= alpha are adjusted (the
     others keep a null p_adj); ``bh_over="all"`` adjusts over all clusters.
     """
-    rows = contingency(clusters, genes).select(
+    rows = contingency(clusters, genes, by).select(
         "*", fold_enrichment(F.col("M"), F.col("K"), F.col("N"), F.col("X")).alias("fold"), hypergeom_sf(F.col("M"), F.col("K"), F.col("N"), F.col("X")).alias("p")
     )
     if bh_over == "all":
-        return adjusted_bh(rows, "p", ties=["cluster"]).withColumn("enriched", (F.col("p_adj") <= alpha) & (F.col("fold") >= 1))
+        return adjusted_bh(rows, "p", by, ties=["cluster"]).withColumn("enriched", (F.col("p_adj") <= alpha) & (F.col("fold") >= 1))
     passing = (F.col("fold") >= 1) & (F.col("p") <= alpha)
-    tested = adjusted_bh(rows.filter(passing), "p", ties=["cluster"])
+    tested = adjusted_bh(rows.filter(passing), "p", by, ties=["cluster"])
     rest = rows.filter(~passing).withColumn("p_adj", F.lit(None).cast("double"))
     return tested.unionByName(rest).withColumn("enriched", F.coalesce(F.col("p_adj") <= alpha, F.lit(False)))
 
 
-def enrichment_summary(tested: DataFrame) -> DataFrame:
-    """One row: share of clusters enriched, share of marked genes in them, mean fold (null for none)."""
-    return tested.agg(
+def enrichment_summary(tested: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Share of clusters enriched, share of marked genes in them, mean fold (null for none); one row, or one for each value of ``by``."""
+    return tested.groupBy(*(by or [])).agg(
         F.try_divide(F.count_if("enriched").cast("double"), F.count("*")).alias("share_clusters"),
         F.try_divide(F.sum(F.when(F.col("enriched"), F.col("X")).otherwise(0)).cast("double"), F.max("K")).alias("share_genes"),
         F.avg(F.when(F.col("enriched"), F.col("fold"))).alias("mean_fold"),

@@ -96,6 +96,11 @@ def clustering_coefficients(edges: DataFrame) -> DataFrame:
     )
 
 
+def average_clustering(edges: DataFrame) -> DataFrame:
+    """One row, average: the mean clustering coefficient of the nodes with an edge."""
+    return clustering_coefficients(edges).agg(F.avg("coefficient").alias("average"))
+
+
 def laplacian(edges: DataFrame) -> DataFrame:
     """i, j, v of D - A, both triangles and the diagonal."""
     links = both_ways(canonical_edges(edges, keep_loops=False))

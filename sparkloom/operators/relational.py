@@ -62,6 +62,32 @@ def cells_of(expression: DataFrame, metadata: DataFrame, cond) -> DataFrame:
     return expression.join(metadata.filter(F.col("cond") == cond).select("cell"), "cell", "left_semi")
 
 
+def cells_not_of(expression: DataFrame, metadata: DataFrame, cond) -> DataFrame:
+    """All columns (cells) but those of one condition; cells without a condition stay."""
+    return expression.join(metadata.filter(F.col("cond") == cond).select("cell"), "cell", "left_anti")
+
+
+def submatrix(matrix: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """The entries (i, j, v) whose row is in ``rows`` (i) and whose column is in ``columns`` (j)."""
+    return matrix.join(rows.select("i").distinct(), "i", "left_semi").join(columns.select("j").distinct(), "j", "left_semi").select(matrix.columns)
+
+
+def placed(rows: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """Numbers rows from 0 in an order; each task sorts one range of it, and counts by range give the first number."""
+    from sparkloom.session import cut_lineage
+
+    held = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = held.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return held.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(bases), "_part").select(*rows.columns, (F.col("_base") + F.col("_k") - 1).alias(out))
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Rows of two tables paired by their place in each one's order; the longer one's rest is left out."""
+    return placed(a, order_a).join(placed(b, order_b), "place")
+
+
 def checked_inner(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join in which a missing key is an error, raised when the rows are read."""
     met = left.join(right.withColumn("_there", F.lit(True)), key, "left")
@@ -74,19 +100,24 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: list[str]) -
     return left.join(first, key)
 
 
-def nearest_in(points: DataFrame, targets: DataFrame, distance) -> DataFrame:
+def nearest_in(points: DataFrame, targets: DataFrame, distance, block_rows: int = 256) -> DataFrame:
     """gene, dist, nearest: for every point the closest target, the smaller name on a tie.
 
-    points (gene, vec), targets (target, t_vec). Targets are packed into
-    blocks of 256 vectors; every block meets every point and gives its best,
-    so rows made are points x targets / 256. Points without targets are left out.
+    points (gene, vec), targets (target, t_vec). Targets are dealt to blocks of
+    about ``block_rows`` vectors by their hash; every block meets every point
+    and gives its best, so rows made are points x blocks. The blocks are
+    broadcast if a count shows that they are few; more are joined by their
+    number. Points without targets are left out.
     """
+    n = targets.count()
+    n_blocks = max(1, -(-n // block_rows))
     blocks = (
-        targets.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("target")) - 1) / 256))
+        targets.withColumn("_block", F.pmod(F.xxhash64("target"), F.lit(n_blocks)).cast("int"))
         .groupBy("_block").agg(F.collect_list(F.struct("target", "t_vec")).alias("_targets"))
     )
+    asked = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     best = F.array_min(F.transform("_targets", lambda t: F.struct(distance(F.col("vec"), t["t_vec"]).alias("dist"), t["target"].alias("nearest"))))
-    met = points.crossJoin(blocks).select("gene", best.alias("_best"))
+    met = asked.join(F.broadcast(blocks) if n <= 10_000 else blocks, "_block").select("gene", best.alias("_best"))
     return met.groupBy("gene").agg(F.min("_best").alias("_best")).select("gene", F.col("_best.dist").alias("dist"), F.col("_best.nearest").alias("nearest"))
 
 

@@ -26,14 +26,21 @@ def folds(genes: DataFrame, n_folds: int, seed: int = 0) -> DataFrame:
 
 
 def fold_ratios(tests: DataFrame, universe: DataFrame, predicted: DataFrame) -> DataFrame:
-    """fold, n_test, hit, share and the ratio to the share in the background (universe without the fold's genes)."""
-    marked = predicted.select("gene").distinct().withColumn("_p", F.lit(1))
-    t = tests.join(marked, "gene", "left").groupBy("fold").agg(F.count("*").alias("n_test"), F.count("_p").alias("hit"))
-    whole = universe.select("gene").distinct().join(marked, "gene", "left").agg(F.count("*").alias("n"), F.count("_p").alias("h"))
-    rest = F.try_divide((F.col("h") - F.col("hit")).cast("double"), F.col("n") - F.col("n_test"))
-    return t.crossJoin(F.broadcast(whole)).select(  # one row
-        "fold", "n_test", "hit", (F.col("hit") / F.col("n_test")).alias("share"), F.coalesce(F.try_divide(F.col("hit") / F.col("n_test"), rest), F.lit(0.0)).alias("ratio")
-    )
+    """fold, n_test, hit, share and the ratio to the share in the background (universe without the fold's genes).
+
+    ``predicted`` (gene), or (fold, gene) if each fold has predictions of its own.
+    """
+    keys = ["fold"] if "fold" in predicted.columns else []
+    marked = predicted.select(*keys, "gene").distinct().withColumn("_p", F.lit(1))
+    t = tests.join(marked, [*keys, "gene"], "left").groupBy("fold").agg(F.count("*").alias("n_test"), F.count("_p").alias("hit"))
+    genes = universe.select("gene").distinct()
+    n = genes.agg(F.count("*").alias("n"))
+    h = marked.join(genes, "gene", "left_semi").groupBy(*keys).agg(F.count("*").alias("h"))
+    whole = t.crossJoin(F.broadcast(n))  # one row
+    met = whole.join(h, keys, "left") if keys else whole.crossJoin(F.broadcast(h))  # one row a fold, or one
+    found = F.coalesce("h", F.lit(0))
+    rest = F.try_divide((found - F.col("hit")).cast("double"), F.col("n") - F.col("n_test"))
+    return met.select("fold", "n_test", "hit", (F.col("hit") / F.col("n_test")).alias("share"), F.coalesce(F.try_divide(F.col("hit") / F.col("n_test"), rest), F.lit(0.0)).alias("ratio"))
 
 
 def permutation_test(pools: list[int], picks: list[int], shared: int, observed: int, reps: int = 10_000, seed: int = 0, spark=None) -> DataFrame:

@@ -11,10 +11,15 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def union(*sets: DataFrame) -> DataFrame:
+    return concatenated(*sets).distinct()
+
+
+def concatenated(*sets: DataFrame) -> DataFrame:
+    """All rows of all sets; a gene is there as often as it occurs."""
     out = sets[0].select("gene")
     for s in sets[1:]:
         out = out.unionAll(s.select("gene"))
-    return out.distinct()
+    return out
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -41,18 +41,17 @@ def clusterings(embeddings: DataFrame, runs: int, k: int, n_init: int = 10) -> D
 
 def best_enriched_run(assigned: DataFrame, known: DataFrame, alpha: float = 0.05) -> DataFrame:
     """run, share_genes, share_clusters of the run whose enriched clusters hold most known genes."""
-    runs = [r["run"] for r in assigned.select("run").distinct().orderBy("run").collect()]  # tens of runs
-    found = None
-    for run in runs:
-        one = enrichment.enrichment_summary(enrichment.cluster_enrichment(assigned.filter(F.col("run") == run), known, alpha)).withColumn("run", F.lit(run))
-        found = one if found is None else found.unionByName(one)
+    runs = assigned.select("run").distinct()
+    tested = enrichment.cluster_enrichment(assigned, known.select("gene").crossJoin(F.broadcast(runs)), alpha, by=["run"])  # tens of runs
+    found = enrichment.enrichment_summary(tested, ["run"])
     return aggregates.best_run(found.withColumn("_all", F.lit(0)), ["_all"], "share_genes", "run").drop("_all")
 
 
-def initial_predictions(clusters: DataFrame, known: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Unknown genes of the enriched clusters."""
-    enriched = enrichment.cluster_enrichment(clusters, known, alpha).filter("enriched").select("cluster")
-    return clusters.join(enriched, "cluster", "left_semi").select("gene").distinct().join(known, "gene", "left_anti")
+def initial_predictions(clusters: DataFrame, known: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """Unknown genes of the enriched clusters (for each value of ``by``, which both inputs have)."""
+    keys = list(by or [])
+    tested = enrichment.cluster_enrichment(clusters, known, alpha, by=keys).filter("enriched").select(*keys, "cluster")
+    return clusters.join(tested, [*keys, "cluster"], "left_semi").select(*keys, "gene").distinct().join(known, [*keys, "gene"], "left_anti")
 
 
 def projected(factor: DataFrame, middle) -> DataFrame:
@@ -132,20 +131,27 @@ def marker_test(expression: DataFrame, metadata: DataFrame, cond) -> DataFrame:
 def cross_validated(clusters: DataFrame, known: DataFrame, n_folds: int = 5, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """fold, n_test, hit, share, ratio: known genes left out that enriched clusters still predict."""
     parts = resample.folds(known, n_folds, seed)
-    found = None
-    for fold in range(n_folds):
-        test = parts.filter(F.col("fold") == fold)
-        predicted = initial_predictions(clusters, known.join(test, "gene", "left_anti"), alpha)
-        one = resample.fold_ratios(test, clusters.select("gene").distinct(), predicted)
-        found = one if found is None else found.unionByName(one)
-    return found
+    runs = clusters.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("run"))  # n_folds rows
+    train = parts.crossJoin(F.broadcast(runs)).filter("fold <> run").select("run", "gene")
+    predicted = initial_predictions(clusters.crossJoin(F.broadcast(runs)), train, alpha, ["run"]).withColumnRenamed("run", "fold")
+    return resample.fold_ratios(parts, clusters.select("gene").distinct(), predicted)
 
 
-def correct_clusters(clusters: DataFrame, annotations: DataFrame, test: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row, n: (gene, cluster) hits of test genes that have an enriched term of their cluster."""
+def correct_clusters(clusters: DataFrame, annotations: DataFrame, tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """fold, n: (gene, cluster) hits of the fold's genes that have an enriched term of their cluster; ``tests`` (fold, gene)."""
     tested = enrichment.term_enrichment(clusters, annotations, alpha).filter("enriched").select("cluster", "term")
-    pairs = clusters.join(test.select("gene"), "gene", "left_semi").join(annotations, "gene").join(tested, ["cluster", "term"], "left_semi")
-    return pairs.select("gene", "cluster").distinct().agg(F.count("*").alias("n"))
+    pairs = clusters.join(tests.select("fold", "gene"), "gene").join(annotations, "gene").join(tested, ["cluster", "term"], "left_semi")
+    hits = pairs.select("fold", "gene", "cluster").distinct().groupBy("fold").agg(F.count("*").alias("n"))
+    return tests.select("fold").distinct().join(hits, "fold", "left").select("fold", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def masked_edges(edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """fold, edges: how many edges are left when the genes of a fold are masked."""
+    ends = edges.select("src", "dst", F.explode(F.array("src", "dst")).alias("gene"))
+    gone = ends.join(tests.select("fold", "gene"), "gene").select("fold", "src", "dst").distinct().groupBy("fold").agg(F.count("*").alias("gone"))
+    whole = edges.agg(F.count("*").alias("whole"))
+    met = tests.select("fold").distinct().join(gone, "fold", "left").crossJoin(F.broadcast(whole))  # one row
+    return met.select("fold", (F.col("whole") - F.coalesce("gone", F.lit(0))).alias("edges"))
 
 
 def nmtf_trace(t: Tables, joint: bool, k1: int = 4, k2: int = 3, turns: int = 1000) -> DataFrame:
@@ -162,6 +168,14 @@ def nmtf_trace(t: Tables, joint: bool, k1: int = 4, k2: int = 3, turns: int = 10
 # -- bound to the driver's tables ------------------------------------------------------------------
 
 
+def rounded(rows: DataFrame, **places: int) -> DataFrame:
+    """The same columns, some of them rounded."""
+    return rows.select(*[F.round(c, places[c]).alias(c) if c in places else c for c in rows.columns])
+
+
+TEST = {"u1": 4, "z": 6, "p": 6}
+
+
 def p1_condition_networks(t: Tables) -> DataFrame:
     """nodes, edges, density of the network of one condition."""
     metadata = t.read("supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("cond"))
@@ -169,49 +183,57 @@ def p1_condition_networks(t: Tables) -> DataFrame:
     genes = t.read("part").filter("p_type <> 'PROMO'").select(F.col("p_partkey").cast("string").alias("gene"))
     expression = t.expression().withColumn("gene", F.col("gene").cast("string"))
     own, _ = condition_network(t.together(), walk, genes, expression, metadata, 3)
-    return graph.density(own)
+    return rounded(graph.density(own), density=9)
 
 
 def p4_best_run(t: Tables) -> DataFrame:
-    parts = t.read("part")
-    runs = [parts.select(F.lit(k).alias("run"), ((F.col("p_size") * (k + 1) + k) % 40).alias("cluster"), F.col("p_partkey").alias("gene")) for k in range(3)]
-    assigned = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    return best_enriched_run(assigned, t.known(), 0.2).select("run", *[F.round(c, 6).alias(c) for c in ("share_clusters", "share_genes")])
+    parts = t.read("part").select("p_size", F.col("p_partkey").alias("gene"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("run"))
+    assigned = parts.select("run", ((F.col("p_size") * (F.col("run") + 1) + F.col("run")) % 40).alias("cluster"), "gene")
+    return rounded(best_enriched_run(assigned, t.known(), 0.2).select("run", "share_clusters", "share_genes"), share_clusters=6, share_genes=6)
 
 
 def p5_annotation_profile(t: Tables) -> DataFrame:
-    """Whiskers over conditions of the share of clusters with an enriched term."""
+    """Whiskers over clusters of the share of a cluster's terms that are enriched in it."""
     tested = enrichment.term_enrichment(t.clusters(), t.annotations(), 0.9)
     shares = tested.groupBy("cluster").agg(F.avg(F.col("enriched").cast("double")).alias("share"))
-    return aggregates.percentiles(shares, "share")
+    return rounded(aggregates.percentiles(shares, "share"), p0=6, p1=6, p2=6)
 
 
 def p6_initial_predictions(t: Tables) -> DataFrame:
     return initial_predictions(t.clusters(), t.known(), 0.2)
 
 
-def p8_stage_movement(t: Tables) -> DataFrame:
+def _stages(t: Tables) -> tuple[DataFrame, DataFrame]:
     v = t.vectors()
-    first, second = v.select("gene", F.slice("vec", 1, 32).alias("vec")), v.select("gene", F.slice("vec", 33, 32).alias("vec"))
-    moved, _ = ranked_movement(first, second, v.filter("label < 3").select("gene"))
-    return aggregates.histogram(moved, "moved", by=["predicted"], scale="sum")
+    halves = [v.select("gene", F.slice("vec", at, 32).alias("vec")) for at in (1, 33)]
+    return ranked_movement(halves[0], halves[1], v.filter("label < 3").select("gene"))
+
+
+def p8_stage_movement(t: Tables) -> DataFrame:
+    """How far predictions and other genes moved, as shares of 50 bins."""
+    return rounded(aggregates.histogram(_stages(t)[0], "moved", by=["predicted"], scale="sum"), height=6)
+
+
+def p8_stage_test(t: Tables) -> DataFrame:
+    """The rank test of the predictions' movement against that of other genes."""
+    return rounded(_stages(t)[1], **TEST)
 
 
 def p9_core_predictions(t: Tables) -> DataFrame:
     staged = t.read("lineitem").filter("l_returnflag = 'R'").groupBy(F.year("l_shipdate").alias("name"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("moved"))
-    return core_predictions(staged.filter("name < 1999")).orderBy(F.desc("mean_moved"), "gene")
+    return rounded(core_predictions(staged.filter("name < 1999")), mean_moved=6).orderBy(F.desc("mean_moved"), "gene")
 
 
 def p10_literature(t: Tables) -> DataFrame:
     predicted = p6_initial_predictions(t)
     cited = t.evidence().select(F.log10(F.col("pubmed") + 1).alias("cites"), "gene").join(predicted.withColumn("side", F.lit(True)), "gene", "left").withColumn("side", F.coalesce("side", F.lit(False)))
-    return stats.mann_whitney(cited, "cites", "side")
+    return rounded(stats.mann_whitney(cited, "cites", "side"), **TEST)
 
 
 def p11_path_profile(t: Tables) -> DataFrame:
     links = t.together()
     target = graph.degrees(links).orderBy(F.desc("degree"), "gene").first()["gene"]
-    return path_length_profile(links, t.known(), target)
+    return rounded(path_length_profile(links, t.known(), target), share=6)
 
 
 def p12_shared_terms(t: Tables) -> DataFrame:
@@ -221,21 +243,20 @@ def p12_shared_terms(t: Tables) -> DataFrame:
 
 def p13_rank_selection(t: Tables) -> DataFrame:
     rows = t.read("part").groupBy(F.col("p_brand").alias("nets"), (F.col("p_size") % 5).alias("k1"), (F.col("p_size") % 3).alias("k2")).agg((F.avg("p_retailprice") / 2000).alias("rho_g1"), (F.avg("p_size") / 50).alias("rho_g2"))
-    return rank_selection(rows)
+    return rounded(rank_selection(rows), rho=6)
 
 
 def p14_nearest_baseline(t: Tables) -> DataFrame:
     v = t.vectors()
     known = v.filter("label = 0").select("gene")
-    return nearest_baseline(v, known, known.agg(F.count("*").alias("n")))
+    return rounded(nearest_baseline(v, known, known.agg(F.count("*").alias("n"))), dist=5)
 
 
 def p15_movement_baseline(t: Tables) -> DataFrame:
-    """Genes whose movement is at or above the 90th percentile."""
-    v = t.vectors()
-    moved = movement.movement(v.select("gene", F.slice("vec", 1, 32).alias("vec")), v.select("gene", F.slice("vec", 33, 32).alias("vec")))
+    """Genes whose movement (times 10,000) is at or above the 90th percentile."""
+    moved, _ = _stages(t)
     cut = moved.agg(F.percentile("moved", 0.9).alias("c"))
-    return moved.crossJoin(F.broadcast(cut)).filter("moved >= c").select("gene", "moved")  # one row
+    return moved.crossJoin(F.broadcast(cut)).filter("moved >= c").select("gene", F.round(F.col("moved") * 10000, 3).alias("moved"))  # one row
 
 
 def p16_marker_test(t: Tables) -> DataFrame:
@@ -245,19 +266,13 @@ def p16_marker_test(t: Tables) -> DataFrame:
 
 
 def p17_cross_validation(t: Tables) -> DataFrame:
-    return cross_validated(t.clusters(), t.known(), 5, 0.3)
+    return rounded(cross_validated(t.clusters(), t.known(), 5, 0.3), share=6, ratio=6)
 
 
 def p18_masked_contribution(t: Tables) -> DataFrame:
     """fold, edges left when the genes of a fold are masked, and the hits of its genes."""
     parts = resample.folds(t.known(), 5, 1)
-    out = None
-    for fold in range(5):
-        test = parts.filter(F.col("fold") == fold).select("gene")
-        left = relational.masked(t.together(), test).agg(F.count("*").alias("edges"))
-        one = left.crossJoin(correct_clusters(t.clusters(), t.annotations(), test, 0.9)).withColumn("fold", F.lit(fold))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+    return masked_edges(t.together(), parts).join(correct_clusters(t.clusters(), t.annotations(), parts, 0.9), "fold")
 
 
 def p19_robustness(t: Tables) -> DataFrame:
@@ -271,6 +286,6 @@ def p19_robustness(t: Tables) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_condition_networks, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p9_core_predictions, p10_literature, p11_path_profile,
+    p1_condition_networks, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
     p12_shared_terms, p13_rank_selection, p14_nearest_baseline, p15_movement_baseline, p16_marker_test, p17_cross_validation, p18_masked_contribution, p19_robustness,
 )}

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import stats, vectors
 from sparkloom.operators import aggregates, cluster, enrichment, factorize, graph, linalg, movement, relational, resample, sets
-from sparkloom.plans import pipelines
+from sparkloom.plans import pipeline_sql, pipelines
 from sparkloom.plans.bindings import Tables, sql
+from sparkloom.plans.pipeline_sql import TAIL
 from sparkloom.streaming import windows
 
 QUERIES: dict = {}
@@ -43,11 +44,8 @@ def nlog(p: Column | str) -> Column:
     return F.round(-F.log10(F.greatest(F.col(p) if isinstance(p, str) else p, F.lit(1e-200))), 4)
 
 
-NLOG = "round(-log10(greatest({}, 1e-200)), 4)"
-#: Upper tail of the hypergeometric distribution in SQL.
-TAIL = """least(1.0, list_sum(list_transform(range(x::BIGINT, least(k, n)::BIGINT + 1), lambda i:
-  exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(m - k + 1) - lgamma(n - i + 1) - lgamma(m - k - n + i + 1)
-      - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1)))))"""
+#: Adding 0.0 makes -0.0 (the logarithm of exactly 1) the 0.0 that it equals.
+NLOG = "(round(-log10(greatest({}, 1e-200)), 4) + 0.0)"
 
 
 # -- scans, projections, filters ------------------------------------------------------------------
@@ -149,9 +147,38 @@ def union_distinct(t):
     return sets.union(t.known(), t.annotations())
 
 
-@query(sql("known", "annotations") + " SELECT gene FROM known EXCEPT SELECT gene FROM annotations")
+@query(sql("known", "annotations") + " SELECT DISTINCT gene FROM annotations WHERE gene NOT IN (SELECT gene FROM known)")
 def difference(t):
-    return sets.difference(t.known(), t.annotations())
+    return sets.difference(t.annotations(), t.known())
+
+
+@query(sql("known", "annotations") + " SELECT gene FROM known INTERSECT SELECT gene FROM annotations WHERE term < 12")
+def intersection(t):
+    return sets.intersection(t.known(), t.annotations().filter("term < 12").select("gene"))
+
+
+@query(sql("known", "conditions") + " SELECT gene FROM known UNION ALL SELECT gene FROM conditions")
+def multiset_concat(t):
+    return sets.concatenated(t.known(), t.conditions())
+
+
+@query("SELECT l.p_partkey AS gene, r.p_partkey AS partner, l.place FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS place FROM part) l JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS place FROM part WHERE p_size < 30) r USING (place)")
+def positional_zip(t):
+    parts = t.read("part")
+    left, right = parts.select("p_retailprice", F.col("p_partkey").alias("gene")), parts.filter("p_size < 30").select("p_name", F.col("p_partkey").alias("partner"))
+    return relational.zipped(left, right, ["p_retailprice", "gene"], ["p_name", "partner"]).select("gene", "partner", "place")
+
+
+@query(sql("expression") + " SELECT gene, cell, value FROM expression WHERE cell NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)")
+def delete_condition(t):
+    metadata = t.read("supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("cond"))
+    return relational.cells_not_of(t.expression(), metadata, 3).select("gene", "cell", "value")
+
+
+@query(sql("expression", "known") + " SELECT gene AS i, cell AS j, value AS v FROM expression WHERE gene IN (SELECT gene FROM known) AND cell IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
+def submatrix(t):
+    matrix = t.expression().select(F.col("gene").alias("i"), F.col("cell").alias("j"), F.col("value").alias("v"))
+    return relational.submatrix(matrix, t.known().select(F.col("gene").alias("i")), t.read("supplier").filter("s_nationkey < 5").select(F.col("s_suppkey").alias("j")))
 
 
 @query(sql("known", "annotations") + ", f AS (SELECT gene, max(a) AS a, max(b) AS b FROM (SELECT gene, 1 AS a, 0 AS b FROM known UNION ALL SELECT gene, 0, 1 FROM annotations) GROUP BY gene) "
@@ -350,7 +377,7 @@ def mwu_u_z(t):
     return rows.select("n1", "n2", F.round("u1", 4).alias("u1"), r6("z").alias("z"))
 
 
-@query()
+@query(pipeline_sql.ORACLES["mwu_p"])
 def mwu_p(t):
     rows = t.read("part").select("p_size", (F.col("p_type") == "PROMO").alias("side"))
     both = [stats.mann_whitney(rows, "p_size", "side", alternative=a).select(F.lit(a).alias("alternative"), r6("p").alias("p")) for a in ("greater", "less")]
@@ -377,11 +404,38 @@ def percentile_cut(t):
 # -- vectors ---------------------------------------------------------------------------------------------------
 
 
-@query(sql("vectors") + " SELECT a.gene AS i, b.gene AS j, round(sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 5) AS dist FROM vectors a JOIN vectors b ON a.gene < b.gene AND a.label = b.label")
+SUM = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: {}))"
+DOTS = "list_inner_product(a.vec, b.vec) / sqrt(list_inner_product(a.vec, a.vec) * list_inner_product(b.vec, b.vec))"
+PAIRS = " FROM vectors a JOIN vectors b ON a.gene < b.gene WHERE a.label < 2 AND b.label < 2"
+
+
+def _pairs(t, distance):
+    return movement.pairwise(t.vectors().filter("label < 2"), distance).select("i", "j", F.round("dist", 5).alias("dist"))
+
+
+@query(sql("vectors") + f" SELECT a.gene AS i, b.gene AS j, round(sqrt({SUM.format('(p[1] - p[2]) * (p[1] - p[2])')}), 5) AS dist" + PAIRS)
 def pairwise_euclid(t):
-    a = t.vectors().select(F.col("gene").alias("i"), F.col("vec").alias("x"), "label")
-    b = t.vectors().select(F.col("gene").alias("j"), F.col("vec").alias("y"), "label")
-    return a.join(b, "label").filter("i < j").select("i", "j", F.round(vectors.euclidean(F.col("x"), F.col("y")), 5).alias("dist"))
+    return _pairs(t, vectors.euclidean)
+
+
+@query(sql("vectors") + f" SELECT a.gene AS i, b.gene AS j, round({SUM.format('abs(p[1] - p[2])')}, 5) AS dist" + PAIRS)
+def pairwise_manhattan(t):
+    return _pairs(t, vectors.manhattan)
+
+
+@query(sql("vectors") + f" SELECT a.gene AS i, b.gene AS j, round(1 - {DOTS}, 5) AS dist" + PAIRS)
+def pairwise_cosine(t):
+    return _pairs(t, vectors.cosine_distance)
+
+
+@query(sql("vectors") + f" SELECT a.gene AS i, b.gene AS j, round(acos(least(greatest({DOTS}, -1.0), 1.0)) / pi(), 5) AS dist" + PAIRS)
+def pairwise_angular(t):
+    return _pairs(t, vectors.angular_distance)
+
+
+@query(sql("vectors") + f" SELECT a.gene AS i, b.gene AS j, round(sqrt((1 - {DOTS}) / 2), 5) AS dist" + PAIRS)
+def pairwise_half_chord(t):
+    return _pairs(t, vectors.half_chord)
 
 
 @query(sql("vectors") + ", d AS (SELECT a.gene, b.gene AS nearest, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist FROM vectors a, vectors b WHERE a.label <> 0 AND b.label = 0) "
@@ -464,6 +518,12 @@ def clustering_coef(t):
     return graph.clustering_coefficients(t.together()).select("gene", "triangles", r6("coefficient").alias("coefficient"))
 
 
+@query(sql("together") + ", b AS (SELECT src, dst FROM together UNION ALL SELECT dst, src FROM together), d AS (SELECT src AS gene, count(*) AS degree FROM b GROUP BY 1), t AS (SELECT x.src AS gene, count(*) AS n FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN together e ON e.src = x.dst AND e.dst = y.dst GROUP BY 1) "
+       "SELECT round(avg(coalesce(2.0 * coalesce(n, 0) / nullif(degree * (degree - 1), 0), 0)), 8) AS average FROM d LEFT JOIN t USING (gene)")
+def average_clustering(t):
+    return graph.average_clustering(t.together()).select(F.round("average", 8).alias("average"))
+
+
 @query(sql("together") + ", b AS (SELECT src AS i, dst AS j, -1.0::DOUBLE AS v FROM together UNION ALL SELECT dst, src, -1.0 FROM together) SELECT i, j, v FROM b UNION ALL SELECT i, i, count(*)::DOUBLE FROM b GROUP BY i")
 def laplacian(t):
     return graph.laplacian(t.together())
@@ -502,6 +562,15 @@ def sparse_times_factor(t):
     return linalg.times_factor(linalg.adjacency(t.together()), factor, 2).select("gene", F.round(F.col("vec")[0], 4).alias("c0"), F.round(F.col("vec")[1], 4).alias("c1"))
 
 
+@query("SELECT p_partkey AS gene, round(0.5 * p_size - 2 * p_retailprice / 1000, 6) AS c0, round(0.25 * p_size + p_retailprice / 1000, 6) AS c1, round(p_retailprice / 1000, 6) AS c2 FROM part")
+def p7_embedding(t):
+    import numpy as np
+
+    factor = t.read("part").select(F.col("p_partkey").alias("gene"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 1000).alias("vec"))
+    middle = np.array([[0.5, 0.25, 0.0], [-2.0, 1.0, 1.0]])
+    return pipelines.projected(factor, middle).select("gene", *[F.round(F.col("vec")[k], 6).alias(f"c{k}") for k in range(3)])
+
+
 # -- folds and permutations --------------------------------------------------------------------------------------
 
 
@@ -602,4 +671,4 @@ def nmtf_expr(t):
 
 
 for _name, _run in pipelines.QUERIES.items():
-    query()(_run)
+    query(pipeline_sql.ORACLES.get(_name))(_run)
