@@ -63,7 +63,7 @@ def test_suffix_array_and_prefixes():
     shared = substring_dedup.common_prefixes(data, order, ends)
     for k in range(1, len(keys)):
         x, y = keys[k - 1][0][:50], keys[k][0][:50]
-        assert shared[k] == next((n for n, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+        assert shared[k] == (next((n for n, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y))) if len(y) == 50 else 0)
 
 
 def test_equal_hashes_do_not_remove(monkeypatch):
@@ -94,6 +94,16 @@ def test_matches_brute_force_and_small_shards(spark):
     assert rows_of(substring_dedup.remove_repeats(docs, block_bytes=1500, shard_bytes=300), *NAMES) == brute(rows)
 
 
+def test_long_documents_are_cut_into_pieces(monkeypatch):
+    data = "".join(t or "" for _, t in planted()).encode()
+    starts = []
+    for size in (1 << 17, 211):
+        monkeypatch.setattr(substring_dedup, "PART_BYTES", size)
+        block = substring_dedup.Block(np.array([1]).tobytes(), np.array([len(data)]).tobytes(), data)
+        starts.append({x: name for lo, hi, name in zip(block.lo.tolist(), block.hi.tolist(), block.names[block.entry].tolist(), strict=True) for x in range(lo, hi + 1)})
+    assert starts[0] == starts[1] and sorted(starts[0]) == list(range(len(data) - 49))
+
+
 def test_spans_give_the_kept_bytes(spark, clashing, odd_rows, empty):
     found = substring_dedup.remove_repeats(clashing, with_parts=True).collect()
     assert sorted(((r["doc_id"], r["n_bytes"]) for r in found), key=str) == sorted(((d, len((t or "").encode())) for d, t, *_ in odd_rows), key=str)
