@@ -605,7 +605,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    # Sets are the bulk, so both joins shuffle at every size.
+    both_ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sized_semi_join(sets, materialize(both_ends, "ends"), "node")
+    # Sets are the bulk, so both joins shuffle at every size, but only the sets of these pairs.
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
     both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
     return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
