@@ -10,24 +10,6 @@ from pyspark.sql import functions as F
 from sparkloom.session import cut_lineage
 
 
-def log_factorials(largest: DataFrame | int, spark=None) -> DataFrame:
-    """One row, ``lf``: ln(i!) for i = 0..n as an array.
-
-    ``largest`` is n, or a one-row frame with a column ``n``. The running sum
-    is made inside one row, so its size is that of the largest population
-    count (8 bytes an entry), not of the data.
-    """
-    if isinstance(largest, int):
-        largest = spark.range(1).select(F.lit(largest).alias("n"))
-    steps = F.sequence(F.lit(1), F.greatest(F.col("n").cast("int"), F.lit(1)))
-    grown = F.aggregate(
-        steps,
-        F.struct(F.array(F.lit(0.0)).alias("a"), F.lit(0.0).alias("s")),
-        lambda acc, i: F.struct(F.concat(acc["a"], F.array(acc["s"] + F.log(i.cast("double")))).alias("a"), (acc["s"] + F.log(i.cast("double"))).alias("s")),
-    )
-    return largest.select(grown["a"].alias("lf"))
-
-
 def log_gamma(x: Column) -> Column:
     """ln Gamma(x) for x >= 1 by Stirling's series after shifting the argument by 8."""
     y = x + 8

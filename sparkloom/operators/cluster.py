@@ -47,10 +47,10 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
 def k_medoids(points: DataFrame, k: int, seed: int = 1, max_iter: int | None = None) -> DataFrame:
     """gene, medoid: alternating assignment and choice of the best medoid.
 
-    Medoids (k rows) are broadcast. A cluster's new medoid is the member
-    nearest to the cluster's mean vector, found by aggregation, so no pairs
-    inside a cluster are formed. It ends when the medoids have been seen before
-    (they stay, or would go round); ``max_iter`` is a bound on request.
+    Medoids (k rows) are broadcast. A cluster's new medoid is the member whose
+    distances to all members add up to least. It ends when the medoids have
+    been seen before (they stay, or would go round); ``max_iter`` is a bound on
+    request.
     """
     from sparkloom.functions.vectors import euclidean
     from sparkloom.session import cut_lineage
@@ -66,15 +66,43 @@ def k_medoids(points: DataFrame, k: int, seed: int = 1, max_iter: int | None = N
         if names in seen:
             break
         seen.add(names)
-        means = assigned.select("medoid", F.posexplode("vec").alias("at", "v")).groupBy("medoid", "at").agg(F.avg("v").alias("v")).groupBy("medoid").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("mean")
-        )
-        near = assigned.join(F.broadcast(means), "medoid")  # k rows
-        best = near.groupBy("medoid").agg(F.min_by(F.struct("gene", "vec"), F.struct(euclidean(F.col("vec"), F.col("mean")).alias("d"), "gene")).alias("b"))
+        sums = summed_distances(assigned).withColumn("s", F.round("s", 9))
+        near = assigned.join(sums, ["medoid", "gene"])
+        best = near.groupBy("medoid").agg(F.min_by(F.struct("gene", "vec"), F.struct("s", "gene")).alias("b"))
         medoids = best.select("b.gene", "b.vec").collect()  # k rows
     return assigned.select("gene", "medoid")
 
 
+def summed_distances(assigned: DataFrame, block_rows: int = 256) -> DataFrame:
+    """medoid, gene, s: the sum of a member's distances to all members of its cluster.
+
+    Members are dealt to blocks; each block of rows meets each block of the
+    same cluster in numpy and gives partial sums, so no distance is ever a row.
+    """
+    sizes = assigned.groupBy("medoid").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    dealt = assigned.select("medoid", "gene", "vec").join(F.broadcast(sizes), "medoid").withColumn("mine", F.pmod(F.xxhash64("gene"), F.col("n")).cast("int"))  # k rows
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    rows = dealt.select("medoid", F.col("mine").alias("block"), every.alias("other"), "gene", "vec", F.lit(0).alias("side"))
+    columns = dealt.select("medoid", every.alias("block"), F.col("mine").alias("other"), "gene", "vec", F.lit(1).alias("side"))
+    kinds = {f.name: f.dataType.simpleString() for f in assigned.schema}
+
+    def meet(table):
+        import numpy as np
+        import pyarrow as pa
+
+        left = table.column("side").to_numpy() == 0
+        part = table.filter(pa.array(left))
+        x, y = (np.array(t.column("vec").to_pylist(), dtype=float).reshape(t.num_rows, -1) for t in (part, table.filter(pa.array(~left))))
+        s = np.zeros(len(x))
+        if len(x) and len(y):
+            square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+            s = np.sqrt(np.maximum(square, 0)).sum(1)
+        return pa.table({"medoid": part.column("medoid"), "gene": part.column("gene"), "s": pa.array(s)})
+
+    met = rows.unionByName(columns).groupBy("medoid", "block", "other").applyInArrow(meet, f"medoid {kinds['medoid']}, gene {kinds['gene']}, s double")
+    return met.groupBy("medoid", "gene").agg(F.sum("s").alias("s"))
+
+
 def soft_clusters(factors: DataFrame, threshold: float, softmaxed: bool = False) -> DataFrame:
     """gene, cluster, share for every entry whose share of its row reaches the threshold."""
     from sparkloom.functions.vectors import shares, softmax

@@ -155,13 +155,15 @@ def masked_edges(edges: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def nmtf_trace(t: Tables, joint: bool, k1: int = 4, k2: int = 3, turns: int = 1000) -> DataFrame:
-    """iteration, error of a factorisation of the driver tables, to its stop rule."""
+    """iteration, error of a factorisation of the driver tables from singular vectors, to its stop rule."""
     expression = t.read("lineitem").groupBy(F.col("l_suppkey").alias("i"), F.year("l_shipdate").cast("long").alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
     items = t.read("lineitem").select("l_orderkey", "l_suppkey").distinct()
     pairs = items.select("l_orderkey", F.col("l_suppkey").alias("src")).join(items.select("l_orderkey", F.col("l_suppkey").alias("dst")), "l_orderkey").filter("src < dst")
     networks = [linalg.adjacency(pairs.select("src", "dst"))] if joint else []
     genes, cells = expression.select(F.col("i").alias("gene")).distinct(), expression.select(F.col("j").alias("gene")).distinct()
-    model = factorize.factorize(networks, expression, k1, k2, factorize.random_factor(genes, k1, 1), factorize.random_factor(cells, k2, 2), max_iter=turns)
+    first = factorize.svd_factor(networks or [expression], genes, k1)
+    second = factorize.svd_factor([expression], cells, k2, "v")
+    model = factorize.factorize(networks, expression, k1, k2, first, second, max_iter=turns)
     return t.spark.createDataFrame([(i, round(e, 6)) for i, _, e in model.trace], "iteration int, error double")
 
 

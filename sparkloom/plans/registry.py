@@ -571,6 +571,13 @@ def p7_embedding(t):
     return pipelines.projected(factor, middle).select("gene", *[F.round(F.col("vec")[k], 6).alias(f"c{k}") for k in range(3)])
 
 
+@query(f"WITH {NATIONS}, a AS (SELECT src AS i, dst AS j, src + dst AS v FROM edges UNION ALL SELECT dst, src, src - dst FROM edges) SELECT x.i, y.j, sum(x.v * y.v)::BIGINT AS v FROM a x JOIN a y ON y.i = x.j GROUP BY 1, 2")
+def sparse_square(t):
+    links = _nations(t)
+    matrix = links.select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("src") + F.col("dst")).alias("v")).unionAll(links.select("dst", "src", F.col("src") - F.col("dst")))
+    return linalg.sparse_product(matrix, matrix).select("i", "j", F.col("v").cast("long").alias("v"))
+
+
 # -- folds and permutations --------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,17 @@ def local_session(cores: str = "4", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session without that
-    setting (a local test) gets a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without
+    that setting (a test) gets a temporary folder of its own; on a cluster the
+    executors would not see it, so the missing setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -16,9 +16,12 @@ def delimited(rows: DataFrame, path: str, sep: str = ",") -> None:
 
 def factor(rows: DataFrame, path: str, k: int, headers: bool = True) -> None:
     """A (gene, vec) factor as one tab-separated column an entry."""
-    rows.select(F.col("gene").alias(""), *[F.col("vec")[c].alias(str(c)) for c in range(k)]).write.mode("overwrite").csv(path, sep="\t", header=headers) if headers else rows.select(
-        "gene", *[F.col("vec")[c].alias(f"c{c}") for c in range(k)]
-    ).write.mode("overwrite").csv(path, sep="\t", header=False)
+    entries = [F.col("vec")[c].alias(str(c)) for c in range(k)]
+    if headers:
+        wide = rows.select(F.col("gene").alias(""), *entries)
+    else:
+        wide = rows.select("gene", *entries)
+    wide.write.mode("overwrite").csv(path, sep="\t", header=headers)
 
 
 def triples(matrix: DataFrame, path: str, square: bool = False) -> None:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import stats
 from sparkloom.operators import aggregates, cluster, enrichment, factorize, graph, linalg, movement, relational, resample, sets
 
 
@@ -201,3 +202,35 @@ def test_registered_jobs_are_whole(spark, monkeypatch):
     assert caught(cluster, "k_means", registry.QUERIES["p19_robustness"])["n_init"] == 10
     assert caught(cluster, "k_medoids", registry.QUERIES["kmedoids"])["max_iter"] is None
     assert caught(factorize, "factorize", registry.QUERIES["nmtf_expr"])["max_iter"] == 1000
+
+
+def test_k_medoids_are_medoids(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(10 * (i % 3), 1.0), rng.gauss(0, 1.0)]) for i in range(90)]
+    found = {r["gene"]: r["medoid"] for r in cluster.k_medoids(spark.createDataFrame(rows, "gene long, vec array<double>"), 3).collect()}
+    where = dict(rows)
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(where[a], where[b], strict=True)) ** 0.5
+    for medoid in set(found.values()):
+        members = [g for g, m in found.items() if m == medoid]
+        cost = {g: sum(far(g, h) for h in members) for g in members}
+        assert found[medoid] == medoid and cost[medoid] <= min(cost.values()) + 1e-9
+    assert all(far(g, m) <= min(far(g, o) for o in set(found.values())) + 1e-9 for g, m in found.items())
+
+
+def test_adjusted_p_values_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, rng.choice([0.0, 1e-300, 1.0, 0.04, round(rng.random(), 2)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, family int, p double")
+
+    def brute(ps):
+        ranked, least, out = sorted(ps, reverse=True), 1.0, {}
+        for k, p in enumerate(ranked):
+            least = min(least, p * len(ps) / (len(ps) - k))
+            out[p] = least
+        return out
+
+    whole = brute([r[2] for r in rows])
+    assert all(abs(r["p_adj"] - whole[r["p"]]) < 1e-12 for r in stats.adjusted_bh(df, "p").collect())
+    each = {f: brute([r[2] for r in rows if r[1] == f]) for f in (0, 1)}
+    found = stats.adjusted_bh(df, "p", ["family"]).collect()
+    assert len(found) == 120 and all(abs(r["p_adj"] - each[r["family"]][r["p"]]) < 1e-12 for r in found)

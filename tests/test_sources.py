@@ -60,3 +60,30 @@ def test_streaming_equals_batch(spark, tmp_path):
     run.stop()
     key = lambda df: sorted((r["window_start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("daily")) == key(windows.tumbling(events, "1 day"))
+
+
+def test_other_readers_and_writers(spark, tmp_path):
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    pairs = put(tmp_path, "pairs", "a;b\nb;c\nb;a\nd\n")
+    assert rows(readers.square_pairs(spark, pairs)) == [("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)]
+    order = spark.createDataFrame([("a",), ("b",)], "gene string")
+    assert rows(readers.square_pairs(spark, pairs, order=order)) == [("a", "b", 1.0), ("b", "a", 1.0)]
+    assert rows(readers.rectangular_pairs(spark, pairs, rows_in=order)) == [("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0)]
+    assert rows(readers.id_names(spark, put(tmp_path, "names", "1\tone\tmore\n2\ttwo\n"))) == [("1", "one"), ("2", "two")]
+    assert rows(readers.gene_list(spark, put(tmp_path, "genes", "genes\n x \n\ny\n"), "genes")) == [("x",), ("y",)]
+    (tmp_path / "A").mkdir()
+    put(tmp_path / "A", "run1.tsv", "nets\tk1\tk2\trho1\trho2\nPPI\t2\t3\t0.5\t0.25\n")
+    statistics = readers.run_statistics(spark, str(tmp_path / "A" / "*.tsv"))
+    assert rows(readers.keyed_by_path(statistics, r"/([^/]+)/run(\d+)", ["cond", "run"])) == [("PPI", 2, 3, 0.5, 0.25, "A", "1")]
+    factor = spark.createDataFrame([("g", [1.0, 2.5])], "gene string, vec array<double>").coalesce(1)
+    for headers, wanted in ((True, ["\t0\t1", "g\t1.0\t2.5"]), (False, ["g\t1.0\t2.5"])):
+        writers.factor(factor, str(tmp_path / f"f{headers}"), 2, headers)
+        lines = [r["value"] for r in spark.read.text(str(tmp_path / f"f{headers}")).collect()]
+        assert [x.replace('""', "") for x in lines] == wanted
+    writers.clusters(spark.createDataFrame([("g", 3)], "gene string, cluster int"), str(tmp_path / "c"))
+    writers.lines(order, "gene", str(tmp_path / "l"))
+    writers.report(spark.createDataFrame([(1, None)], "n int, what string"), str(tmp_path / "r"))
+    writers.delimited(order, str(tmp_path / "d"))
+    text = lambda name: sorted(r["value"] for r in spark.read.text(str(tmp_path / name)).collect())
+    assert (text("c"), text("l"), text("r")) == (["g\t3"], ["a", "b"], ["n: 1", "what: "])
+    assert rows(spark.read.csv(str(tmp_path / "d"), header=True)) == [("a",), ("b",)]
