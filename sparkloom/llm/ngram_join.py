@@ -62,7 +62,7 @@ SMALL_ROWS = 250_000
 #: Components of up to this many edges (16 MB) are found in one task.
 LOCAL_EDGES = 1_000_000
 #: Bytes of text whose words are hashed at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _powers: list = []
 
 
