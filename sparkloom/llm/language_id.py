@@ -35,7 +35,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fresh, materialize, read_table, small_batches
 
 N_FEATURES = 1 << 13
 PER_LANGUAGE = 400
@@ -217,7 +217,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """
     import numpy as np
 
-    rows = featurized(training_sample(docs, per_language)).collect()
+    with small_batches(docs.sparkSession):
+        rows = featurized(training_sample(docs, per_language)).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
@@ -248,32 +249,41 @@ def predict(docs: DataFrame, model: Model | None, lang_name: str = "lang_pred",
     taken = {c.lower() for c in docs.columns}
     if {lang_name.lower(), score_name.lower()} & taken:
         raise ValueError(f"{lang_name} or {score_name} is a column already; choose other names")
+    return judged(docs, model, docs.columns, lang_name, score_name)
+
+
+def judged(docs: DataFrame, model: Model | None, keep: list[str], lang_name: str, score_name: str) -> DataFrame:
+    """The columns ``keep`` of every row, its language and its score; the text goes to Python last and need not come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*[f"`{c}`" for c in keep])
 
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
+            texts = batch.column(len(keep))
             langs, scores = [], []
             for k in range(batch.num_rows):
                 lang, score = UNKNOWN, 0.0
-                vector = vector_of(batch.column(at)[k].as_py()) if model else None
+                vector = vector_of(texts[k].as_py()) if model else None
                 if vector is not None:
                     lang, score = model.decide(vector @ model.weights + model.bias)
                 langs.append(lang)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_name, score_name])
+            columns = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: len(keep)], lang_name, score_name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_name}` string, `{score_name}` double"
-    return docs.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{lang_name}` string, `{score_name}` double"
+    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias(fresh(keep, "text"))).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     model = fit(docs, per_language)
-    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    with small_batches(docs.sparkSession):
+        return materialize(judged(rows, model, ["doc_id", "held_out"], "lang_pred", "score"), "languages")
 
 
 def op2_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, read_table
+from .common import materialize, partitions_for, read_table, small_batches
 from .tokens import encoder, sliced
 
 CAPACITY = 2048
@@ -267,7 +267,9 @@ def spans(column) -> list[tuple[int, int, int]]:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row a piece with its sequence and its place there."""
-    return placed(materialize(pieces(docs, capacity, vocabulary, with_ids), "pieces"), capacity, groups)
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, capacity, vocabulary, with_ids), "pieces")
+    return placed(cut, capacity, groups)
 
 
 def op5_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
 MEMO_CHARS = 64
 #: What a short piece takes: two objects and its place in the table.
 PIECE_BYTES = 210
