@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from sparkloom.llm.common import fresh, materialize, read_table
+from sparkloom.llm.common import fresh, materialize, read_table, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = fresh(names, "lang_pred")
     judged = language_id.predict(docs, model, found, fresh(names, "lang_score"))
     kept = judged.filter(judged[found] != language_id.UNKNOWN)
-    return kept.withColumn("lang", kept[found]).select(*[f"`{c}`" for c in names])
+    with small_batches(spark):  # whole texts go through Python here
+        return materialize(kept.withColumn("lang", kept[found]).select(*[f"`{c}`" for c in names]), "in-a-language")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
