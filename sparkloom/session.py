@@ -62,6 +62,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once all that read it is written itself.
+
+    Only folders under this library's scratch folder are touched; ``df`` may
+    have filters or fewer columns on top of the files.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/sparkloom/"
+    bare = lambda path: re.sub(r"^file:/+", "/", path)
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if bare(folder).startswith(bare(root)):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``checkpoint()`` into the shared folder."""
     shared_dir(df.sparkSession)
