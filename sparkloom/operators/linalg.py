@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import blocked
+from sparkloom.session import discard, materialize
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """i, j, 1.0 of both directions of the distinct edges."""
@@ -87,31 +90,108 @@ def squared_norm(matrix: DataFrame) -> float:
     return float(matrix.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("s")).first()["s"])
 
 
-def truncated_svd(matrix: DataFrame, k: int, n_columns_of: DataFrame | None = None):
-    """(gene, vec) with |U|, the singular values, and (cell, vec) with |V|.
+def _orthonormal(blocks: DataFrame, width: int, cutoff: float = 1e-10):
+    """The small matrix that makes the columns of written blocks orthonormal, by tall-skinny QR, and the R factor.
 
-    MLlib's distributed SVD of the rows; the signs are dropped as they are
-    arbitrary. Row and column numbers come from sorted distinct labels.
+    Every task keeps the R factor of the rows it has seen; these are stacked.
+    Directions below ``cutoff`` are dropped, so the result may have fewer columns.
+    """
+    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        r = np.zeros((0, width))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = np.linalg.qr(np.concatenate([r, np.frombuffer(batch.column(0)[k].as_py()).reshape(-1, width)]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], ["data"])
+
+    rows = blocks.select("data").mapInArrow(run, "data binary")
+    if len(blocks.inputFiles()) * width * width * 8 > blocked.DIRECT_BYTES:
+        rows = rows.coalesce(max(1, blocked.DIRECT_BYTES // (width * width * 8))).mapInArrow(run, "data binary")
+    stacked = [np.frombuffer(r["data"]).reshape(-1, width) for r in rows.collect()]  # width * width numbers a task
+    r = np.linalg.qr(np.concatenate(stacked), mode="r")
+    _, s, v = np.linalg.svd(r)
+    kept = s > cutoff * max(s.max(initial=0.0), 1e-300)
+    return v[: len(s)][kept].T / s[kept], r
+
+
+def truncated_svd(matrix: DataFrame, k: int, tolerance: float = 1e-9, max_iter: int = 100, block_rows: int = blocked.BLOCK_ROWS):
+    """(gene, vec) with |U|, the singular values, and (cell, vec) with |V| of a sparse matrix (i, j, v).
+
+    Block subspace iteration with 2 k + 16 columns: the matrix in tiles is
+    multiplied with a block of columns and its transpose with the result, each
+    made orthonormal by tall-skinny QR, until the first k singular values change
+    by less than ``tolerance`` of the first. The signs are dropped as they are
+    arbitrary; with a rank below k there are fewer values and shorter vectors.
+    A matrix of one block is decomposed in a task.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-    from pyspark.sql import Window
-
-    number = lambda df, c: df.select(c).distinct().withColumn("_n", F.row_number().over(Window.orderBy(c)) - 1)
-    columns = number(n_columns_of if n_columns_of is not None else matrix, "j")
-    rows = number(matrix, "i")
-    n = columns.count()
-    packed = (
-        matrix.join(columns, "j").join(rows.withColumnRenamed("_n", "_r"), "i").groupBy("_r")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "v"))).alias("cells"))
-    )
-    indexed = packed.rdd.map(lambda r: IndexedRow(r["_r"], Vectors.sparse(n, [c["_n"] for c in r["cells"]], [c["v"] for c in r["cells"]])))
-    found = IndexedRowMatrix(indexed).computeSVD(k, computeU=True)
-    spark = matrix.sparkSession
-    u = spark.createDataFrame(found.U.rows.map(lambda r: (r.index, [abs(float(x)) for x in r.vector])), "_n long, vec array<double>")
-    v = spark.createDataFrame([(i, [abs(float(x)) for x in row]) for i, row in enumerate(found.V.toArray())], "_n long, vec array<double>")
-    return (
-        rows.join(u, "_n").select(F.col("i").alias("gene"), "vec"),
-        [float(x) for x in found.s],
-        columns.join(v, "_n").select(F.col("j").alias("cell"), "vec"),
-    )
+    import numpy as np
+
+    rows = blocked.index(matrix.select(F.col("i").alias("gene")), block_rows)
+    columns = blocked.index(matrix.select(F.col("j").alias("gene")), block_rows)
+    width = min(2 * k + 16, rows.count(), columns.count())
+    made = blocked.tiles([matrix], rows, columns)
+    if rows.select("block").distinct().count() <= 1 and columns.select("block").distinct().count() <= 1:
+        return _svd_of_tile(made, rows, columns, k)
+    one = F.array(F.lit(1.0)).alias("vec")
+    sides = [blocked.packed([of.select("gene", one)], [1], of) for of in (rows, columns)]
+    drawn = [F.pmod(F.xxhash64("gene", F.lit(c)), F.lit(1 << 30)).cast("double") / float(1 << 30) - 0.5 for c in range(width)]
+    basis = blocked.packed([columns.select("gene", F.array(*drawn).alias("vec"))], [width], columns)
+
+    def multiplied(of: DataFrame, small, side: int):
+        """The product of the matrix (or, on side 1, its transpose) with blocks times a small matrix, what makes it orthonormal, and R."""
+        n = small.shape[1]
+        ready = blocked.mapped(of, lambda x: x @ small, small.shape[0])
+        parts = blocked.mapped(sides[side], lambda x: x, 1).unionAll(blocked.products(made, ready, {0: [slice(0, n)]}, side == 1))
+        new = blocked.own(materialize(blocked.gathered(parts, 1, {0: n}, lambda own, held: (held[0], np.zeros(0)), 0), "basis"))
+        return new, *_orthonormal(new, n)
+
+    small, last, left = np.eye(width), None, None
+    for _ in range(max_iter):
+        before = left
+        left, left_small, _ = multiplied(basis, small, 0)
+        right, right_small, r = multiplied(left, left_small, 1)
+        _, s, turned = np.linalg.svd(r)
+        for old in (basis, before):
+            if old is not None:
+                discard(old)
+        basis, small = right, right_small
+        if last is not None and len(last) == len(s[:k]) and np.abs(s[:k] - last).max(initial=0.0) <= tolerance * s.max(initial=0.0):
+            break
+        last = s[:k]
+    n = int((s[:k] > 1e-10 * s.max(initial=0.0)).sum())
+    rotated, n_left, n_right = turned[:n].T, left_small.shape[0], right_small.shape[0]
+    both = []
+    for blocks, change, wide, of in ((left, lambda x: np.abs(x @ left_small @ rotated), n_left, rows), (right, lambda x: np.abs(x @ rotated / s[:n]), n_right, columns)):
+        both.append(materialize(blocked.unpacked(blocked.mapped(blocks, change, wide), of, n, slice(0, n)), "singular-vectors"))
+        discard(blocks)
+    discard(made)
+    return both[0], [float(x) for x in s[:n]], both[1].withColumnRenamed("gene", "cell")
+
+
+def _svd_of_tile(made: DataFrame, rows: DataFrame, columns: DataFrame, k: int):
+    """``truncated_svd`` of a matrix that is one tile."""
+    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                dense = np.zeros((r["n_rows"], r["n_columns"]))
+                dense[np.frombuffer(r["ra"], "<i4"), np.frombuffer(r["ca"], "<i4")] = np.frombuffer(r["v"])
+                u, s, v = np.linalg.svd(dense, full_matrices=False)
+                n = int((s[:k] > 1e-10 * s.max(initial=0.0)).sum())
+                arrays = [np.ascontiguousarray(np.abs(x)).tobytes() for x in (u[:, :n], v[:n].T)] + [s[:n].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array(["u", "v", "s"]), pa.array(arrays, pa.binary())], ["block", "name", "data"])
+
+    found = materialize(made.select("n_rows", "n_columns", "ra", "ca", "v").mapInArrow(run, "block int, name string, data binary"), "singular-vectors")
+    discard(made)
+    values = [float(x) for r in found.filter("name = 's'").collect() for x in np.frombuffer(r["data"])]
+    n = len(values)
+    u, v = (blocked.unpacked(found.filter(F.col("name") == name), of, n, slice(0, n)) if n else of.select("gene", F.array().cast("array<double>").alias("vec")) for name, of in (("u", rows), ("v", columns)))
+    return u, values, v.withColumnRenamed("gene", "cell")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import stats
 from sparkloom.functions.vectors import euclidean
-from sparkloom.operators import aggregates, cluster, enrichment, factorize, graph, linalg, movement, relational, resample, sets
+from sparkloom.operators import aggregates, cluster, enrichment, factor_variants, factorize, graph, linalg, movement, relational, resample, sets
 from sparkloom.plans.bindings import Tables
+from sparkloom.session import materialize
 
 #: Network combinations of the main experiment: all, each alone, pairs, triples, expression only.
 NETWORKS = ("PPI", "GI", "MI", "COEX")
@@ -154,19 +155,46 @@ def masked_edges(edges: DataFrame, tests: DataFrame) -> DataFrame:
     return met.select("fold", (F.col("whole") - F.coalesce("gone", F.lit(0))).alias("edges"))
 
 
-def nmtf_trace(t: Tables, joint: bool, k1: int = 4, k2: int = 3, turns: int = 1000) -> DataFrame:
-    """iteration, error of a factorisation of the driver tables from singular vectors, to its stop rule."""
-    expression = t.read("lineitem").groupBy(F.col("l_suppkey").alias("i"), F.year("l_shipdate").cast("long").alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
-    items = t.read("lineitem").select("l_orderkey", "l_suppkey").distinct()
+def supplier_expression(t: Tables) -> DataFrame:
+    """i (supplier), j (year), v: hundreds of pieces."""
+    return t.read("lineitem").groupBy(F.col("l_suppkey").alias("i"), F.year("l_shipdate").cast("long").alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
+
+
+def supplier_network(t: Tables, priority: str | None = None) -> DataFrame:
+    """i, j, v: suppliers of one order (of some priority)."""
+    items = t.read("lineitem")
+    if priority is not None:
+        items = items.join(t.read("orders").filter(F.col("o_orderpriority") == priority), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    items = items.select("l_orderkey", "l_suppkey").distinct()
     pairs = items.select("l_orderkey", F.col("l_suppkey").alias("src")).join(items.select("l_orderkey", F.col("l_suppkey").alias("dst")), "l_orderkey").filter("src < dst")
-    networks = [linalg.adjacency(pairs.select("src", "dst"))] if joint else []
+    return linalg.adjacency(pairs.select("src", "dst"))
+
+
+def fused(t: Tables, networks: dict[str, DataFrame], chosen: list[tuple[str, ...]], k1: int = 4, k2: int = 3, max_iter: int = 1000) -> dict[str, factorize.Factors]:
+    """The fits of some combinations of networks with the suppliers' expression, from singular vectors to their stop rule."""
+    expression = materialize(supplier_expression(t), "expression")
+    networks = {name: materialize(a, "network") for name, a in networks.items()}
     genes, cells = expression.select(F.col("i").alias("gene")).distinct(), expression.select(F.col("j").alias("gene")).distinct()
-    first = factorize.svd_factor(networks or [expression], genes, k1)
-    second = factorize.svd_factor([expression], cells, k2, "v")
-    model = factorize.factorize(networks, expression, k1, k2, first, second, max_iter=turns)
+    return factorize.combined(networks, chosen, expression, genes, cells, k1, k2, max_iter)
+
+
+def nmtf_trace(t: Tables, joint: bool) -> DataFrame:
+    """iteration, error of a factorisation of the driver tables from singular vectors, to its stop rule."""
+    networks = {"orders": supplier_network(t)} if joint else {}
+    (model,) = fused(t, networks, [tuple(networks)]).values()
     return t.spark.createDataFrame([(i, round(e, 6)) for i, _, e in model.trace], "iteration int, error double")
 
 
+#: Orders of these priorities stand for the four networks.
+PRIORITIES = dict(zip(NETWORKS, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), strict=True))
+
+
+def p2_network_combinations(t: Tables) -> DataFrame:
+    """nets, iteration, error: all 16 combinations of four networks with the expression matrix."""
+    found = fused(t, {n: supplier_network(t, p) for n, p in PRIORITIES.items()}, combinations())
+    return t.spark.createDataFrame([(n, i, round(e, 6)) for n, f in found.items() for i, _, e in f.trace], "nets string, iteration int, error double")
+
+
 # -- bound to the driver's tables ------------------------------------------------------------------
 
 
@@ -188,6 +216,35 @@ def p1_condition_networks(t: Tables) -> DataFrame:
     return rounded(graph.density(own), density=9)
 
 
+def _suppliers_given(t: Tables, k: int) -> tuple[DataFrame, DataFrame]:
+    """The suppliers' expression, and the absolute singular vectors of their network as a given basis."""
+    expression = materialize(supplier_expression(t), "expression")
+    return expression, materialize(factorize.svd_factor([supplier_network(t)], expression.select(F.col("i").alias("gene")).distinct(), k), "basis")
+
+
+def partial_nmf(t: Tables) -> DataFrame:
+    """iteration, relative error: years in a basis of suppliers that is given."""
+    expression, basis = _suppliers_given(t, 4)
+    _, trace = factor_variants.partial_factor(expression, basis)
+    return t.spark.createDataFrame([(i, round(e, 6)) for i, _, e in trace], "iteration int, error double")
+
+
+def laplacian_nmf(t: Tables, turns: int = 20) -> DataFrame:
+    """iteration, error, term: years that follow each other are kept close by a Laplacian term."""
+    expression, basis = _suppliers_given(t, 4)
+    years = expression.select(F.col("j").alias("src"), (F.col("j") + 1).alias("dst")).distinct()
+    laplacian = graph.laplacian(years.join(years.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    _, _, trace = factor_variants.laplacian_factor(expression, laplacian, basis, 3, 0.1, max_iter=turns)
+    return t.spark.createDataFrame([(i, round(e, 6), round(x, 6)) for i, _, e, x in trace], "iteration int, error double, term double")
+
+
+def orthonormal_nmf(t: Tables, turns: int = 4) -> DataFrame:
+    """iteration, error: one basis for the suppliers' expression and two of their networks."""
+    networks = [materialize(supplier_network(t, p), "network") for p in list(PRIORITIES.values())[:2]]
+    _, trace = factor_variants.orthonormal_factor(supplier_expression(t), networks, 3, 4, max_iter=turns)
+    return t.spark.createDataFrame([(i, round(e, 4)) for i, e in trace], "iteration int, error double")
+
+
 def p4_best_run(t: Tables) -> DataFrame:
     parts = t.read("part").select("p_size", F.col("p_partkey").alias("gene"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("run"))
     assigned = parts.select("run", ((F.col("p_size") * (F.col("run") + 1) + F.col("run")) % 40).alias("cluster"), "gene")
@@ -288,6 +345,6 @@ def p19_robustness(t: Tables) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_condition_networks, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
+    p1_condition_networks, p2_network_combinations, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
     p12_shared_terms, p13_rank_selection, p14_nearest_baseline, p15_movement_baseline, p16_marker_test, p17_cross_validation, p18_masked_contribution, p19_robustness,
 )}

@@ -130,29 +130,6 @@ def test_nearest(spark):
     assert got == {0: (1.0, 1), 1: (0.0, 1), 2: (1.0, 1), 3: (0.0, 3), 4: (1.0, 3), 5: (2.0, 3)}
 
 
-def test_factorization_fits_planted_blocks(spark):
-    rng = np.random.default_rng(5)
-    g = np.repeat(np.eye(3), 6, axis=0)
-    a = g @ g.T + 0.05 * rng.random((18, 18))
-    a = (a + a.T) / 2
-    e = g @ rng.random((3, 8))
-    coo = lambda m: spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i int, j int, v double")
-    genes, cells = spark.range(18).select(F.col("id").cast("int").alias("gene")), spark.range(8).select(F.col("id").cast("int").alias("gene"))
-    model = factorize.factorize([coo(a)], coo(e), 3, 2, factorize.random_factor(genes, 3, 1), factorize.random_factor(cells, 2, 2), max_iter=10)
-    (_, first, _), (_, last, _) = model.trace
-    x = np.array([r["vec"] for r in model.g1.orderBy("gene").collect()])
-    assert last < first and (x > 0).all()
-    # The trace form equals the dense residual for the initial factors.
-    g1 = np.array([r["vec"] for r in factorize.random_factor(genes, 3, 1).orderBy("gene").collect()])
-    g2 = np.array([r["vec"] for r in factorize.random_factor(cells, 2, 2).orderBy("gene").collect()])
-    i1, i2 = np.linalg.inv(g1.T @ g1), np.linalg.inv(g2.T @ g2)
-    s, se = i1 @ g1.T @ a @ g1 @ i1, i1 @ g1.T @ e @ g2 @ i2
-    dense = ((a - g1 @ s @ g1.T) ** 2).sum() + ((e - g1 @ se @ g2.T) ** 2).sum()
-    assert first == pytest.approx(dense)
-    u, values, _ = linalg.truncated_svd(coo(a), 2)
-    assert values == pytest.approx(list(np.linalg.svd(a)[1][:2])) and u.count() == 18
-
-
 def test_clusters_and_folds(spark):
     points = spark.createDataFrame([(i, [float(i // 10 * 100 + i % 3), 1.0]) for i in range(30)], "gene int, vec array<double>")
     got, cost = cluster.k_means(points, 3, n_init=4)
@@ -201,7 +178,7 @@ def test_registered_jobs_are_whole(spark, monkeypatch):
     assert caught(cluster, "k_means", registry.QUERIES["kmeans"])["n_init"] == 10
     assert caught(cluster, "k_means", registry.QUERIES["p19_robustness"])["n_init"] == 10
     assert caught(cluster, "k_medoids", registry.QUERIES["kmedoids"])["max_iter"] is None
-    assert caught(factorize, "factorize", registry.QUERIES["nmtf_expr"])["max_iter"] == 1000
+    assert caught(factorize, "combined", registry.QUERIES["nmtf_expr"])["max_iter"] == 1000
 
 
 def test_k_medoids_are_medoids(spark):
