@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.stats import quantiles
+
 WHISKERS = (0.1587, 0.5, 0.8413)
 
 
 def percentiles(rows: DataFrame, value: str, shares=WHISKERS, by: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, as the columns p0, p1, ..."""
-    found = rows.groupBy(*(by or [])).agg(F.percentile(value, [float(s) for s in shares]).alias("_p"))
-    return found.select(*(by or []), *[F.col("_p")[k].alias(f"p{k}") for k in range(len(shares))])
+    found = quantiles(rows, value, [float(s) for s in shares], by)
+    return found.select(*(by or []), *[F.col("quantiles")[k].alias(f"p{k}") for k in range(len(shares))])
 
 
 def centre_and_spread(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -85,16 +87,21 @@ def comembership(assigned: DataFrame) -> DataFrame:
 
 
 def dispersion(assigned: DataFrame) -> DataFrame:
-    """One row, rho: the mean over ordered pairs of 4 (c - 1/2)^2, c the share of runs together.
+    """One row, rho: the mean over ordered pairs of genes of 4 (c - 1/2)^2, c the share of runs together.
 
-    Pairs that never meet give 1 each, so only pairs that meet are formed.
+    For genes that every run puts into one cluster. No pair of genes is formed:
+    the sum of c over pairs is that of squared cluster sizes, and the sum of c^2
+    that of squared cells of the contingency tables of all pairs of runs.
     """
-    sizes = assigned.agg(F.countDistinct("gene").cast("double").alias("g"), F.countDistinct("run").cast("double").alias("r"))
-    met = comembership(assigned).groupBy("runs").agg(F.count("*").alias("pairs"))
-    c = F.col("runs") / F.col("r")
-    return met.crossJoin(F.broadcast(sizes)).agg(  # one row
-        F.try_divide(F.max("g") * F.max("g") + 2 * F.sum(F.col("pairs") * (4 * (c - 0.5) * (c - 0.5) - 1)), F.max("g") * F.max("g")).alias("rho")
-    )
+    rows = assigned.select("run", "cluster", "gene").distinct()
+    sizes = rows.agg(F.count_distinct("gene").cast("double").alias("g"), F.count_distinct("run").cast("double").alias("r"))
+    once = rows.groupBy("run", "cluster").agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("s1"))
+    other = rows.select("gene", F.col("run").alias("run_b"), F.col("cluster").alias("cluster_b"))
+    cells = rows.join(other, "gene").groupBy("run", "run_b", "cluster", "cluster_b").agg(F.count("*").cast("double").alias("n"))
+    twice = cells.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("s2"))
+    met = sizes.crossJoin(F.broadcast(once)).crossJoin(F.broadcast(twice))  # one row each
+    pairs, r = F.col("g") * F.col("g"), F.col("r")
+    return met.select(F.try_divide(pairs + 4 * F.try_divide(F.col("s2"), r * r) - 4 * F.try_divide(F.col("s1"), r), pairs).alias("rho"))
 
 
 def rand_index(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.stats import rows_before
+
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("gene").distinct().join(b.select("gene"), "gene", "left_semi")
@@ -62,12 +64,10 @@ def leave_one_out(named: DataFrame, names: list) -> DataFrame:
 def top_n(rows: DataFrame, n: DataFrame, by: str, descending: bool = True, tie: str = "gene") -> DataFrame:
     """The first n rows by value; n is a one-row frame (the size of another set).
 
-    The cut value comes from counts by value, so only the ties at the cut are ordered.
+    The cut value comes from counts by value, sorted by sections, so only the ties at the cut are ordered.
     """
     counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    order = F.desc(by) if descending else F.asc(by)
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    cut = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cut = rows_before(counts, by, "_n", descending=descending)
     met = rows.join(cut, by).crossJoin(F.broadcast(n.toDF("_want")))  # one row
     tied = Window.partitionBy(by).orderBy(tie)
     whole = met.filter(F.col("_before") + F.col("_n") <= F.col("_want"))

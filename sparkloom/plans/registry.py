@@ -397,7 +397,7 @@ def top10(t):
 
 @query("SELECT p_partkey AS gene FROM part WHERE p_retailprice <= (SELECT quantile_cont(p_retailprice, 0.05) FROM part) OR p_retailprice >= (SELECT quantile_cont(p_retailprice, 0.95) FROM part)")
 def percentile_cut(t):
-    cut = t.read("part").agg(F.percentile("p_retailprice", [0.05, 0.95]).alias("c"))
+    cut = stats.quantiles(t.read("part"), "p_retailprice", [0.05, 0.95]).select(F.col("quantiles").alias("c"))
     return t.read("part").crossJoin(F.broadcast(cut)).filter((F.col("p_retailprice") <= F.col("c")[0]) | (F.col("p_retailprice") >= F.col("c")[1])).select(F.col("p_partkey").alias("gene"))  # one row
 
 

@@ -97,3 +97,51 @@ def test_exact_u_by_group(spark):
         assert got["small"]["p"] == pytest.approx(sum(x >= u for x in every) / len(every))
         for g in ("tied", "large"):
             assert got[g]["p"] == pytest.approx(math.erfc(got[g]["z"] / math.sqrt(2)) / 2)
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k % 3, rng.choice([rng.gauss(0, 1), rng.lognormvariate(0, 9), 5.0, 5.0, -1e300])) for k in range(3000)] + [(None, 1.5), (None, 2.5), (7, None), (8, float("inf")), (8, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    points = [0.0, 0.05, 0.5, 0.9, 1.0]
+    monkeypatch.setattr(stats, "SORTED_ROWS", 40)
+    got = {r["g"]: (r["n"], r["quantiles"]) for r in stats.quantiles(df, "v", points, ["g"]).collect()}
+    assert set(got) == {0, 1, 2, None, 8}
+    for g, (n, found) in got.items():
+        mine = sorted(v for h, v in rows if h == g and v is not None)
+        assert n == len(mine)
+        for p, x in zip(points, found, strict=True):
+            low = math.floor(p * (n - 1))
+            high = math.ceil(p * (n - 1))
+            if mine[low] == mine[high]:
+                assert x == mine[low]
+            elif g != 8:  # there, between 1 and infinity
+                assert x == pytest.approx(mine[low] + (mine[high] - mine[low]) * (p * (n - 1) - low))
+    whole = sorted(v for _, v in rows if v is not None)
+    (one,) = stats.quantiles(df, "v", [0.25]).collect()
+    low = (len(whole) - 1) // 4
+    assert one["n"] == len(whole) and one["quantiles"][0] == pytest.approx(whole[low] + (whole[low + 1] - whole[low]) * ((len(whole) - 1) / 4 - low))
+    assert stats.quantiles(df.filter("v > 1e301 and g = 1"), "v", [0.5], ["g"]).count() == 0
+
+
+def test_ranks_over_a_whole_table(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([float(rng.randint(0, 40)), rng.random() * 1e6, -3.0])) for i in range(2000)]
+    got = {r["id"]: r["avg_rank"] for r in stats.average_ranks(spark.createDataFrame(rows, "id int, v double"), "v").collect()}
+    ordered = sorted(v for _, v in rows)
+    first, last = {}, {}
+    for k, v in enumerate(ordered, 1):
+        first.setdefault(v, k)
+        last[v] = k
+    assert got == {i: (first[v] + last[v]) / 2 for i, v in rows}
+    plan = stats.average_ranks(spark.createDataFrame(rows, "id int, v double"), "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_section" in line for line in plan.splitlines() if "Window" in line)
+
+
+@pytest.mark.parametrize("cells", [(10**7, 5 * 10**6, 4 * 10**6, 2 * 10**6 + 900), (10**7, 5 * 10**6, 4 * 10**6, 10**6), (2000, 1000, 900, 480), (5000, 3, 4000, 2)])
+def test_tails_of_many_terms(spark, cells):
+    M, K, N, X = cells
+    ln = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    expected = sum(math.exp(ln(K, x) + ln(M - K, N - x) - ln(M, N)) for x in range(X, min(K, N, X + 60_000) + 1)) if X > 1_500_000 or M < 10**6 else 1.0
+    p = spark.range(1).select(stats.hypergeom_sf(*[F.lit(x) for x in cells]).alias("p")).first()["p"]
+    assert p == pytest.approx(expected, rel=1e-5)
