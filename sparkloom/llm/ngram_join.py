@@ -63,6 +63,8 @@ SMALL_ROWS = 250_000
 LOCAL_EDGES = 1_000_000
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 16
 _powers: list = []
 
 
@@ -105,9 +107,12 @@ def hashed_words(data: bytes):
     """The 64-bit hash and the start of every word of some text.
 
     A word's hash is a polynomial in its bytes' random values, taken from one
-    running sum over the text, and scrambled; no word becomes an object.
+    running sum over the text, and scrambled; no word becomes an object. Modulo
+    2 ** 64 such polynomials agree on certain long words whatever the values
+    are, so words of more than ``LONG_WORD`` bytes get XXH64 of their bytes.
     """
     import numpy as np
+    from xxhash import xxh64_intdigest
 
     values, blank = byte_tables()
     octets = np.frombuffer(data, dtype=np.uint8)
@@ -119,7 +124,10 @@ def hashed_words(data: bytes):
     up, down = powers(len(octets) + 1)
     total = np.zeros(len(octets) + 1, dtype=np.uint64)
     np.cumsum(values[octets] * up[:-1], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+    hashes = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[k] = xxh64_intdigest(data[start[k] : end[k]].lower())  # of bytes: A-Z only
+    return hashes, start
 
 
 def pieces_of(text: bytes, size: int = PIECE_BYTES):

@@ -6,11 +6,15 @@ capacity, so a histogram of at most ``capacity`` counts describes all pieces
 however many there are, and the packing is planned on it alone:
 
 1. full pieces fill a sequence each;
-2. linear grouping: large lengths, longest first, fall into ``GROUPS`` groups
-   of equal cardinality, each rounded up to its longest member;
-3. configurations over these few sizes are found by dynamic programming, the
-   fullest one that holds the longest size left, and used as often as the
-   counts allow;
+2. linear grouping: large lengths, longest first, fall into groups of equal
+   cardinality, each rounded up to its longest member; a length that would
+   fill a group by itself is one, so few-valued lengths are not rounded;
+3. the numbers of configurations over these few sizes are optimised together
+   (the linear programme of the cutting-stock problem, by column generation
+   with a knapsack as its pricing step) and rounded down; what is left takes
+   the configurations with the largest fractions that still fit, then the
+   fullest ones. A plan of fullest configurations alone is made, too, and the
+   plan with fewest sequences wins;
 4. actual lengths take the rounded places, so sequences get more room left;
 5. small lengths, longest first, go best-fit into the sequence with the least
    room that still takes them, or into new ones.
@@ -42,6 +46,8 @@ CAPACITY = 2048
 GROUPS = 128
 #: Lengths up to capacity / s are small; each s is planned, the fewest sequences win.
 SMALL = (2, 3, 4)
+#: The same where configurations are optimised together, and the groups there.
+OPTIMISED, OPTIMISED_GROUPS = (2, 4, 8, 20), 64
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 
@@ -73,23 +79,85 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
 
 def equal_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(rounded length, [(length, count)]), longest first, of about equal cardinality."""
+    """(rounded length, [(length, count)]), longest first, of about equal cardinality; frequent lengths alone."""
     per = max(1, -(-sum(counts.values()) // groups))
+    alone = 1 if len(counts) <= groups else per
     out, members, room = [], [], per
+
+    def close():
+        nonlocal members, room
+        if members:
+            out.append((members[0][0], members))
+        members, room = [], per
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
+        if left >= alone:
+            close()
+            out.append((length, [(length, left)]))
+            continue
         while left:
             n = min(left, room)
             members.append((length, n))
             left, room = left - n, room - n
             if not room:
-                out.append((members[0][0], members))
-                members, room = [], per
-    if members:
-        out.append((members[0][0], members))
+                close()
+    close()
     return out
 
 
+def priced(sizes, worth, capacity: int) -> tuple[float, list[int]]:
+    """The configuration of greatest worth, by the number of pieces in it."""
+    import numpy as np
+
+    best, chosen = np.zeros(capacity + 1), []
+    room = np.arange(capacity + 1)[:, None] - sizes[None, :]
+    fits = room >= 0
+    for _ in range(capacity // int(sizes.min())):
+        gain = np.where(fits, best[np.maximum(room, 0)] + worth, -1.0)
+        k = gain.argmax(axis=1)
+        new = gain[np.arange(capacity + 1), k]
+        k[new <= best + 1e-12] = -1  # one more piece is worth nothing here
+        if (k < 0).all():
+            break
+        chosen.append(k)
+        best = np.where(k >= 0, new, best)
+    used, r = [0] * len(sizes), capacity
+    for k in reversed(chosen):
+        if k[r] >= 0:
+            used[k[r]] += 1
+            r -= int(sizes[k[r]])
+    return float(best[capacity]), used
+
+
+def optimised(sizes: list[int], demand: list[int], capacity: int, steps: int = 10) -> list[tuple[list[int], float]]:
+    """Configurations and how often each is used, with fewest sequences in all (fractions allowed).
+
+    Revised simplex: the basis starts with configurations of one size each; the
+    knapsack over the dual prices finds what to bring in, until no plan can
+    have fewer sequences by more than a fraction of one, or a ten-thousandth,
+    or ``steps`` times the number of sizes have been taken (every basis is a
+    plan). Demands differ by tiny amounts meanwhile, so that steps do not stall.
+    """
+    import numpy as np
+
+    if not sizes:
+        return []
+    s, d = np.array(sizes), np.array(demand) * (1 + 1e-5 * np.random.default_rng(0).random(len(sizes)))
+    basis = np.diag((capacity // s).astype(float))  # a column for each configuration
+    for _ in range(steps * len(sizes)):
+        prices = np.linalg.solve(basis.T, np.ones(len(s)))
+        worth, new = priced(s, prices, capacity)
+        value = prices @ d
+        if value - value / worth < max(0.2, 1e-4 * value):  # no plan has fewer sequences than value / worth
+            break
+        x, step = np.linalg.solve(basis, d), np.linalg.solve(basis, np.array(new, dtype=float))
+        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(ratio.argmin())] = new
+    x = np.maximum(np.linalg.solve(basis, np.array(demand, dtype=float)), 0)
+    return [([int(round(v)) for v in basis[:, c]], float(x[c])) for c in range(len(s)) if x[c] > 1e-9]
+
+
 def fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
     """Counts of the fullest configuration that holds the first size left."""
     first = next(k for k, n in enumerate(left) if n)
@@ -163,11 +231,16 @@ class Plan:
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[int, ...] = SMALL) -> tuple[list[tuple], int]:
     """(length, first rank, first sequence, count, offset) entries, and how many sequences."""
-    return min((plan_with(counts, capacity, groups, s) for s in small), key=lambda plan: plan[1])
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best = min((plan_with(counts, capacity, groups, s, False) for s in small), key=lambda plan: plan[1])
+    for s in OPTIMISED:
+        if best[1] > least:  # else nothing is better
+            best = min(best, plan_with(counts, capacity, min(groups, OPTIMISED_GROUPS), s, True), key=lambda plan: plan[1])
+    return best
 
 
-def plan_with(counts: dict[int, int], capacity: int, groups: int, small: int) -> tuple[list[tuple], int]:
-    """The plan if lengths above ``capacity // small`` are large."""
+def plan_with(counts: dict[int, int], capacity: int, groups: int, small: int, together: bool) -> tuple[list[tuple], int]:
+    """The plan if lengths above ``capacity // small`` are large; ``together``: configurations are optimised first."""
     made = Plan(capacity)
     if counts.get(capacity):
         made.place(capacity, made.new(counts[capacity]), capacity)
@@ -176,9 +249,8 @@ def plan_with(counts: dict[int, int], capacity: int, groups: int, small: int) ->
     sizes = [size for size, _ in grouped]
     stock = [list(members) for _, members in grouped]
     left = [sum(n for _, n in members) for members in stock]
-    while any(left):
-        used = fullest(sizes, left, capacity)
-        times = min(n // u for n, u in zip(left, used, strict=True) if u)
+
+    def use(used, times):
         runs = [(capacity, *made.new(times))]
         for k, u in enumerate(used):
             left[k] -= u * times
@@ -186,6 +258,19 @@ def plan_with(counts: dict[int, int], capacity: int, groups: int, small: int) ->
                 runs = fill(made, runs, stock[k])
         for room, start, count in runs:
             made.keep(room, (start, count))
+
+    if together:
+        found = optimised(sizes, left, capacity)
+        for used, times in found:
+            times = min(int(times + 1e-6), *[n // u for n, u in zip(left, used, strict=True) if u])
+            if times:
+                use(used, times)
+        for used, times in sorted(found, key=lambda f: (f[1] + 1e-6) % 1, reverse=True):
+            if times - int(times + 1e-6) > 0.01 and all(u <= n for u, n in zip(used, left, strict=True)):
+                use(used, 1)
+    while any(left):
+        used = fullest(sizes, left, capacity)
+        use(used, min(n // u for n, u in zip(left, used, strict=True) if u))
     for length in sorted((x for x in counts if x <= capacity // small), reverse=True):
         made.best_fit(length, counts[length])
     return made.entries, made.n

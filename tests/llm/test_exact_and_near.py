@@ -96,6 +96,33 @@ def near_rows(seed, n, bases, edits):
     return rows
 
 
+def test_words_that_agree_in_polynomials():
+    first, other = "a", "b"
+    for _ in range(10):  # Thue-Morse words of 1,024 letters
+        first, other = first + other, other + first
+    plain = ["x y z", "u v"]
+    hashes = {int(ngram_join.hashed_words(w.encode())[0][0]) for w in (first, other, first.upper(), "ab" * 512)}
+    assert len(hashes) == 3
+    a, b, c = ngram_join.shingle_sets([f"{plain[0]} {w} {plain[1]}".encode() for w in (first, other, first.upper())])
+    assert len(a) == 2 and not set(a.tolist()) & set(b.tolist()) and (a == c).all()
+    words = [bytes([97 + i % 26]) * n for i, n in enumerate(range(1, 60))]
+    assert len(set(ngram_join.hashed_words(b" ".join(words))[0].tolist())) == len(words)
+
+
+def test_long_texts_by_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60_000)]
+    base = [rng.choice(words) for _ in range(70_000)]
+    near = list(base)
+    for _ in range(900):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(base), "en", "a", 1), (2, "\n".join(near), "en", "a", 1), (3, " ".join(base[:40_000]), "en", "a", 1), (4, "x" * 300_000 + " tail", "en", "a", 1), (5, "X" * 300_000 + "  tail", "en", "a", 1)]
+    assert all(len(r[1]) > ngram_join.PIECE_BYTES for r in rows[:2])
+    assert ngram_join.shingle_sets([rows[0][1].encode()])[0].tolist() == next(iter(ngram_join.of_words(np.concatenate([ngram_join.hashed_words(w.encode())[0] for w in base]), np.array([0, len(base)]), 5))).tolist()
+    found = ngram_join.similarity_classes(spark.createDataFrame(rows, DOC_SCHEMA))
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute_near(rows)
+
+
 @pytest.mark.parametrize("seed,edits", [(1, 1), (2, 4)])
 def test_near_copies_match_brute_force(spark, seed, edits):
     rows = near_rows(seed, 150, 6, edits)

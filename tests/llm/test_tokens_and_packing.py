@@ -82,6 +82,24 @@ def test_plans_are_valid_and_tight():
     assert check_plan(counts, 2048, packing.GROUPS) <= 1.01 * least
 
 
+def test_configurations_are_optimised_together():
+    for n in (1, 20, 300):
+        assert check_plan({1034: 6 * n, 532: 6 * n, 522: 6 * n, 492: 12 * n}, 2048, packing.GROUPS) == 9 * n
+    rng = random.Random(1)
+    for parts, kinds in ((3, 5), (4, 5), (3, 20)):
+        counts = {}
+        for _ in range(kinds):
+            cuts = sorted(rng.sample(range(4, 77), parts - 1))
+            for a, b in zip([0, *cuts], [*cuts, 80], strict=True):
+                size = (b - a) * 25 + (48 if b == 80 else 0)
+                counts[size] = counts.get(size, 0) + 100
+        assert check_plan(counts, 2048, packing.GROUPS) <= 1.01 * 100 * kinds
+    for _ in range(10):
+        counts = {rng.randint(100, 2048): rng.randint(1, 80) for _ in range(40)}
+        greedy = min(packing.plan_with(counts, 2048, packing.GROUPS, s, False)[1] for s in packing.SMALL)
+        assert check_plan(counts, 2048, packing.GROUPS) <= greedy
+
+
 def test_pack_documents(odd, odd_rows, clashing, empty):
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
     found = packing.pack_documents(clashing, capacity=64)
