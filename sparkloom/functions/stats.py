@@ -222,8 +222,13 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: list[str] | None = No
     only counts by distinct value are sorted. In a group without ties whose
     smaller sample has 1 to 8 members p is from the exact distribution.
     """
+    counts = df.groupBy(*(by or []), value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
+    return mann_whitney_counts(counts, value, by, alternative)
+
+
+def mann_whitney_counts(counts: DataFrame, value: str, by: list[str] | None = None, alternative: str = "greater") -> DataFrame:
+    """``mann_whitney`` from the counts a and b of both samples by distinct value; ``alternative`` may be two-sided here (always by the normal approximation)."""
     keys = list(by or [])
-    counts = df.groupBy(*keys, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
     t = F.col("a") + F.col("b")
     placed = rows_before(counts.withColumn("t", t), value, "t", keys).withColumn("r", F.col("_before") + (t + 1) / 2)
     sums = placed.groupBy(*keys).agg(
@@ -232,9 +237,11 @@ def mann_whitney(df: DataFrame, value: str, side: str, by: list[str] | None = No
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    u = u1 if alternative == "greater" else n1 * n2 - u1
+    u = F.greatest(u1, n1 * n2 - u1) if alternative == "two-sided" else u1 if alternative == "greater" else n1 * n2 - u1
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
     z = F.try_divide(u - n1 * n2 / 2 - 0.5, sd)
+    if alternative == "two-sided":
+        return sums.select(*keys, "n1", "n2", u1.alias("u1"), z.alias("z"), F.least(2 * normal_sf(z), F.lit(1.0)).alias("p"))
     exact = F.udf(_small_u_tail, "double")("n1", "n2", u, "ties")  # on one row a group
     return sums.select(*keys, "n1", "n2", u1.alias("u1"), z.alias("z"), F.coalesce(exact, normal_sf(z)).alias("p"))
 

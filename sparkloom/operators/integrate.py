@@ -65,15 +65,15 @@ def nonnegative_rows(gram, right):
     return np.maximum(x, 0)
 
 
-def variable_genes(counts: DataFrame, spread: float = 0.1, alpha: float = 0.99) -> DataFrame:
+def variable_genes(counts: DataFrame, spread: float = 0.1, alpha: float = 0.99, raw: DataFrame | None = None) -> DataFrame:
     """gene: those of some dataset whose variance is above what their mean explains; ``counts`` (dataset, gene, cell, value), zeros left out.
 
-    With c the mean of 1 / (a cell's total), a gene is kept if var / c is above
+    With c the mean of 1 / (a cell's total in ``raw``, or in ``counts``), a gene is kept if var / c is above
     the upper bound of its mean, and log10 var above log10 mean + log10 c + ``spread``.
     """
     from statistics import NormalDist
 
-    per_cell = counts.groupBy("dataset", "cell").agg(F.sum("value").alias("total"))
+    per_cell = (counts if raw is None else raw).groupBy("dataset", "cell").agg(F.sum("value").alias("total"))
     sizes = per_cell.filter("total > 0").groupBy("dataset").agg(F.avg(1 / F.col("total")).alias("c"), F.count("*").alias("n"))
     moments = counts.groupBy("dataset", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     n_genes = moments.groupBy("dataset").agg(F.count("*").alias("m")).collect()  # one row a dataset
@@ -201,7 +201,7 @@ def quantile_aligned(cells: DataFrame, reference: str | None = None, n_quantiles
     maps = curves.filter(F.col("dataset") != reference).select("dataset", "cluster", "factor", F.col("quantiles").alias("from")).join(target, ["cluster", "factor"])
     joined = labelled.join(F.broadcast(maps), ["dataset", "cluster", "factor"], "left")
     flat = (F.array_min("from") == F.array_max("from")) | (F.array_min("to") == F.array_max("to"))
-    # The last point at or below the value; ties of the curve count once, as the first of them.
+    # The last point at or below the value; of equal points of a curve the last one counts.
     at = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(n_quantiles)), lambda q: F.get("from", q) <= F.col("value")))
     x0, x1, y0, y1 = (F.get(c, a) for c in ("from", "to") for a in (at, at + 1))
     moved = F.when(at.isNull(), F.get("to", F.lit(0))).when((at == n_quantiles) | (x1 == x0), y0).otherwise(y0 + (F.col("value") - x0) / (x1 - x0) * (y1 - y0))
