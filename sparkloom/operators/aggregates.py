@@ -86,22 +86,24 @@ def comembership(assigned: DataFrame) -> DataFrame:
     return a.join(b, ["run", "cluster"]).filter("i < j").groupBy("i", "j").agg(F.countDistinct("run").alias("runs"))
 
 
-def dispersion(assigned: DataFrame) -> DataFrame:
-    """One row, rho: the mean over ordered pairs of genes of 4 (c - 1/2)^2, c the share of runs together.
+def dispersion(assigned: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by`` and rho: the mean over ordered pairs of genes of 4 (c - 1/2)^2, c the share of runs together.
 
     For genes that every run puts into one cluster. No pair of genes is formed:
     the sum of c over pairs is that of squared cluster sizes, and the sum of c^2
     that of squared cells of the contingency tables of all pairs of runs.
     """
-    rows = assigned.select("run", "cluster", "gene").distinct()
-    sizes = rows.agg(F.count_distinct("gene").cast("double").alias("g"), F.count_distinct("run").cast("double").alias("r"))
-    once = rows.groupBy("run", "cluster").agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("s1"))
-    other = rows.select("gene", F.col("run").alias("run_b"), F.col("cluster").alias("cluster_b"))
-    cells = rows.join(other, "gene").groupBy("run", "run_b", "cluster", "cluster_b").agg(F.count("*").cast("double").alias("n"))
-    twice = cells.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("s2"))
-    met = sizes.crossJoin(F.broadcast(once)).crossJoin(F.broadcast(twice))  # one row each
+    keys = list(by or [])
+    rows = assigned.select(*keys, "run", "cluster", "gene").distinct()
+    sizes = rows.groupBy(*keys).agg(F.count_distinct("gene").cast("double").alias("g"), F.count_distinct("run").cast("double").alias("r"))
+    square = F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))
+    once = rows.groupBy(*keys, "run", "cluster").agg(F.count("*").cast("double").alias("n")).groupBy(*keys).agg(square.alias("s1"))
+    other = rows.select(*keys, "gene", F.col("run").alias("run_b"), F.col("cluster").alias("cluster_b"))
+    cells = rows.join(other, [*keys, "gene"]).groupBy(*keys, "run", "run_b", "cluster", "cluster_b").agg(F.count("*").cast("double").alias("n"))
+    twice = cells.groupBy(*keys).agg(square.alias("s2"))
+    met = sizes.join(once, keys).join(twice, keys) if keys else sizes.crossJoin(F.broadcast(once)).crossJoin(F.broadcast(twice))  # one row each
     pairs, r = F.col("g") * F.col("g"), F.col("r")
-    return met.select(F.try_divide(pairs + 4 * F.try_divide(F.col("s2"), r * r) - 4 * F.try_divide(F.col("s1"), r), pairs).alias("rho"))
+    return met.select(*keys, F.try_divide(pairs + 4 * F.try_divide(F.col("s2"), r * r) - 4 * F.try_divide(F.col("s1"), r), pairs).alias("rho"))
 
 
 def rand_index(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -189,12 +189,12 @@ def gathered(parts: DataFrame, n_own: int, widths: dict[int, int], finish: Calla
     return parts.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, PARTS)
 
 
-def summed(parts: DataFrame, size: int):
-    """The vector of ``size`` numbers that the tasks' SUMS rows of a written table add up to."""
+def summed(parts: DataFrame, size: int, tasks: int | None = None):
+    """The vector of ``size`` numbers that the SUMS rows of some tasks (by default, of a written table's) add up to."""
     import numpy as np
 
     rows = parts.filter(F.col("kind") == SUMS).select("data")
-    if len(parts.inputFiles()) * size * 8 > DIRECT_BYTES:
+    if (len(parts.inputFiles()) if tasks is None else tasks) * size * 8 > DIRECT_BYTES:
         def add(batches):
             import pyarrow as pa
 

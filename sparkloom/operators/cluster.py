@@ -7,12 +7,20 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.lloyd import cluster_all
+
 
 def k_means(points: DataFrame, k: int, n_init: int = 10, seed: int = 1, init: str = "random", max_iter: int = 300) -> tuple[DataFrame, float]:
-    """(gene, cluster) of the cheapest of ``n_init`` runs, and its cost.
+    """(gene, cluster) of the cheapest of ``n_init`` restarts, and its cost.
 
-    ``points`` (gene, vec). The key goes along, so equal vectors are never confused.
+    ``points`` (gene, vec). The key goes along, so equal vectors are never
+    confused. All restarts share their passes (see ``lloyd``); another
+    ``init`` than random is MLlib's, restart after restart.
     """
+    if init == "random":
+        width = len(points.select("vec").first()["vec"])
+        found, costs = cluster_all([points], [width], [(0, k, 0)], n_init, seed, max_iter)
+        return found.select("gene", "cluster"), costs[0]
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -27,13 +35,10 @@ def k_means(points: DataFrame, k: int, n_init: int = 10, seed: int = 1, init: st
     return out, cost
 
 
-def repeated_k_means(points: DataFrame, k: int, runs: int = 10, n_init: int = 10, seed: int = 1, init: str = "random") -> DataFrame:
-    """run, cluster, gene of independent clusterings."""
-    out = None
-    for run in range(runs):
-        one = k_means(points, k, n_init, seed + 1000 * run, init)[0].withColumn("run", F.lit(run))
-        out = one if out is None else out.unionByName(one)
-    return out.select("run", "cluster", "gene")
+def repeated_k_means(points: DataFrame, k: int, runs: int = 10, n_init: int = 10, seed: int = 1) -> DataFrame:
+    """run, cluster, gene of independent clusterings, in the same passes."""
+    width = len(points.select("vec").first()["vec"])
+    return cluster_all([points], [width], [(0, k, run) for run in range(runs)], n_init, seed)[0]
 
 
 def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import stats
 from sparkloom.functions.vectors import euclidean
-from sparkloom.operators import aggregates, cluster, enrichment, factor_variants, factorize, graph, integrate, linalg, movement, relational, resample, sets
+from sparkloom.operators import aggregates, enrichment, factor_variants, factorize, graph, integrate, linalg, lloyd, movement, relational, resample, sets
 from sparkloom.plans.bindings import Tables
 from sparkloom.session import materialize
 
@@ -35,9 +35,16 @@ def condition_network(edges: DataFrame, walk: DataFrame, backbone: DataFrame, ex
     return own, active.join(kept, "gene", "left_semi")
 
 
-def clusterings(embeddings: DataFrame, runs: int, k: int, n_init: int = 10) -> DataFrame:
-    """run, cluster, gene of repeated k-means on the rows of a factor."""
-    return cluster.repeated_k_means(embeddings, k, runs, n_init)
+def clusterings(embeddings: dict[str, DataFrame], widths: dict[str, int], runs: int = 10, n_init: int = 10, seed: int = 1) -> DataFrame:
+    """nets, run, cluster, gene of repeated k-means on the rows of each factor, with as many clusters as it has columns.
+
+    The factors have the same genes; all runs and restarts of all of them share
+    their passes.
+    """
+    names = list(embeddings)
+    plans = [(i, widths[n], f"{n}/{run}") for i, n in enumerate(names) for run in range(runs)]
+    found, _ = lloyd.cluster_all([embeddings[n] for n in names], [widths[n] for n in names], plans, n_init, seed)
+    return found.select(F.substring_index("run", "/", 1).alias("nets"), F.substring_index("run", "/", -1).cast("int").alias("run"), "cluster", "gene")
 
 
 def best_enriched_run(assigned: DataFrame, known: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -246,6 +253,34 @@ def p1_condition_networks(t: Tables) -> DataFrame:
     return rounded(graph.density(own), density=9)
 
 
+def p3_clusterings(t: Tables) -> DataFrame:
+    """nets, run, clusters, genes, largest: ten clusterings of the suppliers' embedding of each combination of networks."""
+    found = fused(t, {n: supplier_network(t, p) for n, p in PRIORITIES.items()}, combinations())
+    assigned = clusterings({n: f.g1 for n, f in found.items()}, {n: f.s_expression.shape[0] for n, f in found.items()})
+    sizes = assigned.groupBy("nets", "run", "cluster").agg(F.count("*").alias("n"))
+    return sizes.groupBy("nets", "run").agg(F.count("*").alias("clusters"), F.sum("n").alias("genes"), F.max("n").alias("largest"))
+
+
+def p13_fitted_ranks(t: Tables) -> DataFrame:
+    """nets, k1, k2, rho, rank: dispersion of ten clusterings of both factors over a grid of sizes, fitted together."""
+    expression, network = materialize(supplier_expression(t), "expression"), materialize(supplier_network(t), "network")
+    genes, cells = expression.select(F.col("i").alias("gene")).distinct(), expression.select(F.col("j").alias("gene")).distinct()
+    grid = [(k1, k2) for k1 in (3, 4, 5) for k2 in (2, 3)]
+    models = [factorize.Model(f"{a} {b}", (0,), a, b) for a, b in grid]
+    left, right = factorize.svd_pair(expression, genes, cells, max(a for a, _ in grid))
+    cut = lambda f, k: f.select("gene", F.slice("vec", 1, k).alias("vec"))
+    fits = factorize.fit(models, [network], expression, [cut(left, a) for a, _ in grid], [cut(right, b) for _, b in grid])
+    rows = None
+    for side, of in (("rho_g1", [f.g1 for f in fits]), ("rho_g2", [f.g2 for f in fits])):
+        sizes = {m.name: (m.k1 if side == "rho_g1" else m.k2) for m in models}
+        assigned = clusterings({m.name: f for m, f in zip(models, of, strict=True)}, sizes)
+        found = aggregates.dispersion(assigned, ["nets"]).withColumnRenamed("rho", side)
+        rows = found if rows is None else rows.join(found, "nets")
+    split = F.split("nets", " ")
+    table = rows.select(F.lit("orders").alias("nets"), split[0].cast("int").alias("k1"), split[1].cast("int").alias("k2"), "rho_g1", "rho_g2")
+    return rounded(rank_selection(table), rho=6)
+
+
 def _suppliers_given(t: Tables, k: int) -> tuple[DataFrame, DataFrame]:
     """The suppliers' expression, and the absolute singular vectors of their network as a given basis."""
     expression = materialize(supplier_expression(t), "expression")
@@ -374,15 +409,13 @@ def p18_masked_contribution(t: Tables) -> DataFrame:
 
 def p19_robustness(t: Tables) -> DataFrame:
     """Median and spread of Rand indices over clusterings of several sizes."""
-    assigned = None
-    for run, k in enumerate((8, 10, 12)):
-        one = cluster.k_means(t.vectors(), k, n_init=10, seed=100 * run)[0].withColumn("run", F.lit(run))
-        assigned = one if assigned is None else assigned.unionByName(one)
+    width = len(t.vectors().select("vec").first()["vec"])
+    assigned, _ = lloyd.cluster_all([t.vectors()], [width], [(0, k, run) for run, k in enumerate((8, 10, 12))], n_init=10, seed=100)
     pairs = aggregates.run_pairs_rand(assigned.select("run", "cluster", "gene"))
     return aggregates.centre_and_spread(pairs.withColumn("_all", F.lit("all")).withColumnRenamed("_all", "which"), "rand", ["which"])
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_condition_networks, p2_network_combinations, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
+    p1_condition_networks, p2_network_combinations, p3_clusterings, p13_fitted_ranks, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
     p12_shared_terms, p13_rank_selection, p14_nearest_baseline, p15_movement_baseline, p16_marker_test, p16_integrated_markers, p17_cross_validation, p18_masked_contribution, p19_robustness,
 )}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import stats
-from sparkloom.operators import aggregates, cluster, enrichment, factorize, graph, linalg, movement, relational, resample, sets
+from sparkloom.operators import aggregates, cluster, enrichment, factorize, graph, linalg, lloyd, movement, relational, resample, sets
 
 
 def edges_of(spark, pairs):
@@ -176,7 +176,7 @@ def test_registered_jobs_are_whole(spark, monkeypatch):
     got = caught(resample, "permutation_test", registry.QUERIES["permutation_p"])
     assert len(got["pools"]) == 7 and got["reps"] == 10_000 and got["shared"] <= min(got["pools"])
     assert caught(cluster, "k_means", registry.QUERIES["kmeans"])["n_init"] == 10
-    assert caught(cluster, "k_means", registry.QUERIES["p19_robustness"])["n_init"] == 10
+    assert caught(lloyd, "cluster_all", registry.QUERIES["p19_robustness"])["n_init"] == 10
     assert caught(cluster, "k_medoids", registry.QUERIES["kmedoids"])["max_iter"] is None
     assert caught(factorize, "combined", registry.QUERIES["nmtf_expr"])["max_iter"] == 1000
 
@@ -211,3 +211,39 @@ def test_adjusted_p_values_by_brute_force(spark):
     each = {f: brute([r[2] for r in rows if r[1] == f]) for f in (0, 1)}
     found = stats.adjusted_bh(df, "p", ["family"]).collect()
     assert len(found) == 120 and all(abs(r["p_adj"] - each[r["family"]][r["p"]]) < 1e-12 for r in found)
+
+
+def test_restarts_and_runs_share_passes(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(5, 3)) * 20
+    x = middle[rng.integers(0, 5, 300)] + rng.normal(size=(300, 3))
+    y = rng.normal(size=(300, 2))
+    rows = lambda m: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "gene int, vec array<double>")
+    found, costs = lloyd.cluster_all([rows(x), rows(y)], [3, 2], [(0, 5, "x/0"), (0, 5, "x/1"), (1, 3, "y/0"), (1, 400, "y/1")], n_init=6)
+    got = defaultdict(dict)
+    for r in found.collect():
+        got[r["run"]][r["gene"]] = r["cluster"]
+    assert set(got) == set(costs) == {"x/0", "x/1", "y/0", "y/1"} and all(len(g) == 300 for g in got.values())
+    assert costs["y/1"] == pytest.approx(0, abs=1e-9)  # more clusters than points
+    for run, g in got.items():
+        points, own = (x if run[0] == "x" else y), np.array([g[i] for i in range(300)])
+        centres = {c: points[own == c].mean(axis=0) for c in set(own.tolist())}
+        d = np.array([[((p - m) ** 2).sum() for m in centres.values()] for p in points])
+        assert (np.array(list(centres))[d.argmin(axis=1)] == own).mean() > 0.99  # Lloyd has come to rest
+        assert costs[run] == pytest.approx(sum(((points[own == c] - m) ** 2).sum() for c, m in centres.items()), rel=1e-6, abs=1e-9)
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ready = rows(x).select(array_to_vector("vec").alias("features"))
+    theirs = min(KMeans(k=5, seed=s, initMode="random", maxIter=300).fit(ready).summary.trainingCost for s in range(3))
+    assert min(costs["x/0"], costs["x/1"]) <= theirs * 1.001
+
+
+def test_dispersion_by_pairs(spark):
+    rng = random.Random(4)
+    rows = [(net, run, rng.randint(0, 3), gene) for net in ("a", "b") for run in range(5) for gene in range(25)]
+    got = {r["nets"]: r["rho"] for r in aggregates.dispersion(spark.createDataFrame(rows, "nets string, run int, cluster int, gene int"), ["nets"]).collect()}
+    for net in ("a", "b"):
+        own = {(run, gene): c for n, run, c, gene in rows if n == net}
+        c = [[sum(own[r, i] == own[r, j] for r in range(5)) / 5 for j in range(25)] for i in range(25)]
+        assert got[net] == pytest.approx(sum(4 * (v - 0.5) ** 2 for line in c for v in line) / 625)
