@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,7 @@ __all__ = [
     "shared_dir",
     "sized_semi_join",
     "text_or_empty",
+    "trimmed",
 ]
 
 #: A run of ASCII blanks, and a word: a run of anything else.
@@ -68,6 +69,34 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; when a task is done, its worker gives free memory back to the system.
+
+    Workers wait for the next task with what their allocators hold, and an
+    executor has as many of them as it ever ran at once.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def sized_semi_join(df: DataFrame, keys: DataFrame, key: str, limit_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys`` (distinct, written before).
 

@@ -35,7 +35,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read_table, small_batches
+from .common import fresh, materialize, read_table, small_batches, trimmed
 
 N_FEATURES = 1 << 13
 PER_LANGUAGE = 400
@@ -151,7 +151,7 @@ def featurized(rows: DataFrame) -> DataFrame:
                     vectors.append(vector.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(vectors, pa.binary())], ["lang", "vector"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, vector binary")
+    return rows.select("lang", "text").mapInArrow(trimmed(run), "lang string, vector binary")
 
 
 def hash_limit(wanted: int, distinct: int) -> int:
@@ -275,7 +275,7 @@ def judged(docs: DataFrame, model: Model | None, keep: list[str], lang_name: str
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: len(keep)], lang_name, score_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{lang_name}` string, `{score_name}` double"
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias(fresh(keep, "text"))).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in keep], F.col("text").alias(fresh(keep, "text"))).mapInArrow(trimmed(run), schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

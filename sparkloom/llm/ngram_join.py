@@ -41,7 +41,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, read_table, sized_semi_join, small_batches
+from .common import materialize, partitions_for, read_table, sized_semi_join, small_batches, trimmed
 from .tokens import sliced
 
 N = 5
@@ -226,7 +226,7 @@ def sketch(docs: DataFrame, n: int) -> bytes:
 
     import numpy as np
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(run), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     whole = np.zeros(width, dtype=np.uint32)
     for r in parts:
         whole[r["chunk"] : r["chunk"] + chunk] = np.frombuffer(r["counts"], np.uint32)
@@ -284,7 +284,7 @@ def scanned(docs: DataFrame, counts: bytes, n: int, num: int, den: int, n_owners
                 packed = [columnwise(rows[cuts[o] : cuts[o + 1]]) for o in some]
                 yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(run), SCANNED)
 
 
 POSTING = [("hash", "<u8"), ("grp", "<i8"), ("size", "<i4"), ("at", "<i4")]
@@ -618,7 +618,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     # Sets are the bulk, so both joins shuffle at every size, but only the sets of these pairs.
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
     both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
-    return both.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_set", "b_set").mapInArrow(trimmed(run), "a long, b long")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -632,7 +632,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     wanted = sized_semi_join(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")), nodes, "node")
-    return wanted.mapInArrow(run, "node long, set binary")
+    return wanted.mapInArrow(trimmed(run), "node long, set binary")
 
 
 def similar_groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR, max_rounds: int = MAX_ROUNDS, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:

@@ -39,7 +39,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, read_table, small_batches
+from .common import materialize, partitions_for, read_table, small_batches, trimmed
 from .tokens import encoder, sliced
 
 CAPACITY = 2048
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         encode = encoder(vocabulary, keep_space=False).encode
         end = END_ID.to_bytes(4, "little")
-        for batch in (x for whole in batches for x in sliced(whole, "text")):
+        for batch in (x for whole in batches for x in sliced(whole, "text", 1 << 22)):
             columns = [[] for _ in names]
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return kept.mapInArrow(cut, schema)
+    return kept.mapInArrow(trimmed(cut), schema)
 
 
 def equal_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
