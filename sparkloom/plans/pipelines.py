@@ -253,6 +253,81 @@ def p1_condition_networks(t: Tables) -> DataFrame:
     return rounded(graph.density(own), density=9)
 
 
+def without_genes(network: DataFrame, genes: DataFrame) -> DataFrame:
+    """The entries (i, j, v) of a network whose two ends are not among some genes."""
+    gone = genes.select("gene").distinct()
+    return network.join(gone.withColumnRenamed("gene", "i"), "i", "left_anti").join(gone.withColumnRenamed("gene", "j"), "j", "left_anti").select("i", "j", "v")
+
+
+def masked_refits(networks: dict[str, DataFrame], masked: str, expression: DataFrame, tests: DataFrame, n_folds: int, k1: int, k2: int) -> tuple[dict[str, factorize.Factors], factorize.Factors]:
+    """({"none": ..., "masked 0": ..., ...}, the full model): fits without one network, and with its rows and columns of each fold's genes left out.
+
+    All go on from the full model's factors, in the same passes.
+    """
+    genes, cells = expression.select(F.col("i").alias("gene")).distinct(), expression.select(F.col("j").alias("gene")).distinct()
+    (full,) = factorize.combined(networks, [tuple(networks)], expression, genes, cells, k1, k2).values()
+    first, second = materialize(full.g1, "full-genes"), materialize(full.g2, "full-cells")
+    others = [n for n in networks if n != masked]
+    own = tuple(range(len(others)))
+    models = [factorize.Model("none", own, k1, k2)] + [factorize.Model(f"masked {f}", (*own, len(others) + f), k1, k2) for f in range(n_folds)]
+    parts = [materialize(without_genes(networks[masked], tests.filter(F.col("fold") == f)), "masked") for f in range(n_folds)]
+    found = factorize.fit(models, [networks[n] for n in others] + parts, expression, [first] * len(models), [second] * len(models))
+    return {m.name: f for m, f in zip(models, found, strict=True)}, full
+
+
+def _suppliers_fused(t: Tables) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    """Four networks of suppliers, their expression, known suppliers, and the brands of what came back to them as annotations."""
+    networks = {n: materialize(supplier_network(t, p), "network") for n, p in PRIORITIES.items()}
+    known = t.read("supplier").filter("s_nationkey % 3 = 0").select(F.col("s_suppkey").alias("gene"))
+    items = t.read("lineitem").filter("l_returnflag = 'R'").join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return networks, materialize(supplier_expression(t), "expression"), known, items.select(F.col("l_suppkey").alias("gene"), F.col("p_brand").alias("term")).distinct()
+
+
+def p18_masked_refits(t: Tables, n_folds: int = 5) -> DataFrame:
+    """kind, p0, p1, p2: whiskers over folds of the test genes' hits, with all of the third network, none, or the fold masked in it."""
+    networks, expression, known, annotations = _suppliers_fused(t)
+    tests = materialize(resample.folds(known, n_folds, 1), "folds")
+    fits, full = masked_refits(networks, "MI", expression, tests, n_folds, 4, 3)
+    embeddings = {"full": full.g1} | {n: f.g1 for n, f in fits.items()}
+    assigned = clusterings(embeddings, dict.fromkeys(embeddings, 4), runs=1)
+    rows = None
+    for name in embeddings:
+        mine = assigned.filter(F.col("nets") == name).select("cluster", "gene")
+        own = tests if not name.startswith("masked") else tests.filter(F.col("fold") == int(name.split()[1]))
+        hits = correct_clusters(mine, annotations, own, 0.9).select(F.lit(name.split()[0]).alias("kind"), "fold", F.col("n").cast("double").alias("n"))
+        rows = hits if rows is None else rows.unionByName(hits)
+    return aggregates.percentiles(rows, "n", by=["kind"])
+
+
+def p20_ablation(t: Tables) -> DataFrame:
+    """nets, enriched, predicted, kept: enriched clusters and predictions with all networks and without the third; kept by both."""
+    networks, expression, known, _ = _suppliers_fused(t)
+    genes, cells = expression.select(F.col("i").alias("gene")).distinct(), expression.select(F.col("j").alias("gene")).distinct()
+    whole = tuple(networks)
+    found = factorize.combined(networks, [whole, tuple(n for n in whole if n != "MI")], expression, genes, cells, 4, 3)
+    embeddings = {n: materialize(projected(f.g1, f.s_expression), "embedding") for n, f in found.items()}
+    assigned = materialize(clusterings(embeddings, dict.fromkeys(embeddings, 3), runs=1).select("nets", "cluster", "gene"), "clusters")
+    each = known.join(genes, "gene", "left_semi").crossJoin(F.broadcast(assigned.select("nets").distinct()))  # two rows
+    tested = enrichment.cluster_enrichment(assigned, each, 0.5, by=["nets"]).filter("enriched").groupBy("nets").agg(F.count("*").alias("enriched"))
+    predicted = materialize(initial_predictions(assigned, each, 0.5, ["nets"]), "predictions")
+    both = predicted.groupBy("gene").agg(F.count("*").alias("c"))
+    counts = predicted.join(both, "gene").groupBy("nets").agg(F.count("*").alias("predicted"), F.count_if(F.col("c") == 2).alias("kept"))
+    every = assigned.select("nets").distinct().join(tested, "nets", "left").join(counts, "nets", "left")
+    return every.select("nets", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("enriched", "predicted", "kept")])
+
+
+def p9_core_test(t: Tables, reps: int = 10_000) -> DataFrame:
+    """core, p: the genes predicted in every stage (returned in every year), and how often draws of as many from each stage's genes share so many."""
+    pools = {r["name"]: r["count"] for r in t.stages().groupBy("name").count().collect()}  # one row a stage
+    predicted = t.read("lineitem").filter("l_returnflag = 'R'").select(F.year("l_shipdate").alias("name"), F.col("l_partkey").alias("gene")).distinct()
+    picks = {r["name"]: r["count"] for r in predicted.groupBy("name").count().collect()}
+    names = sorted(picks)
+    shared = sets.in_all(t.stages().filter(F.col("name").isin(names))).count()
+    core = sets.in_all(predicted).count()
+    test = resample.permutation_test([pools[n] for n in names], [picks[n] for n in names], shared, core, reps, 7, t.spark)
+    return test.select(F.lit(core).cast("long").alias("core"), "p")
+
+
 def p3_clusterings(t: Tables) -> DataFrame:
     """nets, run, clusters, genes, largest: ten clusterings of the suppliers' embedding of each combination of networks."""
     found = fused(t, {n: supplier_network(t, p) for n, p in PRIORITIES.items()}, combinations())
@@ -416,6 +491,6 @@ def p19_robustness(t: Tables) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_condition_networks, p2_network_combinations, p3_clusterings, p13_fitted_ranks, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
+    p1_condition_networks, p2_network_combinations, p3_clusterings, p9_core_test, p18_masked_refits, p20_ablation, p13_fitted_ranks, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
     p12_shared_terms, p13_rank_selection, p14_nearest_baseline, p15_movement_baseline, p16_marker_test, p16_integrated_markers, p17_cross_validation, p18_masked_contribution, p19_robustness,
 )}

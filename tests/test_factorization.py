@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from sparkloom.operators import blocked, factor_variants, factorize, linalg
+from sparkloom.plans import pipelines
 
 EPS = 1e-5
 
@@ -187,3 +188,24 @@ def test_one_basis_for_all(spark, planted):
     assert [o for _, o in trace] == pytest.approx([errors[0], errors[-1]]) and trace[-1][1] < trace[0][1]
     spread = lambda m: np.abs(m.T @ m - np.eye(3)).sum()
     assert spread(b) < spread(rng.random((18, 3)))  # columns of the basis tend to be orthonormal
+
+
+def test_refits_go_on_from_the_full_model(spark, planted):
+    nets, e, *_ = planted
+    named = {n: coo(spark, a) for n, a in zip(("PPI", "GI", "MI"), nets, strict=True)}
+    tests = spark.createDataFrame([(g, g % 2) for g in (0, 1, 6, 7, 12, 13)], "gene int, fold int")
+    gone = pipelines.without_genes(named["MI"], tests.filter("fold = 0"))
+    assert {r["i"] for r in gone.collect()} | {r["j"] for r in gone.collect()} == set(range(18)) - {0, 6, 12}
+    fits, full = pipelines.masked_refits(named, "MI", coo(spark, e), tests, 2, 3, 2)
+    assert list(fits) == ["none", "masked 0", "masked 1"]
+    start1, start2 = array(full.g1), array(full.g2)
+    for name, f in fits.items():
+        mine = nets[:2]
+        if name != "none":
+            m, out = nets[2].copy(), [g for g in (0, 1, 6, 7, 12, 13) if g % 2 == int(name[-1])]
+            m[out] = 0
+            m[:, out] = 0
+            mine = [*mine, m]
+        want1, want2, trace = dense_fit(mine, e, start1, start2, 1000)
+        assert np.abs(array(f.g1) - want1).max() < 1e-6 and np.abs(array(f.g2) - want2).max() < 1e-6
+        assert [t for t, *_ in f.trace] == [t for t, _ in trace]
