@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +52,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Folders written inside each open ``scratch_scope``.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes at its end what ``materialize`` wrote inside, but for what was written with ``keep``.
+
+    For work whose result is written before the end; one scope at a time in a thread of work.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, folder in _scopes.pop():
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read of the files, never a
@@ -58,6 +83,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so the optimizer broadcasts it only if it is really small.
     """
     path = scratch_path(df.sparkSession, name)
+    if _scopes and not keep:
+        _scopes[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,8 +101,7 @@ def discard(df: DataFrame) -> None:
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
         if bare(folder).startswith(bare(root)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(spark, folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
