@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 N_BUCKETS = 1024
 SEED = "mix-1"
+#: Quality weights that are broadcast, at most.
+SMALL_WEIGHTS = 500_000
 
 
 def draw(seed: str = SEED) -> Column:
@@ -162,8 +164,8 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str =
 
     The one document at a source's line keeps its first ``part`` words,
     with the blanks and line breaks between them. The plan is made on narrow rows. Weights are written before they meet the
-    texts: small ones are broadcast by their size, others cost one shuffle of
-    the texts. Without labels all weights are 1.
+    texts: up to ``SMALL_WEIGHTS`` of them (16 bytes each) are broadcast, more
+    cost one shuffle of the texts. Without labels all weights are 1.
     """
     names = docs.columns
     clash = [c for c in names if c.startswith("mix_") or c in ("label_id", "quality_weight", "plan_source", "source_size", "target", "epochs", "line_key", "line_id", "line_size", "line_words", "whole", "part")]
@@ -173,7 +175,8 @@ def mix_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str =
         sized = sized.withColumn("quality_weight", F.lit(1.0))
     else:
         weights = materialize(quality_weight(labels), "mix-weights")
-        sized = sized.join(weights, F.col("doc_id") == F.col("label_id"), "left")
+        small = weights.count() <= SMALL_WEIGHTS
+        sized = sized.join(F.broadcast(weights) if small else weights, F.col("doc_id") == F.col("label_id"), "left")
     ready = keyed(sized, F.col("quality_weight"), seed)
     plans = plan(materialize(ready.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix-rows"))
     taken = take(ready, plans)

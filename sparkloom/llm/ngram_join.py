@@ -41,6 +41,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import scratch_scope
+
 from .common import materialize, partitions_for, read_table, sized_semi_join, small_batches, trimmed
 from .tokens import sliced
 
@@ -706,8 +708,9 @@ def similarity_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: i
 
 def drop_near(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest id of each component, all columns."""
-    found = similarity_classes(docs, n, num, den)
-    gone = materialize(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "near-copies")
+    with scratch_scope():  # sets and postings are not read again
+        found = similarity_classes(docs, n, num, den)
+        gone = materialize(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct(), "near-copies", keep=True)
     few = gone.count() <= 1_000_000
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
     return kept
