@@ -14,6 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from sparkloom.llm.common import fresh, materialize, read_table, small_batches
+from sparkloom.session import discard
+
+#: What the language stage has returned from the scratch folder, until a later stage reads other files.
+_returned: list[DataFrame] = []
+
+
+def clear_returned(docs: DataFrame) -> None:
+    """Deletes what an earlier stage returned, once its rows have been written elsewhere and are read from there."""
+    for old in list(_returned):
+        if old.sparkSession is not docs.sparkSession:
+            _returned.remove(old)
+        elif not set(old.inputFiles()) & set(docs.inputFiles()):
+            discard(old)
+            _returned.remove(old)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +38,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     judged = language_id.predict(docs, model, found, fresh(names, "lang_score"))
     kept = judged.filter(judged[found] != language_id.UNKNOWN)
     with small_batches(spark):  # whole texts go through Python here
-        return materialize(kept.withColumn("lang", kept[found]).select(*[f"`{c}`" for c in names]), "in-a-language")
+        out = materialize(kept.withColumn("lang", kept[found]).select(*[f"`{c}`" for c in names]), "in-a-language")
+    _returned.append(out)
+    return out
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for blanks, the smallest doc_id stays."""
+    clear_returned(docs)
     return exact_dedup.drop_copies(docs)
 
 
