@@ -9,7 +9,10 @@ For the other URLs, FP-growth mines combinations of URL tokens (host labels,
 the suffixes of the host, path folders, scheme and query keys) that go with
 one verdict. Rules below ``MIN_CONFIDENCE`` or ``MIN_SUPPORT``, and rules that
 a shorter rule of the same verdict already covers at no less confidence, are
-pruned. Matching uses an inverted index: each rule is listed under its rarest
+pruned. Tokens that exactly the same labelled URLs have are mined as one
+(a host's labels, its suffixes and the folders that all its URLs share): of
+such tokens a rule that needs two is always covered by one that needs either,
+so only one of them at a time stands in a rule. Matching uses an inverted index: each rule is listed under its rarest
 token, a URL's tokens are joined with the index, and a candidate counts if the
 URL has all its tokens. The most confident rule wins, then the better
 supported one, then the longer one, then the smaller token list.
@@ -87,8 +90,20 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return split.select("*", rule.alias("rule"), verdict.alias("rule_verdict"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
 
 
-def mined(labelled: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_id, needs, verdict, confidence, support from ``tokens`` and ``rule_verdict``.
+def token_classes(kept: DataFrame, least: float, total: int) -> DataFrame:
+    """class, tokens: the tokens of at least ``least`` and not all ``total`` URLs, those with the same URLs together.
+
+    URLs of a token are compared by their number and 128 bits of hashes. A token that all
+    URLs have says nothing about the verdict. There are at most tokens-a-URL * total / least tokens.
+    """
+    covers = kept.select("url", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("url")).alias("h"), F.bit_xor(F.xxhash64(F.lit("second"), "url")).alias("g")
+    ).filter((F.col("n") >= least) & (F.col("n") < total))
+    return covers.groupBy("n", "h", "g").agg(F.min("token").alias("class"), F.array_sort(F.collect_list("token")).alias("tokens")).select("class", "tokens")
+
+
+def mined_classes(labelled: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(needs, verdict, confidence, support over classes of tokens; the classes) from ``url``, ``tokens`` and ``rule_verdict``.
 
     Tokens below the support can be in no rule and are left out first, so
     the transactions are short.
@@ -98,15 +113,12 @@ def mined(labelled: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SU
     limit = (1 << 63) - 1 if n <= sample else (sample << 64) // n - (1 << 63)
     kept = labelled.filter(F.xxhash64("url") <= F.lit(limit))
     total = max(1, kept.count())
-    common = (
-        kept.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        # A token that all labelled URLs have says nothing about the verdict.
-        .filter((F.col("n") >= min_support * total) & (F.col("n") < total)).select("token")
-    )
+    classes = materialize(token_classes(kept, min_support * total, total), "url-token-classes")
     # At most tokens-a-URL / min_support rows, whatever the input.
+    named = F.broadcast(classes.select("class", F.explode("tokens").alias("token")))
     items = (
-        kept.select("url", "rule_verdict", F.explode("tokens").alias("token")).join(F.broadcast(common), "token")
-        .groupBy("url", "rule_verdict").agg(F.collect_list("token").alias("items"))
+        kept.select("url", "rule_verdict", F.explode("tokens").alias("token")).join(named, "token")
+        .groupBy("url", "rule_verdict").agg(F.collect_set("class").alias("items"))
         .select(F.concat("items", F.array(F.concat(F.lit(LABEL), F.col("rule_verdict")))).alias("items"))
     )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -116,7 +128,24 @@ def mined(labelled: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SU
     return rules.select(
         F.array_sort("antecedent").alias("needs"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 100).alias("verdict"),
         F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"),
+    ), classes
+
+
+def spelled(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rules over classes as rules over tokens: one for each choice of a token from every class."""
+    rest = [c for c in rules.columns if c not in ("needs", "rule_id")]
+    members = (
+        rules.select("needs", *rest, F.explode("needs").alias("class")).join(F.broadcast(classes), "class")
+        .groupBy("needs", *rest).agg(F.collect_list("tokens").alias("members"))
     )
+    none = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("members", none, lambda made, tokens: F.flatten(F.transform(made, lambda m: F.transform(tokens, lambda t: F.concat(m, F.array(t))))))
+    return members.select(F.explode(choices).alias("chosen"), *rest).select(F.array_sort("chosen").alias("needs"), *rest)
+
+
+def mined(labelled: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """needs, verdict, confidence, support over tokens, with at most one token of each class in a rule."""
+    return spelled(*mined_classes(labelled, sample, min_support, min_confidence))
 
 
 def uncovered(rules: DataFrame, short: DataFrame) -> DataFrame:
@@ -138,7 +167,11 @@ def pruned(rules: DataFrame) -> DataFrame:
     shortest rules go first and only what they leave is compared with itself.
     """
     left = materialize(uncovered(rules, rules.filter(F.size("needs") <= FIRST_TOKENS)), "url-rules-left")
-    return uncovered(left, left).withColumn("rule_id", F.xxhash64("needs", "verdict"))
+    return numbered(uncovered(left, left))
+
+
+def numbered(rules: DataFrame) -> DataFrame:
+    return rules.withColumn("rule_id", F.xxhash64("needs", "verdict"))
 
 
 def indexed(rules: DataFrame, counts: DataFrame) -> DataFrame:
@@ -170,7 +203,9 @@ def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, min_support
     """page_id, host, path, rule, verdict, mined_rule, confidence for each page."""
     urls = materialize(parsed(pages, rules), "urls")
     labelled = urls.filter(F.col("rule_verdict").isNotNull())
-    found = materialize(pruned(materialize(mined(labelled, sample, min_support, min_confidence), "mined-rules")), "url-rules")
+    over_classes, classes = mined_classes(labelled, sample, min_support, min_confidence)
+    # What covers a rule over classes covers the same choices of tokens, so rules are pruned before they are spelled out.
+    found = materialize(numbered(spelled(pruned(materialize(over_classes, "mined-rules")), classes)), "url-rules")
     sides = {r["rule_verdict"]: r["count"] for r in labelled.groupBy("rule_verdict").count().collect()}
     default = "block" if sides.get("block", 0) > sides.get("allow", 0) else "allow"
     matched = by_rules(urls.filter(F.col("rule_verdict").isNull()), found)

@@ -186,3 +186,39 @@ def test_rules_of_more_than_three_tokens(spark):
     assert (frozenset("abcd"), "block") in got
     urls = spark.createDataFrame([("x", list("abcd")), ("y", list("abc"))], "url string, tokens array<string>")
     assert {r["m_url"]: r["mined_verdict"] for r in url_rules.by_rules(urls, url_rules.pruned(mined)).collect()}["x"] == "block"
+
+
+def test_mined_rules_are_those_of_all_token_sets(spark):
+    from itertools import chain, combinations
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        has = [t for t in "abcd" if rng.random() < 0.5]
+        has += ["same1", "same2", "same3"] if "a" in has else []  # with the URLs of a
+        rows.append((f"u{i}", sorted(has), "block" if "a" in has and "b" in has or rng.random() < 0.2 else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, tokens array<string>, rule_verdict string")
+    every = {}
+    tokens = sorted({t for _, has, _ in rows for t in has})
+    for needs in chain.from_iterable(combinations(tokens, k) for k in range(1, len(tokens) + 1)):
+        fits = [v for _, has, v in rows if set(needs) <= set(has)]
+        for v in ("allow", "block"):
+            if fits and fits.count(v) >= 0.05 * len(rows) and fits.count(v) >= 0.6 * len(fits):
+                every[frozenset(needs), v] = round(fits.count(v) / len(fits), 9)
+    wanted = {(n, v) for (n, v), c in every.items() if not any(m < n and v == w and d >= c for (m, w), d in every.items())}
+    found = url_rules.pruned(url_rules.mined(labelled, min_support=0.05)).collect()
+    assert {(frozenset(r["needs"]), r["verdict"]) for r in found} == wanted and len(found) == len(wanted)
+    over_classes, classes = url_rules.mined_classes(labelled, min_support=0.05)
+    assert ["a", "same1", "same2", "same3"] in [r["tokens"] for r in classes.collect()]
+    found = url_rules.spelled(url_rules.pruned(over_classes), classes).collect()
+    assert {(frozenset(r["needs"]), r["verdict"]) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_many_shared_folders(spark):
+    deep = "/".join(f"f{k}" for k in range(14))
+    urls = [f"http://a.b.example.org/es/{deep}/{i}x{i}" for i in range(60)] + [f"http://w{i % 7}.shop.com/fr/p{i}" for i in range(60)]
+    urls += [f"http://c.net/xx/{deep}/{i}" for i in range(3)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(pages, min_support=0.05).collect()}
+    # The last three have the blocked host's folders, and no stated rule.
+    assert len(got) == 123 and {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 120)} == {"allow"} and {got[i] for i in range(120, 123)} == {"block"}
