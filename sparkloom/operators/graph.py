@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import blocked
 from sparkloom.operators.relational import both_ways, canonical_edges
 from sparkloom.session import cut_lineage
 
@@ -108,15 +109,81 @@ def laplacian(edges: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1.0).alias("v")).unionAll(diagonal)
 
 
-def ppmi(edges: DataFrame, steps: int = 10, binary: bool = False) -> DataFrame:
+#: Links of a walk that every task may hold (16 bytes each, both directions).
+WALK_LINKS = 5_000_000
+#: Numbers of the dense rows that a task of a walk holds at a time.
+WALK_CELLS = 3_000_000
+
+
+def ppmi(edges: DataFrame, steps: int = 10, binary: bool = False, walk_links: int = WALK_LINKS, cells: int = WALK_CELLS) -> DataFrame:
     """i, j, v: positive pointwise mutual information of random walks of 1 to ``steps`` steps.
 
-    The walk matrices are summed over the steps; each step is one join and
-    sum over the sparse matrix.
+    The walk matrices are summed over the steps. A task holds the sparse
+    transition matrix in tiles and walks with a few source rows at a time to the
+    end, so no power of the matrix is shuffled; the sums of the columns are a
+    walk of all rows at once, which each task makes too. A count shows whether
+    the links fit a task; beyond ``walk_links`` each step is a join and a sum.
+    Without edges there are no rows.
     """
-    links = both_ways(canonical_edges(edges, keep_loops=False))
+    links = cut_lineage(both_ways(canonical_edges(edges, keep_loops=False)).filter("src is not null and dst is not null"))
     degree = links.groupBy("src").agg(F.count("*").cast("double").alias("d"))
-    walk = cut_lineage(links.join(degree, "src").select(F.col("src").alias("i"), F.col("dst").alias("j"), (1 / F.col("d")).alias("v")))
+    walk = links.join(degree, "src").select(F.col("src").alias("i"), F.col("dst").alias("j"), (1 / F.col("d")).alias("v"))
+    scored = _ppmi_by_rows(walk, steps, cells) if links.count() <= walk_links else _ppmi_by_joins(cut_lineage(walk), steps)
+    return scored.withColumn("v", F.lit(1.0)) if binary else scored
+
+
+def _ppmi_by_rows(walk: DataFrame, steps: int, cells: int) -> DataFrame:
+    """i, j, v > 0 from walks with some source rows in each task."""
+    nodes = blocked.index(walk.select(F.col("i").alias("gene")))
+    n = nodes.count()
+    rows = max(1, cells // max(1, n))  # of a task
+    tiles = blocked.tiles([walk], nodes, nodes)
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        part, held = table.column("part")[0].as_py(), table.sort_by("rb").to_pylist()
+        sizes = {t["rb"]: t["n_rows"] for t in held}  # every node has a link, so every block has a tile
+        first = dict(zip(sorted(sizes), np.cumsum([0, *[sizes[b] for b in sorted(sizes)]]), strict=False))
+        entries = [(first[t["rb"]], t["n_rows"], first[t["cb"]], t["n_columns"], np.frombuffer(t["ra"], "<i4"), np.frombuffer(t["ca"], "<i4"), np.frombuffer(t["v"])) for t in held]
+        here = np.arange(part * rows, min(n, (part + 1) * rows))
+
+        # The last column walks with all rows at once: its sum over the steps are the column sums.
+        at = np.zeros((n, len(here) + 1))
+        at[here, np.arange(len(here))] = 1.0
+        at[:, -1] = 1.0
+        total = np.zeros_like(at)
+        for _ in range(steps):
+            new = np.zeros_like(at)
+            for row, n_rows, column, n_columns, ra, ca, v in entries:
+                places, out = blocked.product(ca, ra, v, n_columns, at[row : row + n_rows])
+                new[column + places] += out
+            at = new
+            total += at
+        sums, total = total[:, -1], total[:, :-1]
+        with np.errstate(divide="ignore"):
+            value = np.log(total * (sums.sum() / sums)[:, None] / total.sum(axis=0))
+        j, i = np.nonzero(value > 0)
+        edges_of = np.array([first[b] for b in sorted(sizes)])
+        block_of = lambda x: np.searchsorted(edges_of, x, side="right") - 1
+        names = np.array(sorted(sizes), dtype=np.int32)
+        i_all = here[i]
+        i_block, j_block = block_of(i_all), block_of(j)
+        return pa.table({
+            "ib": pa.array(names[i_block], pa.int32()), "ia": pa.array((i_all - edges_of[i_block]).astype(np.int32)),
+            "jb": pa.array(names[j_block], pa.int32()), "ja": pa.array((j - edges_of[j_block]).astype(np.int32)), "v": pa.array(value[j, i]),
+        })
+
+    parts = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // rows) - 1)))))
+    found = parts.select("part", "rb", "cb", "n_rows", "n_columns", "ra", "ca", "v").groupBy("part").applyInArrow(run, "ib int, ia int, jb int, ja int, v double")
+    # No more nodes than links, of which a count has shown that they are few.
+    sides = [F.broadcast(nodes.select(F.col("block").alias(f"{s}b"), F.col("at").alias(f"{s}a"), F.col("gene").alias(s))) for s in "ij"]
+    return found.join(sides[0], ["ib", "ia"]).join(sides[1], ["jb", "ja"]).select("i", "j", "v")
+
+
+def _ppmi_by_joins(walk: DataFrame, steps: int) -> DataFrame:
+    """i, j, v > 0; each step is one join and sum over the sparse matrix."""
     power, total = walk, walk
     for _ in range(steps - 1):
         power = cut_lineage(power.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(walk.select(F.col("i").alias("k"), "j", "v"), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("v")).alias("v")))
@@ -125,8 +192,7 @@ def ppmi(edges: DataFrame, steps: int = 10, binary: bool = False) -> DataFrame:
     columns = total.groupBy("j").agg(F.sum("v").alias("c"))
     whole = total.agg(F.sum("v").alias("s"))
     value = F.log(F.col("v") * F.col("s") / (F.col("r") * F.col("c")))
-    scored = total.join(rows, "i").join(columns, "j").crossJoin(F.broadcast(whole)).select("i", "j", value.alias("v")).filter("v > 0")  # one row
-    return scored.withColumn("v", F.lit(1.0)) if binary else scored
+    return total.join(rows, "i").join(columns, "j").crossJoin(F.broadcast(whole)).select("i", "j", value.alias("v")).filter("v > 0")  # one row
 
 
 def bipartite_ppmi(pairs: DataFrame) -> DataFrame:

@@ -121,6 +121,75 @@ def nearest_in(points: DataFrame, targets: DataFrame, distance, block_rows: int
     return met.groupBy("gene").agg(F.min("_best").alias("_best")).select("gene", F.col("_best.dist").alias("dist"), F.col("_best.nearest").alias("nearest"))
 
 
+def nearest_euclidean(points: DataFrame, targets: DataFrame, block_rows: int = 256, max_pivots: int = 64) -> DataFrame:
+    """gene, dist, nearest as ``nearest_in`` by Euclidean distance, with blocks of targets left out that a bound rules out.
+
+    Equal targets are one. Some targets are pivots, the others belong to the
+    nearest pivot; blocks are runs of about ``block_rows`` targets in the order of
+    their distance to it, so a block is a ring of known radii. A point first
+    meets the block with the least bound, and then those whose bound is not above
+    what it found there: its vector goes to no other block. Points and targets
+    without a vector or with a null in it are left out; all have the same number of components.
+    """
+    from sparkloom.functions.vectors import euclidean
+    from sparkloom.session import materialize
+
+    points = points.filter("vec is not null and not exists(vec, x -> x is null)")
+    single = materialize(targets.filter("t_vec is not null and not exists(t_vec, x -> x is null)").groupBy("t_vec").agg(F.min("target").alias("target")), "nearest-targets")
+    n = single.count()
+    if n <= 2 * block_rows:
+        return nearest_in(points, single, euclidean, block_rows)
+    seen, blocks = ringed(points, single, min(max_pivots, -(-n // block_rows)), block_rows)
+    few = n <= 10_000
+
+    def visited(asked: DataFrame) -> DataFrame:
+        best = F.array_min(F.transform("_targets", lambda t: F.struct(euclidean(F.col("vec"), t["t_vec"]).alias("dist"), t["target"].alias("nearest"))))
+        return asked.join(F.broadcast(blocks) if few else blocks, ["_pivot", "_ring"]).select("gene", "vec", best.alias("_best"))
+
+    rings = materialize(blocks.select("_pivot", "_ring", "_low", "_high"), "nearest-rings")
+    first = materialize(visited(seen.select("gene", "vec", "_first.*")).select("gene", "vec", "_best"), "nearest-first")
+    rest = visited(left_to_visit(first, seen, rings))
+    both = first.select("gene", "_best").unionAll(rest.select("gene", "_best"))
+    return both.groupBy("gene").agg(F.min("_best").alias("_best")).select("gene", F.col("_best.dist").alias("dist"), F.col("_best.nearest").alias("nearest"))
+
+
+def ringed(points: DataFrame, targets: DataFrame, n_pivots: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Points with their distances to the pivots and their first block; blocks (_pivot, _ring) with radii and targets. Written."""
+    from sparkloom.functions.vectors import euclidean
+    from sparkloom.session import materialize
+
+    chosen = targets.orderBy(F.xxhash64("t_vec"), "target").limit(n_pivots)
+    pivots = materialize(chosen.agg(F.collect_list("t_vec").alias("_pivots")), "nearest-pivots")  # one row of n_pivots vectors
+    away = lambda v: F.transform("_pivots", lambda p, k: F.struct(euclidean(F.col(v), p).alias("far"), k.alias("pivot")))
+    near = targets.crossJoin(F.broadcast(pivots)).withColumn("_near", F.array_min(away("t_vec")))
+    order = placed(near.select("target", "t_vec", F.col("_near.pivot").alias("_pivot"), F.col("_near.far").alias("_far")), ["_pivot", "_far", "target"])
+    blocks = materialize(
+        order.withColumn("_ring", F.floor(F.col("place") / block_rows)).groupBy("_pivot", "_ring")
+        .agg(F.min("_far").alias("_low"), F.max("_far").alias("_high"), F.collect_list(F.struct("target", "t_vec")).alias("_targets")), "nearest-blocks",
+    )
+    rings = blocks.select("_pivot", "_ring", "_low", "_high")
+    far = points.crossJoin(F.broadcast(pivots)).select("gene", "vec", away("vec").alias("_away")).withColumn("_near", F.array_min("_away"))
+    # Rings of the nearest pivot only: a row a block of it, without the vectors.
+    met = far.select("gene", F.col("_near.pivot").alias("_pivot"), F.col("_near.far").alias("_d")).join(rings, "_pivot")
+    first = met.groupBy("gene").agg(F.min(F.struct(bound().alias("bound"), "_pivot", "_ring")).alias("_f"))
+    return materialize(far.join(first, "gene").select("gene", "vec", "_away", F.struct("_f._pivot", "_f._ring").alias("_first")), "nearest-points"), blocks
+
+
+def bound() -> Column:
+    """What a target in a ring (_low to _high from the pivot) is at least away from a point at distance _d from the pivot, less what rounding may add."""
+    return F.greatest(F.col("_d") - F.col("_high"), F.col("_low") - F.col("_d"), F.lit(0.0)) - (F.col("_d") + F.col("_high")) * 1e-12
+
+
+def left_to_visit(first: DataFrame, seen: DataFrame, rings: DataFrame) -> DataFrame:
+    """gene, vec, _pivot, _ring: the blocks that may hold a target as near as the one found first."""
+    reach = rings.groupBy("_pivot").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    asked = first.select("gene", F.col("_best.dist").alias("_found")).join(seen, "gene").select("gene", "vec", "_found", "_first", F.explode("_away").alias("_a"))
+    asked = asked.select("gene", "vec", "_found", "_first", F.col("_a.pivot").alias("_pivot"), F.col("_a.far").alias("_d"))
+    # The whole region of a pivot first (a row a pivot), then its rings.
+    near = asked.join(F.broadcast(reach), "_pivot").filter(bound() <= F.col("_found")).drop("_low", "_high")
+    return near.join(rings, "_pivot").filter((bound() <= F.col("_found")) & ((F.col("_pivot") != F.col("_first._pivot")) | (F.col("_ring") != F.col("_first._ring")))).select("gene", "vec", "_pivot", "_ring")
+
+
 def labelled(column: Column, labels: dict, default: Column | None = None) -> Column:
     """A literal map of values."""
     pairs = [F.lit(x) for kv in labels.items() for x in kv]

@@ -29,6 +29,16 @@ z AS (SELECT n1, n2, u1, ({u} - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 *
 ranked AS (SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u1, 4) AS u1, round(z, 6) AS z, round({normal_tail("z")}, 6) AS p FROM z)"""
 
 
+def rank_tests(rows: str) -> str:
+    """``rank_test`` for each name of ``rows`` (name, value, side)."""
+    return f"""r AS (SELECT name, side, rank() OVER (PARTITION BY name ORDER BY value) + (count(*) OVER (PARTITION BY name, value) - 1) / 2.0 AS k FROM {rows}),
+s AS (SELECT name, count(*) FILTER (side)::DOUBLE AS n1, count(*) FILTER (NOT side)::DOUBLE AS n2, sum(k) FILTER (side) AS r1 FROM r GROUP BY name),
+t AS (SELECT name, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT name, value, count(*)::BIGINT AS c FROM {rows} GROUP BY name, value) GROUP BY name),
+u AS (SELECT name, n1, n2, ties, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s JOIN t USING (name)),
+z AS (SELECT name, n1, n2, u1, (u1 - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM u),
+ranked AS (SELECT name, n1::BIGINT AS n1, n2::BIGINT AS n2, round(u1, 4) AS u1, round(z, 6) AS z, round({normal_tail("z")}, 6) AS p FROM z)"""
+
+
 def enriched(alpha: float) -> str:
     """pv (all tests) and en (the adjusted ones) by run, from cl (run, cluster, gene) and kn (run, gene)."""
     return f"""mk AS (SELECT DISTINCT cl.run, cl.cluster, cl.gene, kn.gene IS NOT NULL AS inside FROM cl LEFT JOIN (SELECT DISTINCT run, gene FROM kn) kn ON kn.run = cl.run AND kn.gene = cl.gene),
@@ -67,6 +77,9 @@ e AS (SELECT x.gene AS i, y.gene AS j, sqrt(list_sum(list_transform(list_zip(x.v
 n AS (SELECT (SELECT sqrt(sum(d * d)) FROM d) AS n1, (SELECT sqrt(sum(d * d)) FROM e) AS n2),
 moved AS (SELECT i AS gene, sqrt(sum(pow(d.d / n1 - e.d / n2, 2))) AS moved FROM d JOIN e USING (i, j), n GROUP BY i)"""
 PREDICTED = sql("clusters", "known") + f", cl AS (SELECT 0 AS run, * FROM clusters), kn AS (SELECT 0 AS run, gene FROM known), {enriched(0.2)}, initial AS (SELECT DISTINCT gene FROM clusters JOIN en USING (cluster) WHERE gene NOT IN (SELECT gene FROM known))"
+STAGED = sql("stages", "known", "evidence") + """, back AS (SELECT DISTINCT year(l_shipdate) AS name, l_partkey AS gene FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT gene FROM known)),
+core AS (SELECT gene FROM back GROUP BY gene HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM back)),
+asked AS (SELECT name::VARCHAR AS name, gene FROM back UNION ALL SELECT 'core', gene FROM core)"""
 BOTH = "both_ways AS (SELECT src, dst FROM together UNION ALL SELECT dst, src FROM together)"
 
 ORACLES = {
@@ -87,6 +100,14 @@ SELECT predicted, bin, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY predicted)
     "p9_core_predictions": """WITH g AS (SELECT year(l_shipdate) AS name, l_partkey AS gene, sum(l_quantity) AS moved FROM lineitem WHERE l_returnflag = 'R' AND year(l_shipdate) < 1999 GROUP BY 1, 2)
 SELECT gene, round(avg(moved), 6) AS mean_moved FROM g GROUP BY gene HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM g)""",
     "p10_literature": PREDICTED.replace("WITH ", f"WITH {sql('evidence').removeprefix('WITH ')}, ", 1) + f", v AS (SELECT pubmed AS value, gene IN (SELECT gene FROM initial) AS side FROM evidence), {rank_test('v')} SELECT * FROM ranked",
+    "p10_stage_validation": STAGED + f""", others AS (SELECT name::VARCHAR AS name, gene FROM stages UNION ALL SELECT 'core', gene FROM stages GROUP BY gene HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM stages)),
+every AS (SELECT name, gene, bool_or(side) AS side FROM (SELECT name, gene, false AS side FROM others WHERE gene NOT IN (SELECT gene FROM known) UNION ALL SELECT name, gene, true FROM asked) GROUP BY ALL),
+v AS (SELECT name, pubmed AS value, side, pubmed > 0 OR source <> '' AS backed FROM every JOIN evidence USING (gene) WHERE name IN (SELECT name FROM asked)), {rank_tests('v')},
+c AS (SELECT name, count(*) AS m, count(*) FILTER (backed) AS k, count(*) FILTER (side) AS n, count(*) FILTER (backed AND side) AS x FROM v GROUP BY name),
+f AS (SELECT *, coalesce((x::DOUBLE / n) / nullif(k::DOUBLE / m, 0), 0) AS fold FROM c)
+SELECT name, m AS M, k AS K, n AS N, x AS X, round(fold, 6) AS fold, CASE WHEN fold >= 1 THEN round({TAIL}, 6) END AS p_evidence, n1, n2, u1, ranked.z, ranked.p FROM f JOIN ranked USING (name)""",
+    "p10_core_venn": STAGED + """, listed AS (SELECT gene FROM part JOIN evidence ON gene = p_partkey WHERE p_size <= 10)
+SELECT count(*) FILTER (gene NOT IN (SELECT gene FROM core)) AS only_listed, count(*) FILTER (gene IN (SELECT gene FROM core)) AS both, (SELECT count(*) FROM core WHERE gene NOT IN (SELECT gene FROM listed)) AS only_core FROM listed""",
     "p11_path_profile": sql("together", "known", recursive=True) + f""", {BOTH}, hub AS (SELECT src FROM both_ways GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
 w AS (SELECT src AS gene, 0 AS d FROM hub UNION SELECT dst, d + 1 FROM w JOIN both_ways ON src = gene WHERE d < 30), m AS (SELECT gene, min(d) AS d FROM w GROUP BY gene HAVING min(d) > 0),
 c AS (SELECT gene IN (SELECT gene FROM known) AS predicted, d, count(*) AS n FROM m GROUP BY 1, 2) SELECT predicted, d, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY predicted), 6) AS share FROM c""",

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import stats
-from sparkloom.functions.vectors import euclidean
 from sparkloom.operators import aggregates, enrichment, factor_variants, factorize, graph, integrate, linalg, lloyd, movement, relational, resample, sets
 from sparkloom.plans.bindings import Tables
 from sparkloom.session import materialize
@@ -79,6 +78,40 @@ def core_predictions(staged: DataFrame) -> DataFrame:
     return staged.join(core, "gene", "left_semi").groupBy("gene").agg(F.avg("moved").alias("mean_moved"))
 
 
+def with_core(named: DataFrame, core: str = "core") -> DataFrame:
+    """Named gene sets, and what they all share as one more set."""
+    return named.select("name", "gene").distinct().unionByName(sets.in_all(named).select(F.lit(core).alias("name"), "gene"))
+
+
+def literature_validation(universe: DataFrame, predicted: DataFrame, known: DataFrame, evidence: DataFrame) -> DataFrame:
+    """name, M, K, N, X, fold, p_evidence, n1, n2, u1, z, p: a row for each stage and one for the core.
+
+    ``universe`` and ``predicted`` (name, gene) are the genes and the predictions
+    of each stage; the core's are those that all stages share. Predictions are
+    compared with the other genes of their stage, known ones apart, among genes
+    with an ``evidence`` row: share with any evidence (M to p_evidence, null below
+    fold 1) and rank test of citations (n1 to p). Stages without predictions have
+    no row.
+    """
+    asked = with_core(predicted).withColumn("_side", F.lit(True))
+    background = with_core(universe).join(known.select("gene"), "gene", "left_anti")
+    every = background.withColumn("_side", F.lit(False)).unionByName(asked).groupBy("name", "gene").agg(F.max("_side").alias("side"))
+    backed = (F.col("pubmed") > 0) | (F.coalesce("source", F.lit("")) != "")
+    rows = materialize(every.join(evidence.select("gene", "pubmed", backed.alias("backed")), "gene").join(asked.select("name").distinct(), "name", "left_semi"), "validated")
+    counts = rows.groupBy("name").agg(F.count("*").alias("M"), F.count_if("backed").alias("K"), F.count_if("side").alias("N"), F.count_if(F.col("backed") & F.col("side")).alias("X"))
+    cells = (F.col("M"), F.col("K"), F.col("N"), F.col("X"))
+    fold = stats.fold_enrichment(*cells)
+    shares = counts.select("name", *cells, fold.alias("fold"), F.when(fold >= 1, stats.hypergeom_sf(*cells)).alias("p_evidence"))
+    cited = rows.withColumn("cites", F.log10(F.col("pubmed") + 1))
+    return shares.join(stats.mann_whitney(cited, "cites", "side", ["name"]), "name")
+
+
+def core_against_list(predicted: DataFrame, listed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """only_listed, both, only_core: genes of a list that have an evidence row, against the core of the predictions."""
+    found = sets.venn_counts(sets.intersection(listed, evidence), sets.in_all(predicted))
+    return found.select(F.col("only_a").alias("only_listed"), "both", F.col("only_b").alias("only_core"))
+
+
 def neighbour_enrichment(edges: DataFrame, predicted: DataFrame, target=None) -> DataFrame:
     """M, K, N, X, fold, p: predictions among the first neighbours of a node (the one of largest degree by default)."""
     if target is None:
@@ -124,7 +157,7 @@ def nearest_baseline(points: DataFrame, known: DataFrame, n: DataFrame) -> DataF
     """gene, dist, nearest: the unknown genes that lie nearest to known ones, as many as ``n`` says."""
     targets = points.join(known, "gene", "left_semi").select(F.col("gene").alias("target"), F.col("vec").alias("t_vec"))
     unknown = points.join(known, "gene", "left_anti")
-    return sets.top_n(relational.nearest_in(unknown, targets, euclidean), n, "dist", descending=False)
+    return sets.top_n(relational.nearest_euclidean(unknown, targets), n, "dist", descending=False)
 
 
 def marker_test(expression: DataFrame, metadata: DataFrame, cond) -> DataFrame:
@@ -429,6 +462,24 @@ def p10_literature(t: Tables) -> DataFrame:
     return rounded(stats.mann_whitney(cited, "cites", "side"), **TEST)
 
 
+def _stage_predictions(t: Tables) -> DataFrame:
+    """name (year), gene: parts that came back in a year, known ones apart."""
+    back = t.read("lineitem").filter("l_returnflag = 'R'").select(F.year("l_shipdate").alias("name"), F.col("l_partkey").alias("gene")).distinct()
+    return back.join(t.known(), "gene", "left_anti").select(F.col("name").cast("string").alias("name"), "gene")
+
+
+def p10_stage_validation(t: Tables) -> DataFrame:
+    """Evidence and citations of each year's predictions and of their core."""
+    universe = t.stages().select(F.col("name").cast("string").alias("name"), "gene")
+    found = literature_validation(universe, _stage_predictions(t), t.known(), t.evidence())
+    return rounded(found, fold=6, p_evidence=6, **TEST)
+
+
+def p10_core_venn(t: Tables) -> DataFrame:
+    """The core of the years' predictions against the parts of small size."""
+    return core_against_list(_stage_predictions(t), t.read("part").filter("p_size <= 10").select(F.col("p_partkey").alias("gene")), t.evidence())
+
+
 def p11_path_profile(t: Tables) -> DataFrame:
     links = t.together()
     target = graph.degrees(links).orderBy(F.desc("degree"), "gene").first()["gene"]
@@ -491,6 +542,6 @@ def p19_robustness(t: Tables) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_condition_networks, p2_network_combinations, p3_clusterings, p9_core_test, p18_masked_refits, p20_ablation, p13_fitted_ranks, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p11_path_profile,
+    p1_condition_networks, p2_network_combinations, p3_clusterings, p9_core_test, p18_masked_refits, p20_ablation, p13_fitted_ranks, partial_nmf, laplacian_nmf, orthonormal_nmf, p4_best_run, p5_annotation_profile, p6_initial_predictions, p8_stage_movement, p8_stage_test, p9_core_predictions, p10_literature, p10_stage_validation, p10_core_venn, p11_path_profile,
     p12_shared_terms, p13_rank_selection, p14_nearest_baseline, p15_movement_baseline, p16_marker_test, p16_integrated_markers, p17_cross_validation, p18_masked_contribution, p19_robustness,
 )}

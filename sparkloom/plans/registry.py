@@ -443,7 +443,16 @@ def pairwise_half_chord(t):
 def nearest_neighbor(t):
     v = t.vectors()
     targets = v.filter("label = 0").select(F.col("gene").alias("target"), F.col("vec").alias("t_vec"))
-    return relational.nearest_in(v.filter("label <> 0"), targets, vectors.euclidean).select("gene", F.round("dist", 5).alias("dist"), "nearest")
+    return relational.nearest_euclidean(v.filter("label <> 0"), targets).select("gene", F.round("dist", 5).alias("dist"), "nearest")
+
+
+@query("""WITH v AS (SELECT p_partkey AS gene, p_size::DOUBLE AS x, p_retailprice AS y, p_type = 'PROMO' AS known FROM part),
+d AS (SELECT a.gene, b.gene AS nearest, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM v a, v b WHERE NOT a.known AND b.known)
+SELECT gene, round(min(dist), 5) AS dist, arg_min(nearest, {dist: dist, nearest: nearest}) AS nearest FROM d GROUP BY gene""")
+def nearest_known_part(t):
+    v = t.read("part").select(F.col("p_partkey").alias("gene"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("vec"), "p_type")
+    targets = v.filter("p_type = 'PROMO'").select(F.col("gene").alias("target"), F.col("vec").alias("t_vec"))
+    return relational.nearest_euclidean(v.filter("p_type <> 'PROMO'"), targets).select("gene", F.round("dist", 5).alias("dist"), "nearest")
 
 
 @query(sql("vectors") + ", d AS (SELECT list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS s FROM vectors a, vectors b) SELECT round(sqrt(sum(s)), 3) AS norm FROM d")
@@ -544,6 +553,20 @@ def ppmi_2step(t):
     return graph.ppmi(_nations(t), 2).filter("v > 0.00001").select("i", "j", F.round("v", 5).alias("v"))
 
 
+#: Suppliers in their nations, nations in their regions.
+PLACES = """WITH edges AS (SELECT s_suppkey AS src, 1000000000 + s_nationkey AS dst FROM supplier UNION SELECT 1000000000 + n_nationkey, 2000000000 + n_regionkey FROM nation),
+b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), w AS (SELECT src AS i, dst AS j, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS v FROM b), p1 AS (SELECT * FROM w)"""
+STEPS = "".join(f", p{k} AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM p{k - 1} x JOIN w y ON y.i = x.j GROUP BY 1, 2)" for k in range(2, 11))
+
+
+@query(PLACES + STEPS + ", m AS (SELECT i, j, sum(v) AS v FROM (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, 11)) + ") GROUP BY 1, 2), "
+       "s AS (SELECT *, sum(v) OVER (PARTITION BY i) AS r, sum(v) OVER (PARTITION BY j) AS c, sum(v) OVER () AS t FROM m) SELECT i, j, round(ln(v * t / (r * c)), 5) AS v FROM s WHERE ln(v * t / (r * c)) > 0.00001")
+def ppmi_10step(t):
+    home = t.read("supplier").select(F.col("s_suppkey").cast("long").alias("src"), (F.col("s_nationkey") + F.lit(1_000_000_000)).cast("long").alias("dst"))
+    nations = t.read("nation").select((F.col("n_nationkey") + F.lit(1_000_000_000)).cast("long").alias("src"), (F.col("n_regionkey") + F.lit(2_000_000_000)).cast("long").alias("dst"))
+    return graph.ppmi(home.unionAll(nations)).filter("v > 0.00001").select("i", "j", F.round("v", 5).alias("v"))
+
+
 @query("WITH p AS (SELECT p_size AS i, p_type AS j, count(*)::DOUBLE AS v FROM part GROUP BY 1, 2), s AS (SELECT *, sum(v) OVER (PARTITION BY i) AS r, sum(v) OVER (PARTITION BY j) AS c, sum(v) OVER () AS t FROM p) SELECT i, j, round(ln(v * t / (r * c)), 6) AS v FROM s WHERE ln(v * t / (r * c)) > 0.0000001")
 def ppmi_bipartite(t):
     pairs = t.read("part").groupBy(F.col("p_size").alias("i"), F.col("p_type").alias("j")).agg(F.count("*").cast("double").alias("v"))

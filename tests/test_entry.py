@@ -28,7 +28,7 @@ def compare(spark, name, run, oracle):
 
 
 #: A query of each family; the driver runs all of them.
-FAMILIES = ["crosswalk_left_default", "induced_subgraph", "label_full_outer", "venn_regions", "contingency_fold", "term_enrichment", "cluster_enrichment", "histogram50_both", "consensus_dispersion", "average_ranks", "mwu_u_z", "topn_by_size", "nearest_neighbor", "graph_density", "components", "clustering_coef", "cv_folds", "window_session", "p4_best_run", "p17_cross_validation", "p18_masked_contribution", "positional_zip", "submatrix", "pairwise_angular", "sparse_square"]
+FAMILIES = ["crosswalk_left_default", "induced_subgraph", "label_full_outer", "venn_regions", "contingency_fold", "term_enrichment", "cluster_enrichment", "histogram50_both", "consensus_dispersion", "average_ranks", "mwu_u_z", "topn_by_size", "nearest_neighbor", "graph_density", "components", "clustering_coef", "cv_folds", "window_session", "p4_best_run", "p17_cross_validation", "p18_masked_contribution", "positional_zip", "submatrix", "pairwise_angular", "sparse_square", "p10_stage_validation", "p10_core_venn", "nearest_known_part", "ppmi_10step"]
 
 
 @pytest.mark.parametrize("name", FAMILIES)

@@ -247,3 +247,60 @@ def test_dispersion_by_pairs(spark):
         own = {(run, gene): c for n, run, c, gene in rows if n == net}
         c = [[sum(own[r, i] == own[r, j] for r in range(5)) / 5 for j in range(25)] for i in range(25)]
         assert got[net] == pytest.approx(sum(4 * (v - 0.5) ** 2 for line in c for v in line) / 625)
+
+
+def test_ppmi_of_ten_steps(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(60)] + [(40, 41), (41, 42), (50, 50), (None, 3)]
+    frame = spark.createDataFrame(edges, "src int, dst int")
+    a = np.zeros((60, 60))
+    for i, j in edges:
+        if i is not None and i != j:
+            a[i, j] = a[j, i] = 1
+    p = np.divide(a, a.sum(1, keepdims=True), out=np.zeros_like(a), where=a.sum(1, keepdims=True) > 0)
+    total = sum(np.linalg.matrix_power(p, k) for k in range(1, 11))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.log(total * total.sum() / (total.sum(1)[:, None] * total.sum(0)[None]))
+    wanted = {(i, j): value[i, j] for i, j in zip(*np.nonzero(value > 1e-9), strict=True)}
+    # Few source rows a task; all in one; a join a step.
+    for options in ({"cells": 100}, {}, {"walk_links": 0}):
+        got = {(r["i"], r["j"]): r["v"] for r in graph.ppmi(frame, **options).filter("v > 1e-9").collect()}
+        assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+    assert {r["v"] for r in graph.ppmi(frame, binary=True).collect()} == {1.0}
+    assert graph.ppmi(frame.limit(0)).count() == 0
+
+
+def test_ppmi_over_several_tiles(spark, monkeypatch):
+    from sparkloom.operators import blocked
+
+    whole = blocked.index
+    monkeypatch.setattr(blocked, "index", lambda keys, rows=7: whole(keys, rows))
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(90)], "src int, dst int")
+    rows = lambda df: {(r["i"], r["j"]): r["v"] for r in df.filter("v > 1e-9").collect()}
+    got, wanted = rows(graph.ppmi(frame, 6, cells=200)), rows(graph.ppmi(frame, 6, walk_links=0))
+    assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+
+
+def test_nearest_with_pruned_blocks(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.random((12, 4)) * 50
+    make = lambda n: centres[rng.integers(0, 12, n)] + rng.normal(0, 0.5, (n, 4))
+    t, p = make(600), make(300)
+    t[100:180] = t[5]  # a hot vector
+    p[7] = t[5]
+    points = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(p)] + [(900, None), (901, [1.0, None, 2.0, 3.0])], "gene int, vec array<double>")
+    targets = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(t)] + [(-1, None)], "target int, t_vec array<double>")
+    far = np.sqrt(((p[:, None] - t[None]) ** 2).sum(2))
+    got = {r["gene"]: (r["dist"], r["nearest"]) for r in relational.nearest_euclidean(points, targets, block_rows=16).collect()}
+    assert sorted(got) == list(range(300))
+    assert all(got[i][1] == far[i].argmin() and got[i][0] == pytest.approx(far[i].min()) for i in range(300))
+    assert got[7] == (0.0, 5)
+    # Most blocks are never met.
+    single = targets.filter("t_vec is not null").groupBy("t_vec").agg(F.min("target").alias("target"))
+    seen, blocks = relational.ringed(points.filter("gene < 300"), single, 32, 16)
+    first = spark.createDataFrame([(i, (got[i][0], got[i][1])) for i in got], "gene int, _best struct<dist: double, nearest: int>")
+    pairs = relational.left_to_visit(first, seen, blocks.select("_pivot", "_ring", "_low", "_high")).count() + 300
+    assert pairs < 0.25 * 300 * blocks.count()
+    assert relational.nearest_euclidean(points.limit(0), targets, block_rows=16).count() == 0
+    assert relational.nearest_euclidean(points, targets.limit(0)).count() == 0
