@@ -1,6 +1,7 @@
 import inspect
 import math
 import random
+import time
 from collections import defaultdict, deque
 
 import numpy as np
@@ -304,3 +305,26 @@ def test_nearest_with_pruned_blocks(spark):
     assert pairs < 0.25 * 300 * blocks.count()
     assert relational.nearest_euclidean(points.limit(0), targets, block_rows=16).count() == 0
     assert relational.nearest_euclidean(points, targets.limit(0)).count() == 0
+
+
+def vectors_of(spark, rows, name="gene", vec="vec"):
+    return spark.createDataFrame([(i, v if v is None else [float(x) for x in v]) for i, v in enumerate(rows)], f"{name} int, {vec} array<double>")
+
+
+def test_nearest_of_many_wide_targets(spark, monkeypatch):
+    # No pair of a point and a target is a row: as rows, these twelve million pairs took minutes.
+    rng = np.random.default_rng(8)
+    p, t = rng.normal(0, 1, (6000, 48)), rng.normal(0, 1, (2000, 48))
+    began = time.perf_counter()
+    got = {r["gene"]: (r["dist"], r["nearest"]) for r in relational.nearest_euclidean(vectors_of(spark, p), vectors_of(spark, t, "target", "t_vec")).collect()}
+    assert time.perf_counter() - began < 60
+    far = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (t * t).sum(1)[None] - 2 * p @ t.T, 0))
+    assert all(got[i][1] == far[i].argmin() and got[i][0] == pytest.approx(far[i].min()) for i in range(6000))
+    # Ties go to the smaller name, also over several groups of targets and for points that are not finite.
+    monkeypatch.setattr(relational, "SEARCH_BYTES", 4000)
+    t, p = rng.integers(0, 9, (700, 3)), rng.integers(0, 9, (300, 3)).astype(float)
+    p[5, 0], p[6, 1] = np.nan, np.inf
+    got = {r["gene"]: (r["dist"], r["nearest"]) for r in relational.nearest_euclidean(vectors_of(spark, p), vectors_of(spark, t, "target", "t_vec"), block_rows=64).collect()}
+    far = np.sqrt(((p[:, None] - t[None]) ** 2).sum(2))
+    assert all(got[i] == (far[i].min(), far[i].argmin()) for i in range(300) if i not in (5, 6))
+    assert math.isnan(got[5][0]) and got[6][0] == math.inf and got[5][1] == got[6][1] == 0
