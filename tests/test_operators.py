@@ -328,3 +328,39 @@ def test_nearest_of_many_wide_targets(spark, monkeypatch):
     far = np.sqrt(((p[:, None] - t[None]) ** 2).sum(2))
     assert all(got[i] == (far[i].min(), far[i].argmin()) for i in range(300) if i not in (5, 6))
     assert math.isnan(got[5][0]) and got[6][0] == math.inf and got[5][1] == got[6][1] == 0
+
+
+def test_pairwise_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(movement, "TILE", (16, 32))
+    rng = np.random.default_rng(9)
+    v = [[float(x) for x in row] for row in rng.normal(0, 1, (90, 5))]
+    # Multiples have a cosine that rounds to more than 1, which gave NaN half chords; copies, zeros and vectors that lack something.
+    v += [[3 * x for x in row] for row in v[:40]] + [v[0], [0.0] * 5, None, [1.0, None, 0.0, 0.0, 0.0]]
+    points = spark.createDataFrame(list(enumerate(v)), "gene int, vec array<double>")
+    a, b = points.toDF("i", "x"), points.toDF("j", "y")
+    for distance in movement.KINDS:
+        found = {(r["i"], r["j"]): r["dist"] for r in movement.pairwise(points, distance, places=5).collect()}
+        rows = a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(distance(F.col("x"), F.col("y")), 5).alias("dist")).collect()
+        wanted = {(r["i"], r["j"]): 0.0 if r["dist"] is not None and math.isnan(r["dist"]) else r["dist"] for r in rows}
+        assert set(found) == set(wanted) and len(found) == len(v) * (len(v) - 1) // 2
+        assert all(found[k] == (None if w is None else pytest.approx(w, abs=1.1e-5)) for k, w in wanted.items()), movement.KINDS[distance]
+
+
+def test_movement_deals_each_gene_to_few_tasks(spark):
+    rng = np.random.default_rng(10)
+    n, seen = 9000, []
+    rows = vectors_of(spark, rng.random((n, 2)))
+
+    def count(a, b):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([len(a[0]) if a is b else len(a[0]) + len(b[0])])], ["n"])
+
+    seen = [r["n"] for r in movement.met(rows, ["vec"], n, count, "n long").collect()]
+    assert sum(seen) == 12 * n and len(seen) == 78
+    a, b = rng.random((700, 3)), rng.random((700, 3))
+    a[3] = a[4]
+    far = lambda m: np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    x, y = far(a) / np.linalg.norm(far(a)), far(b) / np.linalg.norm(far(b))
+    got = {r["gene"]: r["moved"] for r in movement.movement(vectors_of(spark, a), vectors_of(spark, b)).collect()}
+    assert [got[i] for i in range(700)] == pytest.approx(list(np.sqrt(((x - y) ** 2).sum(1))), rel=1e-9)
