@@ -364,3 +364,20 @@ def test_movement_deals_each_gene_to_few_tasks(spark):
     x, y = far(a) / np.linalg.norm(far(a)), far(b) / np.linalg.norm(far(b))
     got = {r["gene"]: r["moved"] for r in movement.movement(vectors_of(spark, a), vectors_of(spark, b)).collect()}
     assert [got[i] for i in range(700)] == pytest.approx(list(np.sqrt(((x - y) ** 2).sum(1))), rel=1e-9)
+
+
+def test_comembership_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "PIECE", 4)
+    rng = random.Random(3)
+    rows = [(run, rng.randrange(2), gene) for run in range(3) for gene in range(120)] + [(0, 0, 7), (0, 1, 7), (1, 9, 500), (None, 0, 1)]
+    got = [tuple(r) for r in aggregates.comembership(spark.createDataFrame(rows, "run int, cluster int, gene int")).collect()]
+    held = defaultdict(set)
+    for run, k, gene in rows:
+        if run is not None:
+            held[gene].add((run, k))
+    wanted = {(i, j): len({run for run, _ in held[i] & held[j]}) for i in held for j in held if i < j and held[i] & held[j]}
+    assert {(i, j): n for i, j, n in got} == wanted and len(got) == len(wanted)
+    # Pairs are the last thing made: no exchange follows the two explodes.
+    found = aggregates.comembership(spark.createDataFrame(rows, "run int, cluster int, gene int"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Generate")] and plan[: plan.index("RepartitionByExpression")].count("Generate") == 2
