@@ -39,3 +39,20 @@ def test_queries_match_sql(spark, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pairs_of_an_order_are_dealt_by_size(spark, monkeypatch):
+    from sparkloom.operators import relational
+    from sparkloom.plans import bindings
+
+    monkeypatch.setattr(bindings, "TOGETHER_ROWS", 500)
+    t = bindings.Tables(spark, SF)
+    tasks = t.read("lineitem").count() // 500
+    links = t.together()
+    # Before, tasks were merged by the bytes of the items, however many pairs they made.
+    assert links.rdd.getNumPartitions() == tasks > 8
+    assert relational.canonical_edges(links) is links and relational.canonical_edges(links.filter("src > 5")) is not links
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    assert canonical(tuple(r) for r in links.select("src", "dst").collect()) == canonical(con.sql(bindings.sql("together") + " SELECT src, dst FROM together").fetchall())
