@@ -222,3 +222,21 @@ def test_refits_go_on_from_the_full_model(spark, planted):
         want1, want2, trace = dense_fit(mine, e, start1, start2, 1000)
         assert np.abs(array(f.g1) - want1).max() < 1e-6 and np.abs(array(f.g2) - want2).max() < 1e-6
         assert [t for t, *_ in f.trace] == [t for t, _ in trace]
+
+
+def test_sums_of_many_tasks_meet_before_the_driver(spark):
+    size, tasks = 1 << 13, 100
+    parts = spark.range(tasks).repartition(tasks).select("id").mapInArrow(lambda batches: sent(batches, size), "kind int, data binary")
+    rows = parts.select("data")
+    made = blocked.condensed(rows, size, tasks)
+    # Before, up to 32 MB reached the driver in each pass.
+    assert made.count() * size * 8 <= 1 << 20 and made.count() < tasks
+    assert np.array_equal(blocked.summed(parts, size, tasks), np.full(size, sum(range(tasks)), dtype=float))
+
+
+def sent(batches, size):
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([blocked.SUMS], pa.int32()), pa.array([np.full(size, float(k)).tobytes()], pa.binary())], ["kind", "data"])
