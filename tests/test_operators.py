@@ -283,6 +283,24 @@ def test_ppmi_over_several_tiles(spark, monkeypatch):
     assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
 
 
+def test_ppmi_walks_between_classes_of_equal_neighbours(spark, monkeypatch):
+    edges = [(h, 100 * h + leaf) for h in range(1, 4) for leaf in range(1, 60)] + [(1, 2), (2, 3)]
+    frame = spark.createDataFrame(edges, "src int, dst int")
+    walked, real = [], graph._ppmi_by_rows
+    monkeypatch.setattr(graph, "_ppmi_by_rows", lambda walk, *rest: walked.append(walk.select("i").distinct().count()) or real(walk, *rest))
+    a = np.zeros((400, 400))
+    for i, j in edges:
+        a[i, j] = a[j, i] = 1
+    p = np.divide(a, a.sum(1, keepdims=True), out=np.zeros_like(a), where=a.sum(1, keepdims=True) > 0)
+    total = sum(np.linalg.matrix_power(p, k) for k in range(1, 5))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.log(total * total.sum() / (total.sum(1)[:, None] * total.sum(0)[None]))
+    wanted = {(i, j): value[i, j] for i, j in zip(*np.nonzero(value > 1e-9), strict=True)}
+    got = {(r["i"], r["j"]): r["v"] for r in graph.ppmi(frame, 4).filter("v > 1e-9").collect()}
+    assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+    assert walked == [6]  # three hubs, and the leaves of each
+
+
 def test_nearest_with_pruned_blocks(spark):
     rng = np.random.default_rng(6)
     centres = rng.random((12, 4)) * 50
