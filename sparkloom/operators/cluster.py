@@ -49,63 +49,96 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
     return every.join(sizes, ["run", "cluster"], "left").select("run", "cluster", F.coalesce("size", F.lit(0)).alias("size"))
 
 
+#: Groups of a cluster's members whose pairs are dealt to tasks, members of a group at least (but for the last) and at most.
+GROUPS, LEAST_ROWS, GROUP_ROWS = 4, 512, 1 << 16
+
+
 def k_medoids(points: DataFrame, k: int, seed: int = 1, max_iter: int | None = None) -> DataFrame:
     """gene, medoid: alternating assignment and choice of the best medoid.
 
     Medoids (k rows) are broadcast. A cluster's new medoid is the member whose
-    distances to all members add up to least. It ends when the medoids have
-    been seen before (they stay, or would go round); ``max_iter`` is a bound on
-    request.
+    distances to all members add up to least; a cluster whose members have been
+    seen keeps the medoid found then. It ends when the medoids have been seen
+    before (they stay, or would go round); ``max_iter`` is a bound on request.
+    Equal vectors are one member with a weight, named by their smallest gene.
     """
     from sparkloom.functions.vectors import euclidean
-    from sparkloom.session import cut_lineage
+    from sparkloom.session import discard, materialize
 
-    x = points.select("gene", F.col("vec").cast("array<double>").alias("vec"))
-    medoids = x.orderBy(F.xxhash64("gene", F.lit(seed)), "gene").limit(k).collect()  # k rows
-    seen: set = set()
-    for _ in count() if max_iter is None else range(max_iter):
-        choices = F.array(*[F.struct(F.lit(m["gene"]).alias("medoid"), F.array(*[F.lit(float(v)) for v in m["vec"]]).alias("v")) for m in medoids])
+    every = points.select("gene", F.col("vec").cast("array<double>").alias("vec"))
+    x = materialize(every.groupBy("vec").agg(F.min("gene").alias("gene"), F.count("*").cast("double").alias("weight")).select("gene", "vec", "weight"), "members")
+    medoids = every.orderBy(F.xxhash64("gene", F.lit(seed)), "gene").limit(k).collect()  # k rows
+
+    def assigned(rows, used):
+        choices = F.array(*[F.struct(F.lit(m["gene"]).alias("medoid"), F.array(*[F.lit(float(v)) for v in m["vec"]]).alias("v")) for m in used])
         nearest = F.array_min(F.transform(choices, lambda c: F.struct(euclidean(F.col("vec"), c["v"]).alias("d"), c["medoid"].alias("medoid"))))
-        assigned = cut_lineage(x.select("gene", "vec", nearest["medoid"].alias("medoid")))
-        names = frozenset(m["gene"] for m in medoids)
+        return rows.select("*", nearest["medoid"].alias("medoid"))
+
+    seen, found, used = set(), {}, medoids
+    for _ in count() if max_iter is None else range(max_iter):
+        used = medoids
+        names = frozenset(m["gene"] for m in used)
         if names in seen:
             break
         seen.add(names)
-        sums = summed_distances(assigned).withColumn("s", F.round("s", 9))
-        near = assigned.join(sums, ["medoid", "gene"])
-        best = near.groupBy("medoid").agg(F.min_by(F.struct("gene", "vec"), F.struct("s", "gene")).alias("b"))
-        medoids = best.select("b.gene", "b.vec").collect()  # k rows
-    return assigned.select("gene", "medoid")
-
-
-def summed_distances(assigned: DataFrame, block_rows: int = 256) -> DataFrame:
-    """medoid, gene, s: the sum of a member's distances to all members of its cluster.
-
-    Members are dealt to blocks; each block of rows meets each block of the
-    same cluster in numpy and gives partial sums, so no distance is ever a row.
+        own = assigned(x, used)
+        marks = [F.bit_xor(F.xxhash64("gene", F.lit(m))).alias(f"m{m}") for m in range(2)]
+        clusters = {r["medoid"]: tuple(r)[1:] for r in own.groupBy("medoid").agg(F.count("*").alias("n"), *marks).collect()}  # k rows
+        new = {medoid: mark for medoid, mark in clusters.items() if mark not in found}
+        if new:
+            sums = summed_distances(own.filter(F.col("medoid").isin(list(new))), {medoid: mark[0] for medoid, mark in new.items()}).withColumn("s", F.round("s", 9))
+            best = {r["medoid"]: r["b"] for r in sums.groupBy("medoid").agg(F.min_by("gene", F.struct("s", "gene")).alias("b")).collect()}  # k rows
+            vectors = {r["gene"]: r for r in x.filter(F.col("gene").isin(list(best.values()))).select("gene", "vec").collect()}  # k rows
+            found |= {mark: vectors[best[medoid]] for medoid, mark in new.items()}
+        medoids = [found[mark] for mark in clusters.values()]
+    discard(x)
+    return assigned(every, used).select("gene", "medoid")
+
+
+def _group_count(n: int) -> int:
+    return max(min(GROUPS, -(-n // LEAST_ROWS)), -(-n // GROUP_ROWS))
+
+
+def summed_distances(members: DataFrame, sizes: dict) -> DataFrame:
+    """medoid, gene, s: the sum of a member's distances to all members of its cluster, by their weight.
+
+    ``members`` (medoid, gene, vec, weight), ``sizes`` by medoid. A cluster's members are
+    dealt to a few groups, of which every two meet in one task, so a vector is
+    moved ``GROUPS`` times (in a larger cluster size / ``GROUP_ROWS``), and each
+    distance is made once; no distance is ever a row.
     """
-    sizes = assigned.groupBy("medoid").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
-    dealt = assigned.select("medoid", "gene", "vec").join(F.broadcast(sizes), "medoid").withColumn("mine", F.pmod(F.xxhash64("gene"), F.col("n")).cast("int"))  # k rows
-    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = dealt.select("medoid", F.col("mine").alias("block"), every.alias("other"), "gene", "vec", F.lit(0).alias("side"))
-    columns = dealt.select("medoid", every.alias("block"), F.col("mine").alias("other"), "gene", "vec", F.lit(1).alias("side"))
-    kinds = {f.name: f.dataType.simpleString() for f in assigned.schema}
+    from sparkloom.operators.movement import TILE, distances
+
+    groups = {medoid: _group_count(n) for medoid, n in sizes.items()}
+    n = F.coalesce(*[F.when(F.col("medoid") == F.lit(medoid), F.lit(g)) for medoid, g in groups.items()])
+    dealt = members.withColumn("_n", n).withColumn("_g", F.pmod(F.xxhash64("gene"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
 
     def meet(table):
         import numpy as np
         import pyarrow as pa
 
-        left = table.column("side").to_numpy() == 0
-        part = table.filter(pa.array(left))
-        x, y = (np.array(t.column("vec").to_pylist(), dtype=float).reshape(t.num_rows, -1) for t in (part, table.filter(pa.array(~left))))
-        s = np.zeros(len(x))
-        if len(x) and len(y):
-            square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-            s = np.sqrt(np.maximum(square, 0)).sum(1)
-        return pa.table({"medoid": part.column("medoid"), "gene": part.column("gene"), "s": pa.array(s)})
-
-    met = rows.unionByName(columns).groupBy("medoid", "block", "other").applyInArrow(meet, f"medoid {kinds['medoid']}, gene {kinds['gene']}, s double")
-    return met.groupBy("medoid", "gene").agg(F.sum("s").alias("s"))
+        g, o = table.column("_g").to_numpy(), table.column("_o").to_numpy()
+        low, same = np.minimum(g, o)[0], bool((g == o)[0])
+        sides = []
+        for mine in (g == low,) if same else (g == low, g != low):
+            part = table.filter(pa.array(mine)).combine_chunks()
+            x = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            sides.append((part, x, part.column("weight").to_numpy(), np.zeros(part.num_rows)))
+        (_, x, wx, sx), (_, y, wy, sy) = sides[0], sides[-1]
+        for r in range(0, len(x), TILE[0]):
+            for c in range(0, len(y), TILE[1]) if len(y) else ():
+                here, there = slice(r, r + TILE[0]), slice(c, c + TILE[1])
+                far = distances(x[here], y[there])
+                sx[here] += far @ wy[there]
+                if not same:
+                    sy[there] += wx[here] @ far
+        return pa.concat_tables([pa.table({"medoid": part.column("medoid"), "gene": part.column("gene"), "s": pa.array(s)}) for part, _, _, s in sides])
+
+    least, most = F.least("_g", "_o"), F.greatest("_g", "_o")
+    met = dealt.withColumn("_a", least).withColumn("_b", most).repartition(max(1, sum(g * (g + 1) // 2 for g in groups.values())), "medoid", "_a", "_b")
+    sums = met.groupBy("medoid", "_a", "_b").applyInArrow(meet, f"medoid {kinds['medoid']}, gene {kinds['gene']}, s double")
+    return sums.groupBy("medoid", "gene").agg(F.sum("s").alias("s"))
 
 
 def soft_clusters(factors: DataFrame, threshold: float, softmaxed: bool = False) -> DataFrame:

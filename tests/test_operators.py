@@ -195,6 +195,17 @@ def test_k_medoids_are_medoids(spark):
     assert all(far(g, m) <= min(far(g, o) for o in set(found.values())) + 1e-9 for g, m in found.items())
 
 
+def test_summed_distances_move_a_vector_a_few_times(spark, monkeypatch):
+    assert cluster._group_count(60_000) == 4 and cluster._group_count(300) == 1
+    monkeypatch.setattr(cluster, "LEAST_ROWS", 8)
+    rng = np.random.default_rng(4)
+    x, w, of = rng.random((70, 3)), rng.integers(1, 4, 70).astype(float), [5] * 60 + [7] * 10
+    frame = spark.createDataFrame([(of[i], i, x[i].tolist(), float(w[i])) for i in range(70)], "medoid long, gene long, vec array<double>, weight double")
+    got = {r["gene"]: r["s"] for r in cluster.summed_distances(frame, {5: 60, 7: 10}).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) * (np.array(of)[:, None] == np.array(of)[None])
+    assert len(got) == 70 and all(got[i] == pytest.approx(far[i] @ w) for i in range(70))
+
+
 def test_adjusted_p_values_by_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, i % 2, rng.choice([0.0, 1e-300, 1.0, 0.04, round(rng.random(), 2)])) for i in range(120)]
