@@ -6,7 +6,7 @@ document with a smaller id. Each start position (window) is judged by itself:
 1. Documents are packed into blocks of about ``BLOCK_BYTES``, written once to
    the shared folder. A window is named by its smallest ``GRAM``-byte hash, so
    equal windows have equal names wherever they stand; neighbouring windows
-   with one name form a run (20 or so windows on average, ``RUN_WINDOWS`` at
+   with one name form a run (16 or so windows on average, ``RUN_WINDOWS`` at
    most). Runs of a block with the same bytes are one entry.
 2. Blocks send owners of name ranges the names of their entries. A name that
    one entry alone has can match nothing; this is all that names decide. The
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions_for, read_table, small_batches
 
 LENGTH = 50
-GRAM = 12
+#: Long enough that few texts share one by chance: common words alone fill 12 bytes.
+GRAM = 20
 BLOCK_BYTES = 1 << 19
 #: Arrays over so many bytes stay in a core's cache, which makes both steps about twice as fast as over a block.
 PART_BYTES = SHARD_BYTES = 1 << 17
@@ -49,8 +50,8 @@ RUN_WINDOWS = 1024
 #: A rank, the rank further on and a position share 64 bits.
 SHARD_LIMIT = 1 << 20
 NO_ID = (1 << 63) - 1
-#: Answers are broadcast to the blocks up to this many bytes; beyond it Spark shuffles blocks and answers.
-BROADCAST_BYTES = 64 << 20
+#: Bitmaps, and answers about windows, are broadcast to the blocks up to this many bytes; beyond it Spark shuffles blocks and answers.
+BROADCAST_BYTES, BROADCAST_WINDOWS = 64 << 20, 8 << 20
 _powers: list = []
 
 
@@ -77,13 +78,15 @@ def powers(n: int):
 
 
 def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, ids, ends, data: documents in blocks; numbers are fixed once they are written."""
+    """block, ids, ends, data (compressed): documents in blocks; numbers are fixed once they are written."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
+        pack = zstandard.ZstdCompressor(level=1).compress
         number = TaskContext.get().partitionId() << 24
         ids, parts, size = [], [], 0
 
@@ -91,7 +94,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
             return pa.RecordBatch.from_pydict(
                 {"block": pa.array([number], pa.int64()), "ids": pa.array([np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes()], pa.binary()),
-                 "nulls": pa.array([bytes(i is None for i in ids)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary()), "data": pa.array([b"".join(parts)], pa.large_binary()).cast(pa.binary())}
+                 "nulls": pa.array([bytes(i is None for i in ids)], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary()), "data": pa.array([pack(b"".join(parts))], pa.binary())}
             )
 
         for batch in batches:
@@ -112,9 +115,13 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def rows_of(batch):
-    """The rows of an Arrow batch as dicts, one at a time."""
+    """The blocks of an Arrow batch as dicts, one at a time."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     for k in range(batch.num_rows):
-        yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+        row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+        yield row | {"data": unpack(row["data"])}
 
 
 def runs_of(data: bytes, ends, length: int):
@@ -129,8 +136,9 @@ def runs_of(data: bytes, ends, length: int):
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     padded = data + bytes(GRAM)
     a = np.ndarray((n,), "<u8", padded, 0, (1,)) * np.uint64(0x9FB21C651E98DF25)
-    b = np.ndarray((n,), "<u4", padded, 8, (1,)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    grams = mixed(a ^ (b + (a >> np.uint64(31))))
+    b = np.ndarray((n,), "<u8", padded, 8, (1,)) * np.uint64(0xD6E8FEB86659FD93)
+    c = np.ndarray((n,), "<u4", padded, 16, (1,)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    grams = mixed(a ^ (b + (a >> np.uint64(31))) ^ (c + (b >> np.uint64(33))))
     least, wide = grams, 1
     while 2 * wide <= span:
         least = np.minimum(least[:-wide], least[wide:])
@@ -289,11 +297,11 @@ def flags(block: Block, answers):
     return out
 
 
-def joined(blocks: DataFrame, answers: DataFrame, how: str) -> DataFrame:
+def joined(blocks: DataFrame, answers: DataFrame, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Blocks with their answers; a broadcast only if these are small in bytes."""
     size = answers.select(F.sum(F.col("bytes")).alias("b")).first()["b"] or 0
     answers = answers.drop("bytes")
-    return blocks.join(F.broadcast(answers) if size <= BROADCAST_BYTES else answers, "block", how)
+    return blocks.join(F.broadcast(answers) if size <= limit else answers, "block", how)
 
 
 def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
@@ -313,12 +321,13 @@ def disputed(blocks: DataFrame, answers: DataFrame, n_owners: int) -> DataFrame:
                     continue
                 lo, hi = b.lo[b.example[wanted]], b.hi[b.example[wanted]] + b.length
                 cuts = owner_cuts(b.names[wanted], n_owners)
+                brief = short_names(b.names[wanted], n_owners)
                 data, out = row["data"], []
                 for o in np.flatnonzero(np.diff(cuts)).tolist():
                     mine = slice(cuts[o], cuts[o + 1])
                     parts = b"".join(data[x:y] for x, y in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True))
                     sizes = (hi[mine] - lo[mine]).astype("<u2")  # at most RUN_WINDOWS + LENGTH
-                    out.append((o, row["block"], wanted[mine].astype("<i4").tobytes(), b.names[wanted[mine]].tobytes(), b.least[wanted[mine]].astype("<i8").tobytes(), sizes.tobytes(), pack(parts)))
+                    out.append((o, row["block"], wanted[mine].astype("<i4").tobytes(), brief[mine].tobytes(), b.least[wanted[mine]].astype("<i8").tobytes(), sizes.tobytes(), pack(parts)))
                 types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
                 names = ("owner", "block", "entries", "names", "docs", "sizes", "data")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], list(names))
@@ -562,7 +571,7 @@ def settled(messages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
         unpack = zstandard.ZstdDecompressor().decompress
         entries = column("entries", "<i4")
-        names, docs = np.concatenate(column("names", "<u8")), np.concatenate(column("docs", "<i8"))
+        names, docs = np.concatenate(column("names", "<u4")), np.concatenate(column("docs", "<i8"))
         data = np.frombuffer(b"".join(unpack(x) for x in table.column("data").to_pylist()), np.uint8)
         sizes = np.concatenate(column("sizes", "<u2")).astype(np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -706,7 +715,7 @@ def judged(docs: DataFrame, with_parts: bool, block_bytes: int, shard_bytes: int
             F.collect_list(F.struct("entries", "sizes", "bits")).alias("windows"), F.sum(F.length("entries") + F.length("sizes") + F.length("bits") + 40).alias("bytes")
         ), "windows-by-block",
     )
-    return marked(joined(blocks, windows, "left"), with_parts)
+    return marked(joined(blocks, windows, "left", BROADCAST_WINDOWS), with_parts)
 
 
 def op9_sharded_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,15 @@ def test_spans_give_the_kept_bytes(spark, clashing, odd_rows, empty):
         assert r["n_spans"] == len(r["spans"]) and r["n_removed"] == sum(s["end"] - s["start"] for s in r["spans"])
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_common_words_do_not_make_texts_contested():
+    """Texts of the same words in other orders share no window, so few of their bytes should go to owners."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9))) for _ in range(60)]
+    names = []
+    for _ in range(4):
+        data = " ".join(rng.choice(words) for _ in range(4000)).encode()
+        names.append(substring_dedup.Block(np.array([1], "<i8").tobytes(), np.array([len(data)], "<i8").tobytes(), data).names)
+    every, times = np.unique(np.concatenate(names), return_counts=True)
+    assert times[times > 1].sum() < 0.2 * times.sum()
