@@ -411,9 +411,9 @@ def hopeful(long: DataFrame, in_short: DataFrame, num: int, den: int) -> DataFra
     of some size in the list; so a copy with many words of its own, which no
     other group has, drops out before any pair is made.
     """
-    ends = in_short.select("grp", "shared").unionAll(in_short.select(F.col("other").alias("grp"), "shared"))
-    short = materialize(ends.join(sized(materialize(long.select("grp").distinct(), "in-long")), "grp", "left_semi").groupBy("grp").agg(F.max("shared").alias("short")), "most-short")
-    sizes = sized(materialize(long.groupBy("hash").agg(F.min("size").alias("least"), F.max("size").alias("most")), "list-sizes"))
+    ends = few(in_short.select("grp", "shared").unionAll(in_short.select(F.col("other").alias("grp"), "shared")))
+    short = written(ends.join(sized(written(long.select("grp").distinct(), "in-long")), "grp", "left_semi").groupBy("grp").agg(F.max("shared").alias("short")), "most-short")
+    sizes = sized(written(long.groupBy("hash").agg(F.min("size").alias("least"), F.max("size").alias("most")), "list-sizes"))
     ahead = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("at")))  # as many rows as the prefix has
     rows = long.withColumn("ahead", ahead).join(sized(short), "grp", "left").withColumn("short", F.coalesce("short", F.lit(0))).join(sizes, "hash")
     size, behind = F.col("size").cast("long"), (F.col("size") - F.col("at")).cast("long")
@@ -425,6 +425,19 @@ def hopeful(long: DataFrame, in_short: DataFrame, num: int, den: int) -> DataFra
     return rows.filter(some & (behind * (num + den) >= num * (size + F.col("least")))).select("hash", "grp", "size", "at", "ahead", F.col("short").cast("int").alias("short"))
 
 
+def few(df: DataFrame, limit_rows: int = SMALL_ROWS) -> DataFrame:
+    """Written rows of a few numbers, read by one task if a count shows that they are few.
+
+    Grouping and joining them needs no shuffle then, whose many small tasks
+    would take far longer than the work.
+    """
+    return df.coalesce(1) if df.count() <= limit_rows else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return few(materialize(df, name))
+
+
 def sized(df: DataFrame, limit_rows: int = SMALL_ROWS) -> DataFrame:
     """A written table of a few numbers a row, broadcast if a count shows that it is small."""
     return F.broadcast(df) if df.count() <= limit_rows else df
@@ -462,7 +475,7 @@ def hub_pairs(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     hubs = parts.groupBy("hash").agg(
         F.max(F.struct("m", "component", F.array("h0.e", "h1.e", "h2.e").alias("hubs"))).alias("top"), F.array(*[F.max(f"h{k}") for k in range(3)]).alias("any")
     ).select("hash", F.explode(F.array_distinct(F.concat("top.hubs", F.transform("any", lambda x: x["e"])))).alias("hub"))
-    hubs = materialize(hubs.select("hash", F.col("hub.component").alias("cb"), *[F.col(f"hub.{c}").alias(n) for c, n in zip(("grp", "size", "at", "ahead", "short"), named("b"), strict=True)]), "hubs")
+    hubs = written(hubs.select("hash", F.col("hub.component").alias("cb"), *[F.col(f"hub.{c}").alias(n) for c, n in zip(("grp", "size", "at", "ahead", "short"), named("b"), strict=True)]), "hubs")
     met = entries.select("hash", F.col("component").alias("ca"), *side_of("a")).join(sized(hubs), "hash")
     return in_order(met.filter((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("b")) & may_link(num, den)))
 
@@ -488,9 +501,9 @@ def in_order(pairs: DataFrame) -> DataFrame:
 def unsettled(long: DataFrame, in_lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries of the long lists that still hold several components: one for each component of a group."""
     here = in_lists.join(sized(labels), "node", "left").select("grp", F.coalesce("component", "node").alias("component")).distinct()
-    entries = long.join(sized(materialize(here, "group-labels")), "grp")
-    entries = materialize(entries, "labelled-lists")
-    several = materialize(
+    entries = long.join(sized(written(here, "group-labels")), "grp")
+    entries = written(entries, "labelled-lists")
+    several = written(
         entries.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter("x <> y").select("hash", "k"), "open"
     )
     return entries.join(sized(several), "hash").select("hash", "grp", "size", "at", "ahead", "short", "component", "k")
@@ -544,10 +557,11 @@ def expanded(pairs: DataFrame, members: DataFrame, crowds: DataFrame, crowded: b
     every = F.lit(True)
     if labels is not None or not crowded:
         return ends(counted, every, every).distinct()
-    few, many = counted.filter(~F.col("crowded")), counted.filter("crowded")
+    apart, many = counted.filter(~F.col("crowded")), counted.filter("crowded")
     # A group of one class has no first class written down: its only one is the first.
     a_first, b_first = F.col("na") == F.coalesce("fa", "na"), F.col("nb") == F.coalesce("fb", "nb")
-    return ends(few, every, every).unionAll(ends(many, a_first, every)).unionAll(ends(many, every, b_first)).distinct()
+    # The last two repeat only pairs of two first classes, so little is written that is not kept.
+    return written(ends(apart, every, every).unionAll(ends(many, a_first, every)).unionAll(ends(many, every, b_first)), "crowded-pairs").distinct()
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -615,8 +629,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    both_ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sized_semi_join(sets, materialize(both_ends, "ends"), "node")
+    both_ends = few(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))).distinct()
+    sets = sized_semi_join(sets, written(both_ends, "ends"), "node")
     # Sets are the bulk, so both joins shuffle at every size, but only the sets of these pairs.
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a")
     both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
@@ -652,42 +666,42 @@ def linked(docs: DataFrame, n: int, num: int, den: int, max_rounds: int, local_e
     n_owners = max(32, 4 * partitions_for(spark))  # an owner's postings are what a Python worker holds
     whole = materialize(scanned(docs, sketch(docs, n), n, num, den, n_owners), "shingled")
     rows = whole.filter("owner is null").select("doc_id", "n_shingles", "sig", "grp")
-    members = materialize(
+    members = written(
         rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.max("grp").alias("grp"), F.max("n_shingles").cast("int").alias("size")).filter("node is not null"), "classes"
     )
     crowds = members.groupBy("grp").agg(F.count("*").alias("k"), F.min("node").alias("first")).filter("k > 1")
-    crowds = materialize(crowds, "crowds")
+    crowds = written(crowds, "crowds")
     crowded = crowds.filter(F.col("k") * F.col("k") > CROWD).limit(1).count() > 0  # else no two groups have more pairs
-    met = materialize(met_in_lists(whole.filter("owner is not null"), num, den), "lists")
-    in_short = materialize(
+    met = written(met_in_lists(whole.filter("owner is not null"), num, den), "lists")
+    in_short = written(
         met.filter("other is not null").groupBy("grp", "other").agg(F.max("size").alias("size"), F.max("other_size").alias("other_size"), F.sum("shared").alias("shared"), F.max("passes").alias("passes")), "short-pairs"
     )
     long = met.filter("other is null").select("hash", "grp", "size", "at")
-    in_long = materialize(long.groupBy("grp").agg(F.count("*").alias("n_long")), "long-lists")
-    in_lists = materialize(sized_semi_join(members.select("grp", "node"), in_long.select("grp"), "grp"), "listed-classes")
-    long = materialize(hopeful(long, in_short, num, den), "long")
+    in_long = written(long.groupBy("grp").agg(F.count("*").alias("n_long")), "long-lists")
+    in_lists = written(sized_semi_join(members.select("grp", "node"), in_long.select("grp"), "grp"), "listed-classes")
+    long = written(hopeful(long, in_short, num, den), "long")
     hubs = hub_pairs(long.withColumn("component", F.col("grp")), 0, num, den)
     short = in_short.filter("passes").select(F.col("grp").alias("a"), F.col("other").alias("b"), F.col("size").alias("a_size"), F.col("other_size").alias("b_size"))
-    asked = materialize(reachable(short.unionAll(hubs), in_short, in_long, num, den), "group-pairs")
+    asked = written(reachable(few(short.unionAll(hubs)), in_short, in_long, num, den), "group-pairs")
     inside = crowds.select(F.col("grp").alias("a"), F.col("grp").alias("b"))  # equal prefixes and sizes always pass
-    pairs = materialize(expanded(asked.unionAll(inside), members, crowds, crowded), "pairs")
-    nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(in_lists.select("node")).distinct(), "nodes")
+    pairs = written(expanded(few(asked.unionAll(inside)), members, crowds, crowded), "pairs")
+    nodes = written(few(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(in_lists.select("node"))).distinct(), "nodes")
     sets = materialize(node_sets(docs, nodes, n), "sets")
     labels = components(verified(pairs, sets, num, den), local_edges)
     last = False
     for turn in range(1, max_rounds + 1):
-        entries = materialize(unsettled(long, in_lists, labels), "open-lists")
+        entries = written(unsettled(long, in_lists, labels), "open-lists")
         size = entries.count()
         if not size and not crowded:
             break
         last = last or turn == max_rounds or cross_pairs_bound(entries) <= FEW_PAIRS * size
         tried = cross_pairs(entries, num, den) if last else hub_pairs(entries, turn, num, den)
-        new = materialize(reachable(tried.join(asked, ["a", "b"], "left_anti"), in_short, in_long, num, den), "group-pairs")
-        asked = asked.unionAll(new)
+        new = written(reachable(tried.join(asked, ["a", "b"], "left_anti"), in_short, in_long, num, den), "group-pairs")
+        asked = few(asked.unionAll(new))
         # Crowded groups gave their first classes only: in the end all of their classes meet.
-        final = asked.unionAll(inside) if crowded else new
-        pairs = materialize(expanded(final if last else new, members, crowds, crowded, labels if last else None), "pairs")
-        links = materialize(verified(pairs, sets, num, den), "links")
+        final = few(asked.unionAll(inside)) if crowded else new
+        pairs = written(expanded(final if last else new, members, crowds, crowded, labels if last else None), "pairs")
+        links = written(verified(pairs, sets, num, den), "links")
         found = links.count()
         if found:
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links), local_edges)

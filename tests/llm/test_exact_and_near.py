@@ -187,3 +187,34 @@ def test_rounds_of_hubs(spark, monkeypatch):
     rows = near_rows(6, 120, 4, 4)
     found = ngram_join.similarity_classes(spark.createDataFrame(rows, DOC_SCHEMA).repartition(3))
     assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute_near(rows)
+
+
+def test_few_postings_are_joined_without_shuffles(spark, monkeypatch):
+    """Small tables between the passes over texts do not go through every shuffle partition, with the same result."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(400)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(12)]
+    rows = [(k, " ".join(w if rng.random() > 0.01 else rng.choice(words) for w in rng.choice(base)), None, None, 1) for k in range(150)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    plain, files = ngram_join.materialize, []
+
+    def noted(df, name, **more):
+        out = plain(df, name, **more)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "materialize", noted)
+            found = rows_of(ngram_join.similarity_classes(docs))
+        most = {name: n for name, n in files if name in ("short-pairs", "long-lists", "long", "list-sizes", "group-pairs")}
+        assert len(most) >= 4 and max(most.values()) == 1
+        monkeypatch.setattr(ngram_join, "few", lambda df: df)
+        assert rows_of(ngram_join.similarity_classes(docs)) == found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
