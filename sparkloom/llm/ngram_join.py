@@ -560,8 +560,7 @@ def expanded(pairs: DataFrame, members: DataFrame, crowds: DataFrame, crowded: b
     apart, many = counted.filter(~F.col("crowded")), counted.filter("crowded")
     # A group of one class has no first class written down: its only one is the first.
     a_first, b_first = F.col("na") == F.coalesce("fa", "na"), F.col("nb") == F.coalesce("fb", "nb")
-    # The last two repeat only pairs of two first classes, so little is written that is not kept.
-    return written(ends(apart, every, every).unionAll(ends(many, a_first, every)).unionAll(ends(many, every, b_first)), "crowded-pairs").distinct()
+    return ends(apart, every, every).unionAll(ends(many, a_first, every)).unionAll(ends(many, every, b_first)).distinct()
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
