@@ -240,3 +240,41 @@ def sent(batches, size):
     for batch in batches:
         for k in batch.column(0).to_pylist():
             yield pa.RecordBatch.from_arrays([pa.array([blocked.SUMS], pa.int32()), pa.array([np.full(size, float(k)).tobytes()], pa.binary())], ["kind", "data"])
+
+
+def test_singular_vectors_of_many_equal_parts(spark):
+    import warnings
+
+    rng = np.random.default_rng(6)
+    part = rng.random((7, 5)) + 0.1
+    a = np.kron(np.eye(40), part)
+    # Forty values are the largest one: no column lies below the wanted ones. Before, passes went on to their limit.
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="singular values")
+        u, values, v = linalg.truncated_svd(coo(spark, a), 4, max_iter=40, block_rows=90)
+    left, s, right = np.linalg.svd(part)
+    assert values == pytest.approx([s[0]] * 4, rel=1e-9)
+    # Any vectors of the largest value are right: in each part they are multiples of the part's own.
+    for found, own in ((array(u), left[:, 0]), (array(v.withColumnRenamed("cell", "gene")), right[0])):
+        for x in found.T:
+            each = x.reshape(40, -1)
+            assert np.abs(each - np.outer(each @ np.abs(own), np.abs(own))).max() < 1e-6
+        assert (found**2).sum(axis=0) == pytest.approx(np.ones(4))
+
+
+def test_networks_of_more_blocks_are_cut_once(spark, planted, monkeypatch):
+    nets, e, *_ = planted
+    monkeypatch.setattr(blocked, "BLOCK_ROWS", 8)
+    cuts, cut = [], blocked.tiles
+    monkeypatch.setattr(blocked, "tiles", lambda matrices, *rest, **kept: cuts.append(len(matrices)) or cut(matrices, *rest, **kept))
+    named = {n: coo(spark, a) for n, a in zip(("PPI", "GI"), nets, strict=False)}
+    genes, cells = spark.range(18).selectExpr("cast(id as int) as gene"), spark.range(8).selectExpr("cast(id as int) as gene")
+    found = factorize.combined(named, [("PPI", "GI"), ("GI",)], coo(spark, e), genes, cells, 3, 2, max_iter=2)
+    assert cuts == [1, 2, 1]  # the expression for its decomposition, both networks, the expression for the fit
+    u, _, v = np.linalg.svd(e, full_matrices=False)
+    for mine, f in zip((nets[:2], nets[1:2]), found.values(), strict=True):
+        g1 = np.abs(u[:, :3]) + EPS + np.abs(np.linalg.svd(sum(mine))[0][:, :3])
+        want1, want2, _ = dense_fit(mine, e, g1, np.abs(v[:2].T) + EPS, 2)
+        assert np.abs(array(f.g1) - want1).max() < 1e-6 and np.abs(array(f.g2) - want2).max() < 1e-6
+    few = spark.range(17).selectExpr("cast(id as int) as gene")
+    assert factorize._beyond(list(named.values()), few) and not factorize._beyond(list(named.values()), genes)
