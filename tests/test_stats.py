@@ -145,3 +145,26 @@ def test_tails_of_many_terms(spark, cells):
     expected = sum(math.exp(ln(K, x) + ln(M - K, N - x) - ln(M, N)) for x in range(X, min(K, N, X + 60_000) + 1)) if X > 1_500_000 or M < 10**6 else 1.0
     p = spark.range(1).select(stats.hypergeom_sf(*[F.lit(x) for x in cells]).alias("p")).first()["p"]
     assert p == pytest.approx(expected, rel=1e-5)
+
+
+def test_markers_from_counts_of_values(spark, monkeypatch):
+    import numpy as np
+
+    from sparkloom.plans import pipelines
+
+    rng = np.random.default_rng(8)
+    rows = [(g, f"{g}-{c}", float(v)) for g in range(6) for c, v in enumerate(rng.integers(1, 5, 30) + (g == 2))] + [(1, "1-90", None), (9, "9-1", 2.0)]
+    sides = [(cell, "in" if k % 3 == 0 else "out") for k, (_, cell, _) in enumerate(rows)] + [("0-1", None)]
+    expression, metadata = spark.createDataFrame(rows, "gene int, cell string, value double"), spark.createDataFrame(sides, "cell string, cond string")
+    written, write = {}, pipelines.materialize
+    monkeypatch.setattr(pipelines, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    found = pipelines.marker_test(expression, metadata, "in")
+    long = expression.join(metadata, "cell").withColumn("inside", F.col("cond") == "in")
+    want = {r["gene"]: r["p"] for r in stats.mann_whitney(long, "value", "inside", ["gene"]).collect() if r["p"] is not None}
+    got = {r["gene"]: r for r in found.collect()}
+    assert {g: r["p"] for g, r in got.items()} == want and len(want) >= 6
+    for g in range(6):
+        logs = {s: [np.log1p(v) for (h, cell, v), (_, side) in zip(rows, sides, strict=False) if h == g and side == s and v is not None] for s in ("in", "out")}
+        assert got[g]["log_fc"] == pytest.approx(np.mean(logs["in"]) - np.mean(logs["out"]))
+    # The join is made once, however often the test and the adjustment look at its counts.
+    assert list(written) == ["values", "tested"] and written["values"].count() == len({(g, v) for g, _, v in rows})
